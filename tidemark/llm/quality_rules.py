@@ -71,12 +71,15 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
     out = docs.withColumn("_words", words).withColumn("_n", F.size("_words")).withColumn("_bits", F.ceil(F.log2(F.greatest("_n", F.lit(2)).cast("double"))).cast("int"))
+    # an expression that depends on the partition keeps filters above this projection: pushed
+    # below it, they would work out the words anew for each window
+    here = (F.spark_partition_id() * 0).cast("long")
     out = out.withColumn("_hashes", _hashes(F.col("_words"), F.col("_n"))).withColumn("_windows", _windows(F.col("_hashes"), F.col("_bits")))
     return out.withColumns(
         {
             "_lines": lines,
             "_stats": F.struct(
-                F.col("_n").cast("long").alias("n_words"),
+                (F.col("_n") + here).alias("n_words"),
                 (F.length(t) - count(r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
                 count(r"[#*$%&|<>]").alias("n_symbols"),
                 _covered(F.col("_windows"), F.col("_bits")).alias("n_repeat_words"),
