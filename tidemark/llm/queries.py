@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import mixing, pii, quality_rules, simhash
 from tidemark.llm.common import table
 
 
@@ -15,8 +14,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, rules).select("doc_id", "_stats.n_words", "_stats.word_chars", "_stats.n_symbols", "_stats.n_dup_lines", "_stats.n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op3_pii": op3_pii,
+        "op5_mixing": op5_mixing,
+        "op9_simhash": op9_simhash,
         "op7_quality_rules": op7_quality_rules,
     }
 
