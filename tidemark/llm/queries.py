@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, pii, quality_rules, simhash
+from tidemark.llm import bpe, mixing, pii, quality_rules, simhash
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, rules).select("doc_id", "_stats.n_words", "_stats.word_chars", "_stats.n_symbols", "_stats.n_dup_lines", "_stats.n_repeat_words", "base_failed", "kept", "rule")
 
 
+def vocabulary(path: str | None = None) -> str:
+    """The JSON text of a public tokenizer's file, read by the driver alone."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +42,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
         "op5_mixing": op5_mixing,
         "op9_simhash": op9_simhash,
