@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, pii, quality_rules, simhash
+from tidemark.llm import bpe, html_text, mixing, pii, quality_rules, simhash, toxicity, warc
 from tidemark.llm.common import table
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judged(docs, rules).select("doc_id", "_stats.n_words", "_stats.word_chars", "_stats.n_symbols", "_stats.n_dup_lines", "_stats.n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def vocabulary(path: str | None = None) -> str:
     """The JSON text of a public tokenizer's file, read by the driver alone."""
     if path is None:
@@ -40,15 +49,35 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+#: DuckDB's sha256 gives lower-case hex of the UTF-8 bytes.
+OP10_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages WHERE page_id IS NOT NULL
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, url,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
         "op5_mixing": op5_mixing,
         "op9_simhash": op9_simhash,
+        "op10_warc": op10_warc,
+        "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
