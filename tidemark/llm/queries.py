@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_text, mixing, pii, quality_rules, simhash, toxicity, warc
+from tidemark.llm import ann, bpe, html_text, mixing, pii, quality_rules, simhash, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -41,6 +42,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def queries() -> dict:
         "op1_html_text": op1_html_text,
         "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
+        "op4_ann": op4_ann,
         "op5_mixing": op5_mixing,
         "op9_simhash": op9_simhash,
         "op10_warc": op10_warc,
