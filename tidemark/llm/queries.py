@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_text, mixing, pii, quality_rules, simhash, toxicity, warc
+from tidemark.llm import ann, bpe, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op3_pii": op3_pii,
         "op4_ann": op4_ann,
         "op5_mixing": op5_mixing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_simhash": op9_simhash,
         "op10_warc": op10_warc,
         "op6_toxicity": op6_toxicity,
