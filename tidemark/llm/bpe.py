@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
+import struct
 import tempfile
 import unicodedata
 from collections import Counter
@@ -40,6 +42,21 @@ def _model(text: str) -> Model:
     return Model(text)
 
 
+def _latin(split: str) -> str:
+    """The splitting pattern with its classes spelt out for characters up to U+00FF, for the standard library's faster engine.
+
+    Letters are tried first: no other branch starts with one.
+    """
+    kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    space = r"\t-\r \x85\xa0"
+    whole = {r"[^\s\p{L}\p{N}]": f"[^{space}{kinds['L']}{kinds['N']}]", r"[\p{L}]": f"[{kinds['L']}]", r"[\p{N}]": f"[{kinds['N']}]"}
+    parts = split.split("|")
+    if any("[" in x and x.rstrip("+") not in whole for x in parts):
+        raise ValueError(f"unknown classes in the pattern {split}")
+    parts = [whole.get(x.rstrip("+"), x.rstrip("+")) + "+" * x.endswith("+") for x in parts]
+    return "|".join(sorted(parts, key=lambda x: not x.startswith(f"[{kinds['L']}")))
+
+
 class Model:
     """Normalisation, splitting, merges and token strings of a vocabulary file."""
 
@@ -60,11 +77,18 @@ class Model:
         split = next(x["pattern"]["Regex"] for x in d["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # in the file's dialect \s is Unicode's White_Space, which lacks U+001C to U+001F
         self.words = regex.compile(split.replace(r"^\s", r"^\p{White_Space}")).findall
+        self.latin = re.compile(_latin(split)).findall
         self.name = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         # bytes that print stand for themselves, the others for the characters from U+0100 on, in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(own)]
         self.char = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        # the same by ids: bytes inside and at the end of a word, a pair's rank, and what a rank's pair becomes
+        self.byte = [self.vocab[self.char[b]] for b in range(256)]
+        self.last = [self.vocab[self.char[b] + self.end] for b in range(256)]
+        self.rank = {self.vocab[a] << 20 | self.vocab[b]: k for (a, b), k in self.ranks.items()}
+        self.joined = [self.vocab[a + b] for a, b in self.ranks]
+        self.no = len(self.ranks)
 
     def split(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and the ids of special tokens between them."""
@@ -77,21 +101,32 @@ class Model:
 
     def normal(self, text: str) -> list[str]:
         # the library lower-cases each character alone, so a final sigma is a sigma like any other
-        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words(text)
+        return self.latin(text)
 
     def merged(self, word: str) -> list[int]:
         """The ids of one word: the pair of lowest rank merges first, from the left."""
-        parts = [self.char[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += self.end
-        if len(parts) > 200:
+        raw = word.encode("utf-8", "replace")
+        if len(raw) > 200:
+            parts = [self.char[b] for b in raw]
+            parts[-1] += self.end
             return [self.vocab[p] for p in self._long(parts) if p in self.vocab]
-        ranks, no = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            k = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), no))
-            if (parts[k], parts[k + 1]) not in ranks:
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        ids = [self.byte[b] for b in raw[:-1]] + [self.last[raw[-1]]] if raw else []
+        rank, joined, no = self.rank, self.joined, self.no
+        near = [rank.get(a << 20 | b, no) for a, b in zip(ids, ids[1:])]
+        while near and (best := min(near)) != no:
+            i = near.index(best)
+            ids[i] = new = joined[best]
+            del ids[i + 1], near[i]
+            if i:
+                near[i - 1] = rank.get(ids[i - 1] << 20 | new, no)
+            if i < len(near):
+                near[i] = rank.get(new << 20 | ids[i + 1], no)
+        return ids
 
     def _long(self, parts: list[str]) -> list[str]:
         """The same merges through a heap over a linked list, for very long words."""
@@ -164,7 +199,7 @@ def compiled(words: list[str], ids: list[list[int]]) -> bytes:
     table = np.array(rows, np.int64).reshape(-1, 3)
     final = np.array([f for f, _ in arcs], np.uint8)
     sizes = np.array([len(i) for _, i in keyed], np.int64)
-    flat = np.array([x for _, i in keyed for x in i], np.uint32)
+    flat = np.array([x for _, i in keyed for x in i], "<u4")
     parts = [np.array([root], np.int64), table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), final, np.concatenate(([0], np.cumsum(sizes))), flat]
     head = json.dumps([(p.dtype.str, len(p)) for p in parts]).encode()
     return len(head).to_bytes(8, "little") + head + b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
@@ -211,26 +246,41 @@ class Lexicon:
         return np.where(found, place, -1)
 
 
+@lru_cache(maxsize=2)
+def _coder(vocab: str, lex: bytes) -> Coder:
+    """One for each worker, which keeps what it knows from task to task."""
+    return Coder(_model(vocab), Lexicon(lex))
+
+
 class Coder:
-    """Encodes and decodes texts; remembers the words of the task, up to a bound."""
+    """Encodes and decodes texts; remembers words, those outside the lexicon up to a bound."""
 
     def __init__(self, model: Model, lexicon: Lexicon, most: int = 400_000) -> None:
         self.model, self.lexicon, self.most = model, lexicon, most
         self.bytes: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
+        self.merged: list[str] = []
 
     def learn(self, words: set[str]) -> None:
+        if len(self.merged) > self.most:
+            for w in self.merged:
+                del self.bytes[w], self.text[w]
+            self.merged.clear()
         new = [w for w in words if w not in self.bytes]
-        if len(self.bytes) + len(new) > self.most:
-            self.bytes.clear()
-            self.text.clear()
-            new = list(words)
         if not new:
             return
-        name, lex = self.model.name, self.lexicon
-        for w, p in zip(new, lex.places(new).tolist()):
-            ids = lex.ids[lex.offset[p] : lex.offset[p + 1]] if p >= 0 else np.array(self.model.merged(w), np.uint32)
-            self.bytes[w], self.text[w] = ids.astype("<u4").tobytes(), " ".join([name[i] for i in ids.tolist()])
+        name, lex, tab, txt = self.model.name, self.lexicon, self.bytes, self.text
+        places = lex.places(new)
+        at, to = lex.offset[places].tolist(), lex.offset[places + 1].tolist()
+        for w, p, a, b in zip(new, places.tolist(), at, to):
+            if p >= 0:
+                part = lex.ids[a:b]
+                tab[w], ids = part.tobytes(), part.tolist()
+            else:
+                ids = self.model.merged(w)
+                tab[w] = struct.pack(f"<{len(ids)}I", *ids)
+                self.merged.append(w)
+            txt[w] = name[ids[0]] if len(ids) == 1 else " ".join([name[i] for i in ids])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Each text's ids as little-endian bytes, and its decoded text."""
@@ -269,7 +319,7 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, vocab: str, size: int = 50_000) -> bytes:
+def lexicon(docs: DataFrame, vocab: str, size: int = 150_000) -> bytes:
     """The transducer of the ``size`` most frequent words of the texts; ``size`` bounds what reaches the driver."""
     top = word_counts(docs, vocab).orderBy(F.desc("n"), "word").limit(size).collect()
     model = _model(vocab)
@@ -283,7 +333,7 @@ def _coded(docs: DataFrame, vocab: str, lex: bytes | None, out, schema: str) ->
     sent, sent_lex = sc.broadcast(vocab), sc.broadcast(lexicon(docs, vocab) if lex is None else lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_model(sent.value), Lexicon(sent_lex.value))
+        coder = _coder(sent.value, sent_lex.value)
         for b in batches:
             for at in range(0, b.num_rows, 200):  # bounds the words held at once
                 x = b.slice(at, 200)
