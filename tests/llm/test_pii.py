@@ -1,0 +1,47 @@
+import re
+
+from tidemark.llm import pii
+
+# The base patterns as stated, to hold the linear matchers against.
+STATED = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def stated(t):
+    out = []
+    for k, p in STATED.items():
+        for m in re.finditer(p, t):
+            n = "".join(c for c in m[0] if c.isdigit())
+            good = {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(n) <= 19 and pii.luhn(n), "phone": 8 <= len(n) <= 15}[k]
+            if good:
+                out.append((k, *m.span()))
+    return out
+
+
+TEXTS = [
+    "a@b.co, a@b@c.de x@y a@b.c@d.ef .@-.- %@a.b.c.", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.2.3 0.0.0.0.", "4539 1488 0343 6467 4539148803436467 4539-1488-0343-6468 1234567890123456",
+    "+1 (988) 555-2485 +49 30 123456 +1-2 +123456789012345678 ++1 23456789", "9" * 3000 + ".1.2.3", "é +49 30 12 34 56 78 😀 x@y.zz", "a" * 5000 + "@" * 50, "", "1-1-1-1 1 1 1 1 1 1 1 1 1 1 1 1 1",
+]
+
+
+def test_base_spans_are_as_stated():
+    for t in TEXTS:
+        assert [s for s in pii.proposed(t) if s[0] in pii.BASE] == stated(t), t[:50]
+
+
+def test_checksums_and_context(spark):
+    assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468")
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB82 WEST 1234 5698 7654 33")
+    rows = [(1, "my ssn is 123-45-6789"), (2, "part 123-45-6789"), (3, "IBAN GB82 WEST 1234 5698 7654 32"), (4, "call (415) 555-2671"), (5, None), (6, "x@y.zz")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["ssn"], 2: [], 3: ["iban"], 4: ["phone_local"], 5: [], 6: ["email"]}
+
+
+def test_masks_keep_other_text_and_columns(spark):
+    rows = [(1, "q", "mail é x@y.zz now", 5), (1, "q", "mail é x@y.zz now", 5), (2, None, None, 0), (None, "s", "", 1)]
+    got = pii.redacted(spark.createDataFrame(rows, "doc_id long, spans string, text string, kind int"))
+    assert got.columns == ["doc_id", "spans", "text", "kind"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "q", "mail é <EMAIL> now", 5)] * 2 + [(2, None, None, 0), (None, "s", "", 1)], key=str)
+    assert pii.report(got.limit(0)).collect() == []

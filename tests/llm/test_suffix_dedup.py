@@ -30,6 +30,16 @@ def test_suffix_order_is_the_suffix_array(seed):
         assert order.tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_order_holds_as_far_as_names_go(seed):
+    rng = np.random.default_rng(seed)
+    t = np.concatenate([np.tile(rng.integers(1, 3, int(rng.integers(1, 60))), 30) for _ in range(20)])
+    order, _ = s.suffix_order(t, 3)
+    assert sorted(order.tolist()) == list(range(len(t)))
+    heads = [t[i : i + 27].tolist() for i in order]
+    assert heads == sorted(heads)
+
+
 def test_removal_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(s, "PIECE", 500)
     rng = np.random.default_rng(7)

@@ -211,7 +211,8 @@ def suffix_order(text: np.ndarray, depth: int = 5) -> tuple[np.ndarray, np.ndarr
         both = np.concatenate([twos, zero])
         named = _names(t[both], t[both + 1], r[both + 2])
         before += np.searchsorted(named[: len(twos)], named[len(twos) :])
-    place = before + np.arange(len(zero))
+    # suffixes that are equal as far as names go can be counted out of turn
+    place = np.maximum.accumulate(before) + np.arange(len(zero))
     order = np.empty(n, np.int64)
     free = np.ones(n, bool)
     free[place] = False
