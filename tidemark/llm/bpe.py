@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import ship, stored
 
 
 @lru_cache(maxsize=4)
@@ -68,8 +68,7 @@ class Model:
         if m["type"] != "BPE" or d.get("decoder") or not m.get("end_of_word_suffix"):
             raise ValueError("a BPE model with word ends and no decoder is needed")
         self.vocab: dict[str, int] = m["vocab"]
-        pairs = (x if isinstance(x, list) else x.split(" ") for x in m["merges"])
-        self.ranks = {tuple(x): k for k, x in enumerate(pairs)}
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in m["merges"]]
         self.end: str = m["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in d.get("added_tokens", ())}
         names = sorted(self.special, key=len, reverse=True)
@@ -82,13 +81,13 @@ class Model:
         # bytes that print stand for themselves, the others for the characters from U+0100 on, in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(own)]
-        self.char = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        char = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
         # the same by ids: bytes inside and at the end of a word, a pair's rank, and what a rank's pair becomes
-        self.byte = [self.vocab[self.char[b]] for b in range(256)]
-        self.last = [self.vocab[self.char[b] + self.end] for b in range(256)]
-        self.rank = {self.vocab[a] << 20 | self.vocab[b]: k for (a, b), k in self.ranks.items()}
-        self.joined = [self.vocab[a + b] for a, b in self.ranks]
-        self.no = len(self.ranks)
+        self.byte = [self.vocab[char[b]] for b in range(256)]
+        self.last = [self.vocab[char[b] + self.end] for b in range(256)]
+        self.rank = {self.vocab[a] << 20 | self.vocab[b]: k for k, (a, b) in enumerate(pairs)}
+        self.joined = [self.vocab[a + b] for a, b in pairs]
+        self.no = len(pairs)
 
     def split(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and the ids of special tokens between them."""
@@ -111,11 +110,9 @@ class Model:
     def merged(self, word: str) -> list[int]:
         """The ids of one word: the pair of lowest rank merges first, from the left."""
         raw = word.encode("utf-8", "replace")
-        if len(raw) > 200:
-            parts = [self.char[b] for b in raw]
-            parts[-1] += self.end
-            return [self.vocab[p] for p in self._long(parts) if p in self.vocab]
         ids = [self.byte[b] for b in raw[:-1]] + [self.last[raw[-1]]] if raw else []
+        if len(ids) > 200:
+            return self._long(ids)
         rank, joined, no = self.rank, self.joined, self.no
         near = [rank.get(a << 20 | b, no) for a, b in zip(ids, ids[1:])]
         while near and (best := min(near)) != no:
@@ -128,27 +125,27 @@ class Model:
                 near[i] = rank.get(new << 20 | ids[i + 1], no)
         return ids
 
-    def _long(self, parts: list[str]) -> list[str]:
+    def _long(self, ids: list[int]) -> list[int]:
         """The same merges through a heap over a linked list, for very long words."""
         import heapq
 
-        n = len(parts)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        n, rank = len(ids), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            parts[i], alive[j], nxt[i] = a + b, False, nxt[j]
-            if nxt[j] < n:
-                prev[nxt[j]] = i
-            for x in (prev[i], i):
-                if x >= 0 and (y := nxt[x]) < n and (r := self.ranks.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [p for p, ok in zip(parts, alive) if ok]
+            ids[i], alive[j], after[i] = self.joined[r], False, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x in (before[i], i):
+                if x >= 0 and (y := after[x]) < n and (r := rank.get(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
+        return [t for t, ok in zip(ids, alive) if ok]
 
 
 def compiled(words: list[str], ids: list[list[int]]) -> bytes:
@@ -319,11 +316,22 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, vocab: str, size: int = 150_000) -> bytes:
-    """The transducer of the ``size`` most frequent words of the texts; ``size`` bounds what reaches the driver."""
-    top = word_counts(docs, vocab).orderBy(F.desc("n"), "word").limit(size).collect()
+def lexicon(docs: DataFrame, vocab: str, size: int = 50_000) -> bytes:
+    """The transducer of the most frequent words of the texts, ``size`` at most.
+
+    Words are taken by classes of like frequency, 64 for each factor of e, down
+    to the last class that still fits, so that the driver gets no more than
+    ``size`` words, and from no partition more than that partition has of them.
+    """
+    counts = stored(word_counts(docs, vocab)).withColumn("level", F.floor(F.log("n") * 64))
+    levels = sorted(((r["level"], r["words"]) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)
+    total, cut = 0, None
+    for level, words in levels:
+        if (total := total + words) > size:
+            break
+        cut = level
+    words = [] if cut is None else sorted(r["word"] for r in counts.filter(F.col("level") >= cut).select("word").collect())
     model = _model(vocab)
-    words = [r["word"] for r in top]
     return compiled(words, [model.merged(w) for w in words])
 
 
