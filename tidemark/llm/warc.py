@@ -59,10 +59,14 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 100) -> None:
 
 
 def _firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    own = firsts.select(F.col("first").alias("page_id"), F.col("digest").alias("_first"))
-    # by page_id, which spreads evenly, and not by digest, of which one may be a third of all rows
-    picked = rows.join(own, "page_id").filter(F.sha2("payload", 256) == F.col("_first"))
-    return picked.dropDuplicates(["page_id", "_first"]).select(F.col("_first").alias("digest"), "payload")
+    """Each digest's payload, once, from its first page.
+
+    Payloads are dealt out once, by digest and page, which spreads the copies
+    of a digest; the rows that repeat a page are then in one place already.
+    """
+    own = firsts.select("digest", F.col("first").alias("page_id"))
+    picked = rows.withColumn("digest", F.sha2("payload", 256)).join(own, ["digest", "page_id"])
+    return picked.dropDuplicates(["digest", "page_id"]).select("digest", "payload")
 
 
 def _verified(spark: SparkSession, folder: str) -> DataFrame:
