@@ -5,13 +5,30 @@ import corpus_pipeline
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tests.llm.test_simhash import brute, groups
+from tests.llm.test_simhash import brute
 from tidemark.llm import mixing, pii
 from tidemark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 
 
+def linked(ids, fps, sets):
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sorted(ids):
+        for j in sorted(ids):
+            d = (fps[i] ^ fps[j]).bit_count()
+            if j < i and (d <= 4 or d <= 8 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
 def test_stages_match_brute_force(spark):
     docs = table(spark, SF, "documents")
     columns, out = docs.columns, {}
@@ -28,7 +45,8 @@ def test_stages_match_brute_force(spark):
     kept = {r["doc_id"] for r in out["quality"]}
     assert kept <= {i for i, w in words.items() if len(w) >= 50} and len(kept) > len(rows) // 3
     fps = {i: brute(rows[i]["text"]) for i in kept}
-    alone = {i for i, top in groups(fps).items() if i == top}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in kept for w in [(rows[i]["text"] or "").encode().lower().split()]}
+    alone = {i for i, top in linked(kept, fps, sets).items() if i == top}
     assert {r["doc_id"] for r in out["near_duplicates"]} == alone
     masked = {r["doc_id"]: r for r in out["mask_personal_data"]}
     assert set(masked) == alone

@@ -63,9 +63,30 @@ def test_links_lose_no_pair(spark):
     fps = {i: x for i, x in enumerate(sorted(fps))}
     rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()]
     nodes = spark.createDataFrame(rows, "node long, fp long")
-    for front in (1, 10):
-        got = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, front=front)).collect()}
-        assert {i: got.get(i, i) for i in fps} == groups(fps)
+    for front, budget in ((1, 4), (10, 4), (8, 8)):
+        got = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, budget, front)).collect()}
+        assert {i: got.get(i, i) for i in fps} == groups(fps, budget)
+
+
+def test_wide_links_count_if_the_texts_are_similar(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for n in (1, 2, 3, 40, 60):
+        w = list(base)
+        for k in rng.choice(120, n, replace=False):
+            w[k] = f"x{n}y{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, wide=8).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    fps = {i: brute(t) for i, t in enumerate(texts)}
+    near = {(i, j) for i in fps for j in fps if i < j and ((d := (fps[i] ^ fps[j]).bit_count()) <= 4 or d <= 8 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))}
+    up = {i: i for i in fps}
+    for _ in fps:
+        for i, j in near:
+            up[i] = up[j] = min(up[i], up[j])
+    assert got == up and len(near) > 0
 
 
 def test_walk_finds_every_pair_of_a_dense_group():
@@ -73,7 +94,7 @@ def test_walk_finds_every_pair_of_a_dense_group():
     near = [sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(1, 4, 400)]
     leaves = np.unique(np.array(near, np.uint64))
     found = set()
-    for i, j in simhash._walk(leaves, None, 0, 0, 21, 1, 4, block=1 << 10):
+    for i, j in simhash._walk(leaves, None, 0, 21, 1, 4, block=1 << 10):
         assert not found & (new := set(zip(i.tolist(), j.tolist())))
         found |= new
     want = {(i, j) for i in range(len(leaves)) for j in range(i + 1, len(leaves)) if (d := int(leaves[i] ^ leaves[j])).bit_count() <= 4 and (d >> 43).bit_count() <= 1}

@@ -5,10 +5,14 @@ distinct fingerprints with themselves: three tries, each with another third of
 the bits in front, are cut at their first ``front`` bits into groups; inside a
 group pairs of trie nodes are walked together, level by level, with the
 differing bits added up, and a pair of nodes goes as soon as it exceeds the
-error budget. Four differing bits leave some third with at most one, or the
-last with none, so each trie walks its first third with that smaller budget
-and the rest with the whole one: no link is lost. ``components`` joins the
-links to groups by alternating large-star and small-star rounds.
+error budget. Four differing bits leave one of the first two thirds with at
+most one, or the last with none, so each trie walks its first third with that
+smaller budget and the rest with the whole one: no link is lost. ``components``
+joins the links to groups by alternating large-star and small-star rounds.
+
+``near_duplicates`` can look further than the budget that is a link by itself:
+links of more differing bits then count if the texts' word shingles are as
+similar as asked for, which is worked out exactly from the texts.
 
 Copies share a fingerprint, so a group of any size is one leaf; a task passes
 on a spanning forest of its links, never all pairs of a group.
@@ -30,8 +34,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import hex64, ship, stored
 
-#: First bit and length of the part of the fingerprint that stands in front of each trie, and the differing bits allowed in it.
-PARTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: First bit and length of the part of the fingerprint that stands in front of each trie.
+PARTS = ((0, 21), (21, 21), (42, 22))
+
+
+def allowed(budget: int) -> list[int]:
+    """The differing bits allowed in each part: with one more in all three the budget would be exceeded."""
+    total = max(0, budget - 2)
+    return [total // 3 + (k < total % 3) for k in range(3)]
 
 
 def _simhash(texts: list, words: int) -> np.ndarray:
@@ -102,7 +112,7 @@ def _forest(a: np.ndarray, b: np.ndarray, up: dict) -> list[tuple[int, int]]:
     return kept
 
 
-def _walk(home: np.ndarray, guest: np.ndarray | None, front: int, part: int, length: int, most: int, budget: int, block: int = 1 << 20):
+def _walk(home: np.ndarray, guest: np.ndarray | None, front: int, length: int, most: int, budget: int, block: int = 1 << 20):
     """Index pairs (of home and guest, or of home and home) within the budget. Both are sorted and share their own first bits.
 
     A frontier holds pairs of trie nodes as ranges of the sorted leaves. Each
@@ -120,7 +130,7 @@ def _walk(home: np.ndarray, guest: np.ndarray | None, front: int, part: int, len
         size = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
         done = (size <= 64) | (bit == 64)
         if done.any():
-            yield from _compared(home, other, nodes[done], guest is None, part, length, most, budget, block)
+            yield from _compared(home, other, nodes[done], guest is None, length, most, budget, block)
             nodes = nodes[~done]
         if not len(nodes):
             continue
@@ -148,7 +158,7 @@ def _cut(leaves: np.ndarray, lo: np.ndarray, hi: np.ndarray, mask: np.uint64) ->
     return np.where(base & mask, lo, np.minimum(np.searchsorted(leaves, want), hi))
 
 
-def _compared(home, other, nodes, same, part, length, most, budget, block):
+def _compared(home, other, nodes, same, length, most, budget, block):
     na, nb = nodes[:, 1] - nodes[:, 0], nodes[:, 3] - nodes[:, 2]
     total = np.cumsum(na * nb)
     lo = 0
@@ -167,47 +177,63 @@ def _compared(home, other, nodes, same, part, length, most, budget, block):
         lo = hi
 
 
-def links(nodes: DataFrame, budget: int = 4, front: int = 10) -> DataFrame:
-    """Edges (a, b) of node ids that join all distinct fingerprints at most ``budget`` bits apart, for nodes(node, fp).
+def links(nodes: DataFrame, budget: int = 4, front: int = 10, sure: int | None = None) -> DataFrame:
+    """Edges (a, b, bits) of node ids for nodes(node, fp): forests that join all distinct fingerprints that ``budget`` bits or fewer part.
 
-    ``front`` bits of each trie pick the group, so there are 3 * 2 ** front
-    groups; a fingerprint visits the groups within that trie's small budget.
+    With ``sure`` the edges up to so many bits are a forest of their own, and
+    those beyond it another. ``front`` bits of each trie pick the group, so there
+    are 3 * 2 ** front groups; a fingerprint visits the groups within the
+    budget of that trie's first part.
     """
-    if budget > 4:
-        raise ValueError("three parts with budgets 1, 1 and 0 cover up to four differing bits")
+    from itertools import combinations
+
     ship(nodes.sparkSession)
+    sure = budget if sure is None else sure
+    limits = allowed(budget)
     ups = []
-    for k, (first, length, most) in enumerate(PARTS):
+    for k, ((first, _), most) in enumerate(zip(PARTS, limits)):
         turned = F.col("fp") if not first else F.call_function("shiftleft", F.col("fp"), F.lit(first)).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64 - first)))
         key = F.call_function("shiftrightunsigned", turned, F.lit(64 - front)).cast("int")
+        masks = [sum(1 << i for i in c) for n in range(1, most + 1) for c in combinations(range(front), n)]
         # itself at home, and as a guest with each neighbour of a smaller key
-        near = F.filter(F.array(*[key.bitwiseXOR(F.lit(1 << i)) for i in range(front)]), lambda x: x < key) if most else F.array().cast("array<int>")
-        where = F.concat(F.array(F.struct(key.alias("home"), F.lit(-1).alias("guest"))), F.transform(near, lambda x: F.struct(x.alias("home"), key.alias("guest"))))
-        ups.append(nodes.select("node", "fp", F.lit(k).alias("trie"), F.explode(where).alias("w")).select("trie", "w.home", "w.guest", "node", "fp"))
+        keyed = nodes.select("node", "fp", key.alias("key"))
+        near = F.filter(F.transform(F.array(*[F.lit(m) for m in masks]) if masks else F.array().cast("array<int>"), lambda m: m.bitwiseXOR(F.col("key"))), lambda x: x < F.col("key"))
+        where = F.concat(F.array(F.struct(F.col("key").alias("home"), F.lit(-1).alias("guest"))), F.transform(near, lambda x: F.struct(x.alias("home"), F.col("key").alias("guest"))))
+        ups.append(keyed.select("node", "fp", F.lit(k).alias("trie"), F.explode(where).alias("w")).select("trie", "w.home", "w.guest", "node", "fp"))
 
     def run(key, t):
-        first, length, most = PARTS[key[0].as_py()]
+        (first, length), most = PARTS[key[0].as_py()], limits[key[0].as_py()]
         fp, node, by = (t.column(c).to_numpy() for c in ("fp", "node", "guest"))
         turned = _rotated(fp.view(np.uint64), first)
         order = np.lexsort((turned, by))
         turned, node, by = turned[order], node[order], by[order]
         own = int(np.searchsorted(by, -1, "right"))
-        up: dict = {}
+        forests: tuple[dict, dict] = ({}, {})
         kept: list[tuple[int, int]] = []
+        bits: list[int] = []
+
+        def add(i: np.ndarray, j: np.ndarray, other: np.ndarray, names: np.ndarray) -> None:
+            d = np.bitwise_count(home[i] ^ other[j])
+            for far, up in enumerate(forests):
+                at = np.flatnonzero((d > sure) == bool(far))
+                new = _forest(node[i[at]], names[j[at]], up)
+                kept.extend(new)
+                bits.extend([budget if far else sure] * len(new))
+
         if own:
             home = turned[:own]
-            for i, j in _walk(home, None, front, first, length, most, budget):
-                kept += _forest(node[i], node[j], up)
+            for i, j in _walk(home, None, front, length, most, budget):
+                add(i, j, home, node)
             cuts = np.flatnonzero(np.diff(by[own:])) + own + 1
             for lo, hi in zip([own, *cuts.tolist()], [*cuts.tolist(), len(by)]):
                 if hi > lo:
-                    for i, j in _walk(home, turned[lo:hi], front, first, length, most, budget):
-                        kept += _forest(node[i], node[lo + j], up)
+                    for i, j in _walk(home, turned[lo:hi], front, length, most, budget):
+                        add(i, j, turned[lo:hi], node[lo:hi])
         e = np.array(kept, np.int64).reshape(-1, 2)
-        return pa.table({"a": e.min(1) if len(e) else e[:, 0], "b": e.max(1) if len(e) else e[:, 1]})
+        return pa.table({"a": pa.array(np.minimum(e[:, 0], e[:, 1])), "b": pa.array(np.maximum(e[:, 0], e[:, 1])), "bits": pa.array(bits, pa.int32())})
 
     both = ups[0].unionByName(ups[1]).unionByName(ups[2])
-    return both.groupBy("trie", "home").applyInArrow(run, "a long, b long")
+    return both.groupBy("trie", "home").applyInArrow(run, "a long, b long, bits int")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -239,11 +265,50 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select("a", F.col("a").alias("component")).distinct().toDF("node", "component"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links of at most ``budget`` bits reach."""
+def similar(edges: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those edges (a, b) of document ids whose texts' sets of word shingles have the Jaccard similarity."""
+
+    def shingles(text: str | None) -> set:
+        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
+                p, q = shingles(s), shingles(t)
+                both = len(p & q)
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield x.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    # both texts move once for each edge, of which a forest has fewer than documents
+    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]))
+    pairs = edges.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, wide: int | None = None, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that links reach.
+
+    Fingerprints at most ``budget`` bits apart are linked. With ``wide`` so are
+    those up to that many bits apart whose texts have the similarity, by
+    shingles of ``shingle`` words.
+    """
     fps = stored(fingerprints(docs, words))
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes, budget))
+    if wide is None:
+        found = components(links(nodes, budget))
+    else:
+        edges = stored(links(nodes, wide, 8, budget))
+        sure = stored(edges.filter(F.col("bits") <= budget).select("a", "b"))
+        known = components(sure)
+        far = edges.filter(F.col("bits") > budget).select("a", "b").distinct()
+        # what surer links join already needs no look at the texts
+        for c in ("a", "b"):
+            far = far.join(known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left")
+        far = stored(far.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
+        found = components(sure.unionByName(similar(far, docs, similarity, shingle)))
     group = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.distinct().join(group, "fp")
 
