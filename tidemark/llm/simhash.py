@@ -293,7 +293,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, wide: int
 
     Fingerprints at most ``budget`` bits apart are linked. With ``wide`` so are
     those up to that many bits apart whose texts have the similarity, by
-    shingles of ``shingle`` words.
+    shingles of ``shingle`` words. Links of the budget are complete; of the wider
+    ones each task passes on a forest, so that of three texts pairwise apart by
+    more than the budget one pair may go without being looked at.
     """
     fps = stored(fingerprints(docs, words))
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
