@@ -41,9 +41,9 @@ class AnnParams:
     subvectors: int = 16
     codes: int = 256
     #: Candidates of each query that are reranked, as a multiple of k.
-    rerank: int = 6
+    rerank: int = 12
     #: Recall on the sample from which the number of probed lists is taken.
-    recall: float = 0.97
+    recall: float = 0.985
     #: Entries and queries of a block at most, about.
     block: int = 20_000
 
