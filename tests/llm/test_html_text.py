@@ -11,6 +11,11 @@ def test_article_alone_in_page_order():
     assert h.main_text(PAGE) == 'The head First bold & text, with commas, and more words here. Second line. Third, unclosed paragraph; it has words. Said "so". Tiny'
 
 
+def test_layouts_around_an_article():
+    page = '<div class="page withSidebar"><article class="post"><p>Text, one.</p><p>Text, two.</p></article><div class="sidebar"><p>Side, one.</p></div><section id="userComments"><article><p>Comment, one, and so on.</p></article></section></div>'
+    assert h.main_text(page) == "Text, one. Text, two."
+
+
 def test_odd_pages(spark):
     assert h.main_text(None) == h.main_text("") == h.main_text("<script>x") == h.main_text("<!-- x") == ""
     assert h.main_text("just text &am more") == "just text &am more"

@@ -44,6 +44,8 @@ MARKS = frozenset(
     "ad ads adv advert advertisement advertising adbox adsense banner promo promotion promoted sponsor sponsored menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar "
     "comment comments disqus reply replies respond discussion related recommended recommendations share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login toolbar pagination pager tags copyright legal disclaimer skip".split()
 )
+#: Those of them that also name layouts around an article ("with-sidebar"): an article inside is one all the same.
+LAYOUT = frozenset("sidebar aside menu nav navbar navigation banner widget widgets topbar toolbar skip ads ad".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A new block element ends an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -65,7 +67,7 @@ class HtmlParams:
 
 def nodes(page: str) -> Iterator[tuple[tuple, str, bool]]:
     """(path, text, whether a block ends before it) for each text node; a path has (tag, number, kept) steps."""
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool | None]] = []
     at, number, brk, size = 0, 0, True, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -102,7 +104,11 @@ def nodes(page: str) -> Iterator[tuple[tuple, str, bool]]:
         if tag in VOID:
             continue
         number += 1
-        keep = (not stack or stack[-1][2]) and _kept(tag, m[4], stack)
+        above, keep = stack[-1][2] if stack else True, _kept(tag, m[4], stack)
+        if above is False or keep is False:
+            keep = False
+        elif above is None and tag not in ("article", "main"):
+            keep = None
         stack.append((tag, number, keep))
 
 
@@ -115,22 +121,28 @@ def _end(stack: list, tags: set, until: tuple) -> None:
             return
 
 
-def _kept(tag: str, attrs: str, stack: list) -> bool:
+def _kept(tag: str, attrs: str, stack: list) -> bool | None:
+    """Whether an element's text may be the article's; None for what only looks like a layout's side."""
     if tag in NEVER:
         return False
     if tag in HEADER:
         return tag == "header" and any(x[0] in ("article", "main") for x in stack)
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return True
+    keep: bool | None = True
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return False
-        if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return False
-    return True
+        if name in ("class", "id"):
+            marks = MARKS.intersection(x.lower() for x in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", m[2] or m[3] or m[4] or ""))
+            if marks - LAYOUT:
+                return False
+            if marks and tag not in ("article", "main"):
+                keep = None
+    return keep
 
 
 def main_text(page: str | None, params: HtmlParams = HtmlParams()) -> str:
