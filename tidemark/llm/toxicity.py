@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +47,8 @@ OTHER, INSULT, TARGET, NEGATION, REPORT, FUTURE, THREAT = range(7)
 @dataclass(frozen=True)
 class ToxicParams:
     #: Bounds on the labelled rows learned from, toxic and clean; a hash of the id picks them.
-    max_toxic: int = 3000
-    max_clean: int = 6000
+    max_toxic: int = 2000
+    max_clean: int = 4000
     #: A word or stem needs so many different contexts in toxic texts ...
     min_contexts: int = 10
     #: ... and so large a share of its contexts there, with equal numbers of either.
@@ -173,21 +173,35 @@ def held_out(params: ToxicParams = ToxicParams()) -> Column:
 
 
 def learned_words(texts: list[tuple[str, int]], params: ToxicParams) -> tuple[dict, dict]:
-    """Weights of words and of stems from labelled texts."""
-    counts: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
+    """Weights of words and of stems from labelled texts.
+
+    A first pass counts occurrences, so that the contexts of just those words
+    are gathered that are frequent enough and mostly in toxic texts.
+    """
+
+    def features(x: str) -> list:
+        return [x, *((n, x[:n]) for n in params.stems if len(x) >= n)]
+
+    times: list[Counter] = [Counter(), Counter()]
     for want in (1, 0):
         for text, label in texts:
-            if label != want:
-                continue
-            w = ["", *re.findall(r"[^\W_]+", text.lower()), ""]
-            for a, x, b in zip(w, w[1:], w[2:]):
-                context = hash((a, b))
-                for f in (x, *((n, x[:n]) for n in params.stems if len(x) >= n)):
-                    # clean contexts matter just for what is found in toxic texts
-                    if want or f in counts[1]:
-                        counts[want][f].add(context)
+            if label == want:
+                for x, n in Counter(re.findall(r"[^\W_]+", text.lower())).items():
+                    for f in features(x):
+                        if want or f in times[1]:
+                            times[want][f] += n
         if want:
-            counts[1] = {f: c for f, c in counts[1].items() if len(c) >= params.min_contexts}
+            times[1] = Counter({f: n for f, n in times[1].items() if n >= params.min_contexts})
+    docs = [max(1, sum(label == k for _, label in texts)) for k in (0, 1)]
+    wanted = {f for f, n in times[1].items() if n / docs[1] >= times[0][f] / docs[0]}
+    counts: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
+    for text, label in texts:
+        w = ["", *re.findall(r"[^\W_]+", text.lower()), ""]
+        for a, x, b in zip(w, w[1:], w[2:]):
+            for f in features(x):
+                if f in wanted:
+                    counts[label][f].add(hash((a, b)))
+    counts[1] = {f: c for f, c in counts[1].items() if len(c) >= params.min_contexts}
     total = [max(1, sum(label == k for _, label in texts)) for k in (0, 1)]
     words, stems = {}, {}
     for f, c in counts[1].items():
@@ -198,7 +212,6 @@ def learned_words(texts: list[tuple[str, int]], params: ToxicParams) -> tuple[di
                 stems[f[1]] = weight
             else:
                 words[f] = weight
-    # a stem says more than its words only if it has contexts beside theirs
     return words, stems
 
 
