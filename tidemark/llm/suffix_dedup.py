@@ -108,30 +108,52 @@ class Blocks:
 
 
 def _blocks(docs: DataFrame, length: int) -> DataFrame:
-    names = ["g", "b", "doc", "pos", "lo", "hi"]
+    names = ["g", "b", "doc", "pos", "lo", "hi", "late"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Blocks(length)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                x = batch.slice(at, 256)
-                rows: list[list] = [[] for _ in names]
+            for at in range(0, batch.num_rows, 2048):
+                x = batch.slice(at, 2048)
+                rows: list[list] = [[] for _ in names[:-1]]
                 for doc, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
                     for g, b, pos, lo, hi in cutter.of((text or "").encode("utf-8", "surrogatepass")):
-                        for to, v in zip(rows, (g.view(np.int64), b.view(np.int64), np.full(len(g), doc), pos, lo, hi)):
+                        for to, v in zip(rows, (g.view(np.int64), b.view(np.int64), np.full(len(g), doc), pos.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))):
                             to.append(v)
                 if rows[0]:
-                    cols = [np.concatenate(r) for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.int32()) for k, c in enumerate(cols)], names=names)
+                    c = [np.concatenate(r) for r in rows]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, c), pa.array(_late(*c[:4]))], names=names)
 
-    return docs.mapInArrow(run, "g long, b long, doc long, pos int, lo int, hi int")
+    return docs.mapInArrow(run, "g long, b long, doc long, pos int, lo int, hi int, late boolean")
+
+
+def _late(g: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether an equal block stands earlier among these ones, which settles a block."""
+    order = np.lexsort((b, g))
+    same = (g[order[1:]] == g[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    late = np.zeros(len(g), bool)
+    if same.any():
+        run = np.cumsum(np.concatenate(([True], ~same)))
+        some = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        at = order[some]
+        by = np.lexsort((pos[at], doc[at], run[some]))
+        at, run = at[by], run[some][by]
+        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))[np.cumsum(np.concatenate(([True], run[1:] != run[:-1]))) - 1]
+        late[at] = (doc[at] != doc[at[first]]) | (pos[at] != pos[at[first]])
+    return late
 
 
 def _copies(blocks: DataFrame) -> DataFrame:
-    """Of blocks in order of (g, b, doc, pos): those removed whole (kind 0), and those that the sort must compare (kind 1)."""
+    """Of blocks in order of (g, b, doc, pos): those removed whole (kind 0), and those that the sort must compare (kind 1).
+
+    Blocks that a task has found late are spread over all tasks, so that a gram
+    of a third of all blocks brings just a few from each task to its own.
+    """
 
     def found(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         g, b, doc, pos = c["g"], c["b"], c["doc"], c["pos"]
+        if c["late"][0]:
+            return pa.RecordBatch.from_pydict({"kind": np.zeros(len(g), np.int32), **{k: c[k] for k in ("g", "doc", "pos", "lo", "hi")}})
         new_g = np.concatenate(([True], g[1:] != g[:-1]))
         new = new_g | np.concatenate(([True], b[1:] != b[:-1]))
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -143,9 +165,13 @@ def _copies(blocks: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (found(c) for c in _whole_groups(batches, ("g", "b", "doc", "pos", "lo", "hi"), lambda c: len(c["g"]), 200_000))
+        for c in _whole_groups(batches, ("g", "b", "doc", "pos", "lo", "hi", "late"), lambda c: len(c["g"]), 200_000):
+            for late in (False, True):
+                if len(at := np.flatnonzero(c["late"] == late)):
+                    yield found({k: v[at] for k, v in c.items()})
 
-    sorted_ = blocks.repartition("g").sortWithinPartitions("g", "b", "doc", "pos")
+    spread = F.when(F.col("late"), F.xxhash64("doc", "pos")).otherwise(F.col("g"))
+    sorted_ = blocks.repartition(spread).sortWithinPartitions("g", "b", "doc", "pos")
     return sorted_.mapInArrow(run, "kind int, g long, doc long, pos int, lo int, hi int")
 
 
@@ -171,7 +197,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple, size, most: i
 
 
 def _columns(t: pa.Table, names: tuple) -> dict:
-    return {k: t.column(k).combine_chunks() if k == "bytes" else t.column(k).to_numpy() for k in names}
+    return {k: t.column(k).combine_chunks() if k == "bytes" else t.column(k).to_numpy(zero_copy_only=False) if k == "late" else t.column(k).to_numpy() for k in names}
 
 
 def suffix_order(text: np.ndarray, depth: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -233,6 +259,11 @@ def suffix_order(text: np.ndarray, depth: int = 5) -> tuple[np.ndarray, np.ndarr
 def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The dense rank of each triple."""
     wide = int(max(a.max(initial=0), b.max(initial=0), c.max(initial=0))) + 1
+    if wide**3 < 8 * len(a):  # small alphabets need no sort
+        key = (a * wide + b) * wide + c
+        used = np.zeros(wide**3, bool)
+        used[key] = True
+        return (np.cumsum(used) - 1)[key]
     if wide < 1 << 21:
         return np.unique((a * wide + b) * wide + c, return_inverse=True)[1]
     order = np.lexsort((c, b, a))
@@ -247,7 +278,10 @@ def repeated(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer(b"\0".join(texts) + b"\0" * 8, np.uint8)
     offset = np.cumsum(size + 1) - size - 1
-    char = flat[: offset[-1] + size[-1]].astype(np.int64) + 1
+    # bytes by their ranks among those in use, from 1 on
+    used = np.zeros(256, bool)
+    used[flat] = True
+    char = np.cumsum(used)[flat[: offset[-1] + size[-1]]]
     char[offset[1:] - 1] = 0
     order, _ = suffix_order(char)
     # just the suffixes at which a whole string starts
