@@ -39,7 +39,7 @@ class MixParams:
     #: A source gives at most so many times its size.
     cap: int = 2
     #: Rows of a bucket, over which offsets are summed in one task.
-    bucket_rows: int = 20_000
+    bucket_rows: int = 2_000
     #: Slots for each document, on average; this sets the block size.
     slots_per_doc: float = 1.0
 
