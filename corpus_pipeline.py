@@ -28,10 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each near-duplicate group.
 
     Links are those of the operator's query (four bits of fingerprints of four
-    words), and up to eight bits if the texts' five-word shingles are similar to
-    0.8 or more.
+    words), and any distance if the texts' five-word shingles are similar to 0.8
+    or more.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), wide=8)
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"), wide=64)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

@@ -89,6 +89,44 @@ def test_wide_links_count_if_the_texts_are_similar(spark):
     assert got == up and len(near) > 0
 
 
+def joined(ids, near):
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in near:
+        a, b = top(i), top(j)
+        up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
+def similar_pairs(texts, least=0.8):
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in texts]
+    return {(i, j) for i, p in enumerate(sets) for j, q in enumerate(sets[:i]) if (n := len(p & q)) >= least * (len(p) + len(q) - n)}
+
+
+def test_similar_texts_far_apart_are_linked(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(150):  # similarity just over 0.8
+        w = [f"g{g}w{i}" for i in range(150)]
+        texts.append(" ".join(w))
+        for k in rng.choice(np.arange(5, 145), 3, replace=False):
+            w[k] = f"g{g}x{k}"
+        texts.append(" ".join(w))
+    fps = [brute(t) for t in texts]
+    near = similar_pairs(texts)
+    beyond = [(i, j) for i, j in near if (fps[i] ^ fps[j]).bit_count() > 8]
+    assert len(beyond) > 10
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, wide=64).collect()}
+    close = {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    assert got == joined(range(len(texts)), near | close)
+
+
 def test_walk_finds_every_pair_of_a_dense_group():
     rng = np.random.default_rng(3)
     near = [sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(1, 4, 400)]

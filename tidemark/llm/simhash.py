@@ -11,8 +11,12 @@ smaller budget and the rest with the whole one: no link is lost. ``components``
 joins the links to groups by alternating large-star and small-star rounds.
 
 ``near_duplicates`` can look further than the budget that is a link by itself:
-links of more differing bits then count if the texts' word shingles are as
-similar as asked for, which is worked out exactly from the texts.
+texts then count as linked if their sets of word shingles are as similar as
+asked for. Texts that share one of 40 bands of four MinHash values are looked
+at, which a pair similar to 0.8 fails to do with a chance of 7e-10 and more
+similar ones far more seldom; the similarity is worked out from the whole sets,
+for each pair that nothing has linked yet. Buckets of many texts are cut into
+blocks, and each pair of blocks is a task's work.
 
 Copies share a fingerprint, so a group of any size is one leaf; a task passes
 on a spanning forest of its links, never all pairs of a group.
@@ -26,6 +30,7 @@ rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import hex64, ship, stored
 
+#: MinHash bands and values in each: 0.8 ** 4 of the pairs similar to 0.8 share a given band, so (1 - 0.8 ** 4) ** 40 = 7e-10 share none.
+BANDS, ROWS = 40, 4
+
+#: Texts and shingles of one block of a bucket.
+BLOCK_TEXTS, BLOCK_SHINGLES = 400, 1 << 20
+
 #: First bit and length of the part of the fingerprint that stands in front of each trie.
 PARTS = ((0, 21), (21, 21), (42, 22))
 
@@ -86,8 +97,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
                 fp = _simhash(x.column(1).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    ids = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    return _texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def _rotated(x: np.ndarray, first: int) -> np.ndarray:
@@ -265,52 +275,143 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select("a", F.col("a").alias("component")).distinct().toDF("node", "component"))
 
 
-def similar(edges: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Those edges (a, b) of document ids whose texts' sets of word shingles have the Jaccard similarity."""
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; fewer words make one shingle of all."""
+    import xxhash
 
-    def shingles(text: str | None) -> set:
-        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[k : k + words]), 43) for k in range(max(1, len(w) - words + 1))], np.uint64))
+
+
+def _bands(h: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The keys of a set's MinHash bands; equal keys of different bands are as good as impossible."""
+    low = np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 2048):
+        np.minimum(low, ((h[None, at : at + 2048] ^ masks[:, None]) * factors[:, None]).min(axis=1), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def sketches(docs: DataFrame, words: int, shingle: int) -> DataFrame:
+    """doc_id, fp, the hash ``own`` and the size of the set of word shingles, and the keys of its bands."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            keep = []
-            for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
-                p, q = shingles(s), shingles(t)
+        import xxhash
+
+        rng = np.random.default_rng(42)
+        masks, factors = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
+        factors |= np.uint64(1)
+        for b in batches:
+            for at in range(0, b.num_rows, 200):  # bounds the hashes held at once
+                x = b.slice(at, 200)
+                texts = x.column(1).to_pylist()
+                sets = [_shingles(t, shingle) for t in texts]
+                own = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+                keys = np.concatenate([_bands(h, masks, factors) for h in sets]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
+                fp = _simhash(texts, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fp), pa.array(own), pa.array(map(len, sets), pa.int32()), lists], names=["doc_id", "fp", "own", "size", "keys"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, fp long, own long, size int, keys array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _shingled(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, own and the set of hashes of the text's word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                x = b.slice(at, 200)
+                sets = [_shingles(t, words) for t in x.column(1).to_pylist()]
+                own = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "own", "set"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, own long, set array<long>")
+
+
+def _verified(rows: Iterator[tuple], similarity: float, wide: int) -> Iterator[tuple[int, int]]:
+    """Pairs of components that similar texts join; rows are (bucket, i, j, block, component, fp, set) in order of the first three."""
+    for (_, i, j), group in groupby(rows, lambda r: r[:3]):
+        texts = sorted(((*r[3:6], set(r[6].tolist())) for r in group), key=lambda r: len(r[3]))
+        up: dict[int, int] = {}
+
+        def top(u: int) -> int:
+            while (p := up.get(u, u)) != u:
+                up[u] = up.get(p, p)
+                u = p
+            return u
+
+        for n, (block, a, fp, p) in enumerate(texts):
+            for other, b, fq, q in texts[n + 1 :]:
+                if len(p) < similarity * len(q):
+                    break
+                # a pair inside one block belongs to that block's own task
+                if i != j and block == other or (u := top(a)) == (v := top(b)) or ((fp ^ fq) & (1 << 64) - 1).bit_count() > wide:
+                    continue
                 both = len(p & q)
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield x.filter(pa.array(keep, pa.bool_())).select([0, 1])
+                if both >= similarity * (len(p) + len(q) - both):
+                    up[max(u, v)] = min(u, v)
+                    yield a, b
 
-    # both texts move once for each edge, of which a forest has fewer than documents
-    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]))
-    pairs = edges.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").select("a", "b", "s", "t")
-    return pairs.mapInArrow(run, "a long, b long")
+
+def similar(docs: DataFrame, sketched: DataFrame, known: DataFrame, similarity: float, words: int, wide: int = 64) -> DataFrame:
+    """Edges (a, b) of components that texts join whose sets of word shingles have the Jaccard similarity.
+
+    sketched is what ``sketches`` gives; known(fp, component) has each fingerprint's component so far.
+    """
+    # texts of equal shingles and fingerprints are one
+    each = sketched.join(known, "fp").groupBy("fp", "own").agg(F.min("doc_id").alias("doc_id"), F.first("component").alias("component"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rows = stored(each).select("doc_id", "own", "fp", "component", "size", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("fp", "own").cast("decimal(38,0)")).alias("members")).filter("n > 1 and lo < hi")
+    # buckets of the same texts are one
+    buckets = buckets.groupBy("n", "members").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+    buckets = stored(buckets.select("key", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
+    found = rows.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("fp", "own", F.lit(7)), F.col("blocks")))
+    found = stored(found.select("key", "block", "blocks", "doc_id", "own", "fp", "component"))
+    sets = docs.join(found.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    sets = stored(_shingled(sets, words).dropDuplicates(["doc_id", "own"]))
+    dealt = found.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).join(sets, ["doc_id", "own"])
+    dealt = dealt.select("key", "i", "j", "block", "component", "fp", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each_row() -> Iterator[tuple]:
+            for b in batches:
+                flat, ends = b.column(6).values.to_numpy(), b.column(6).offsets.to_numpy()
+                for k, r in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)))):
+                    yield (*r, flat[ends[k] : ends[k + 1]])
+
+        pairs = np.array(list(_verified(each_row(), similarity, wide)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, wide: int | None = None, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach.
 
     Fingerprints at most ``budget`` bits apart are linked. With ``wide`` so are
-    those up to that many bits apart whose texts have the similarity, by
-    shingles of ``shingle`` words. Links of the budget are complete; of the wider
-    ones each task passes on a forest, so that of three texts pairwise apart by
-    more than the budget one pair may go without being looked at.
+    those up to that many bits apart (64: any) whose texts have the similarity,
+    by shingles of ``shingle`` words.
     """
-    fps = stored(fingerprints(docs, words))
+    seen = stored(fingerprints(docs, words) if wide is None else sketches(docs, words, shingle))
+    fps = seen.select("doc_id", "fp")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    if wide is None:
-        found = components(links(nodes, budget))
-    else:
-        edges = stored(links(nodes, wide, 8, budget))
-        sure = stored(edges.filter(F.col("bits") <= budget).select("a", "b"))
-        known = components(sure)
-        far = edges.filter(F.col("bits") > budget).select("a", "b").distinct()
-        # what surer links join already needs no look at the texts
-        for c in ("a", "b"):
-            far = far.join(known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left")
-        far = stored(far.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
-        found = components(sure.unionByName(similar(far, docs, similarity, shingle)))
+    found = components(links(nodes, budget))
+    if wide is not None:
+        group = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+        edges = stored(similar(docs, seen, group, similarity, shingle, wide))
+        found = components(found.toDF("a", "b").filter("a <> b").unionByName(edges))
     group = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.distinct().join(group, "fp")
 
