@@ -127,6 +127,24 @@ def test_similar_texts_far_apart_are_linked(spark):
     assert got == joined(range(len(texts)), near | close)
 
 
+def test_graded_copies_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 20, raising=False)  # several blocks for each group
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(8):
+        for _ in range(100):
+            w = [f"g{g}w{i}" for i in range(150)]
+            for k in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+                w[k] = f"x{rng.integers(1 << 40)}"
+            texts.append(" ".join(w))
+    fps = [brute(t) for t in texts]
+    bits = {(i, j): (fps[i] ^ fps[j]).bit_count() for i in range(len(fps)) for j in range(i)}
+    near = {p for p in similar_pairs(texts) if bits[p] <= 8} | {p for p, n in bits.items() if n <= 4}
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, wide=8).collect()}
+    assert got == joined(range(len(texts)), near)
+
+
 def test_walk_finds_every_pair_of_a_dense_group():
     rng = np.random.default_rng(3)
     near = [sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(1, 4, 400)]

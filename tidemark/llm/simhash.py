@@ -187,18 +187,16 @@ def _compared(home, other, nodes, same, length, most, budget, block):
         lo = hi
 
 
-def links(nodes: DataFrame, budget: int = 4, front: int = 10, sure: int | None = None) -> DataFrame:
-    """Edges (a, b, bits) of node ids for nodes(node, fp): forests that join all distinct fingerprints that ``budget`` bits or fewer part.
+def links(nodes: DataFrame, budget: int = 4, front: int = 10) -> DataFrame:
+    """Edges (a, b) of node ids for nodes(node, fp): forests that join all distinct fingerprints that ``budget`` bits or fewer part.
 
-    With ``sure`` the edges up to so many bits are a forest of their own, and
-    those beyond it another. ``front`` bits of each trie pick the group, so there
-    are 3 * 2 ** front groups; a fingerprint visits the groups within the
-    budget of that trie's first part.
+    ``front`` bits of each trie pick the group, so there are 3 * 2 ** front
+    groups; a fingerprint visits the groups within the budget of that trie's
+    first part.
     """
     from itertools import combinations
 
     ship(nodes.sparkSession)
-    sure = budget if sure is None else sure
     limits = allowed(budget)
     ups = []
     for k, ((first, _), most) in enumerate(zip(PARTS, limits)):
@@ -218,32 +216,22 @@ def links(nodes: DataFrame, budget: int = 4, front: int = 10, sure: int | None =
         order = np.lexsort((turned, by))
         turned, node, by = turned[order], node[order], by[order]
         own = int(np.searchsorted(by, -1, "right"))
-        forests: tuple[dict, dict] = ({}, {})
+        up: dict = {}
         kept: list[tuple[int, int]] = []
-        bits: list[int] = []
-
-        def add(i: np.ndarray, j: np.ndarray, other: np.ndarray, names: np.ndarray) -> None:
-            d = np.bitwise_count(home[i] ^ other[j])
-            for far, up in enumerate(forests):
-                at = np.flatnonzero((d > sure) == bool(far))
-                new = _forest(node[i[at]], names[j[at]], up)
-                kept.extend(new)
-                bits.extend([budget if far else sure] * len(new))
-
         if own:
             home = turned[:own]
             for i, j in _walk(home, None, front, length, most, budget):
-                add(i, j, home, node)
+                kept += _forest(node[i], node[j], up)
             cuts = np.flatnonzero(np.diff(by[own:])) + own + 1
             for lo, hi in zip([own, *cuts.tolist()], [*cuts.tolist(), len(by)]):
                 if hi > lo:
                     for i, j in _walk(home, turned[lo:hi], front, length, most, budget):
-                        add(i, j, turned[lo:hi], node[lo:hi])
+                        kept += _forest(node[i], node[lo:hi][j], up)
         e = np.array(kept, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(np.minimum(e[:, 0], e[:, 1])), "b": pa.array(np.maximum(e[:, 0], e[:, 1])), "bits": pa.array(bits, pa.int32())})
+        return pa.table({"a": pa.array(np.minimum(e[:, 0], e[:, 1])), "b": pa.array(np.maximum(e[:, 0], e[:, 1]))})
 
     both = ups[0].unionByName(ups[1]).unionByName(ups[2])
-    return both.groupBy("trie", "home").applyInArrow(run, "a long, b long, bits int")
+    return both.groupBy("trie", "home").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
