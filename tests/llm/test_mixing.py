@@ -43,6 +43,16 @@ def test_targets_and_takes(spark, monkeypatch):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_null_and_repeated_ids_are_taken_by_row(spark):
+    ids = [None, None, None, *[7] * 6, *range(10, 40)]
+    rows = [(i, f"row{k} " * (5 + k % 4 * 20), "ab"[k % 2], "r") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(r["doc_id"], r["size"]) for r in mixing.mix(df).collect() for _ in range(int(r["taken"] / r["size"] + 0.5))]
+    got = [(r["doc_id"], len(r["text"].split())) for r in mixing.mixed(df).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and any(i is None for i, _ in got)
+
+
 def test_schedule_follows_the_targets(spark):
     goals = spark.createDataFrame([(0, 600.0), (1, 300.0), (2, 100.0)], "rank int, target double")
     slots = mixing.schedule(spark, goals, 10, 100).collect()

@@ -107,10 +107,10 @@ def schedule(spark, goals: DataFrame, block: int, n_slots: int, params: MixParam
     return slots.unionByName(closing)
 
 
-def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """doc_id, size, source_size, target and taken for each row of docs(doc_id, text, source)."""
+def mix(docs: DataFrame, params: MixParams = MixParams(), carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target and taken for each row of docs(doc_id, text, source), with the ``carried`` columns of its row."""
     spark = docs.sparkSession
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size")))
+    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"), *carried))
     goals = stored(targets(sizes, params))
     total = goals.agg(F.sum("source_size").alias("size"), F.sum("n_docs").alias("docs"), F.sum("target").alias("target")).first()
     n_docs, words, wanted = total["docs"] or 0, total["size"] or 0, total["target"] or 0
@@ -119,13 +119,13 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
     mixed = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("mix"))
     rows = sizes.join(goals.select(F.col("source").alias("_s"), "rank", "source_size", "n_docs", "target"), F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.select("doc_id", "size", "rank", "source_size", "target", "n_docs", mixed.alias("h"))
+    rows = rows.select("doc_id", "size", "rank", "source_size", "target", "n_docs", mixed.alias("h"), *carried)
     n_buckets = F.ceil(F.col("n_docs") / params.bucket_rows)
     # buckets are ranges of the hash's upper bits, so that a source's rows are in order of (bucket, hash)
     rows = rows.withColumn("bucket", F.floor(F.call_function("shiftrightunsigned", "h", F.lit(33)) * n_buckets / F.lit(float(1 << 31))).cast("long"))
-    rows = stored(_prefix(rows, ["rank"], "bucket", ["h", "doc_id", "size"], "size", "at").withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(_prefix(rows, ["rank"], "bucket", ["h", "doc_id", "size", *carried], "size", "at").withColumn("row", F.monotonically_increasing_id()))
     if not words:
-        return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *carried)
     slots = schedule(spark, goals, block, n_slots, params)
     # a document's pieces: where it lies in each repetition of its source's stream, cut at blocks
     lo, hi = F.col("at") + F.col("epoch") * F.col("source_size"), F.col("at") + F.col("size") + F.col("epoch") * F.col("source_size")
@@ -133,12 +133,13 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     pieces = pieces.withColumn("slot", F.explode(F.sequence(F.floor(F.col("x") / block), F.floor((F.col("y") - 1) / block))))
     words_in = F.greatest(F.least("y", "hi") - F.greatest("x", "lo"), F.lit(0))
     taken = pieces.join(slots, ["rank", "slot"]).groupBy("row").agg(F.sum(words_in).cast("long").alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *carried)
 
 
 def mixed(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """docs repeated as the mix takes them: round(taken / size) times each, whole."""
-    took = mix(docs, params).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).filter("_n > 0")
-    took = took.groupBy("_id").agg(F.max("_n").alias("_n"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(took, F.col("doc_id") == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
+    # ids may be null or repeat, so that rows get keys of their own; the text's hash in front keeps reruns alike
+    keyed = stored(docs.withColumns({"_tie": F.xxhash64("text"), "_key": F.monotonically_increasing_id()}))
+    took = mix(keyed, params, ("_tie", "_key")).filter("taken > 0").select(F.col("_key").alias("_took"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).filter("_n > 0")
+    return keyed.join(took, F.col("_key") == F.col("_took")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
