@@ -21,6 +21,13 @@ def test_composition_is_deterministic_and_complete():
     assert len(table_) == n and all(set(row) == set(range(7)) and all(0 <= t < n for t, _ in row.values()) for row in table_)
 
 
+def test_copied_clean_quotes_count_once():
+    toxic = [(f"a{k} grobian b{k}", 1) for k in range(40)] + [(f"q{k}", 1) for k in range(60)]
+    clean = [("they quote grobian once here", 0)] * 90 + [(f"plain text {k}", 0) for k in range(70)]
+    words, _ = x.learned_words(toxic + clean, x.ToxicParams())
+    assert set(words) == {"grobian"}
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     out = {r["doc_id"]: r for r in x.scored(docs, x.learn(docs, labels)).collect()}

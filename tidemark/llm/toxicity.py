@@ -175,34 +175,36 @@ def held_out(params: ToxicParams = ToxicParams()) -> Column:
 def learned_words(texts: list[tuple[str, int]], params: ToxicParams) -> tuple[dict, dict]:
     """Weights of words and of stems from labelled texts.
 
-    A first pass counts occurrences, so that the contexts of just those words
-    are gathered that are frequent enough and mostly in toxic texts.
+    Contexts are gathered of the words that occur often enough in toxic texts;
+    a word goes as soon as it has more different contexts in clean texts than
+    the precision allows, which bounds what is held without changing the result.
     """
 
     def features(x: str) -> list:
         return [x, *((n, x[:n]) for n in params.stems if len(x) >= n)]
 
-    times: list[Counter] = [Counter(), Counter()]
-    for want in (1, 0):
-        for text, label in texts:
-            if label == want:
-                for x, n in Counter(re.findall(r"[^\W_]+", text.lower())).items():
+    def contexts(label: int) -> Iterator[tuple]:
+        for text, own in texts:
+            if own == label:
+                w = ["", *re.findall(r"[^\W_]+", text.lower()), ""]
+                for x, a, b in zip(w[1:], w, w[2:]):
                     for f in features(x):
-                        if want or f in times[1]:
-                            times[want][f] += n
-        if want:
-            times[1] = Counter({f: n for f, n in times[1].items() if n >= params.min_contexts})
-    docs = [max(1, sum(label == k for _, label in texts)) for k in (0, 1)]
-    wanted = {f for f, n in times[1].items() if n / docs[1] >= times[0][f] / docs[0]}
-    counts: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
-    for text, label in texts:
-        w = ["", *re.findall(r"[^\W_]+", text.lower()), ""]
-        for a, x, b in zip(w, w[1:], w[2:]):
-            for f in features(x):
-                if f in wanted:
-                    counts[label][f].add(hash((a, b)))
-    counts[1] = {f: c for f, c in counts[1].items() if len(c) >= params.min_contexts}
+                        yield f, (a, b)
+
+    times = Counter(f for f, _ in contexts(1))
     total = [max(1, sum(label == k for _, label in texts)) for k in (0, 1)]
+    counts: list[dict] = [defaultdict(set), defaultdict(set)]
+    for f, c in contexts(1):
+        if times[f] >= params.min_contexts:
+            counts[1][f].add(hash(c))
+    counts[1] = {f: c for f, c in counts[1].items() if len(c) >= params.min_contexts}
+    # one more than allowed, for rounding; the precision is judged below
+    most = {f: len(c) / total[1] * (1 / params.min_precision - 1) * total[0] + 1 for f, c in counts[1].items()}
+    for f, c in contexts(0):
+        if f in counts[1]:
+            counts[0][f].add(hash(c))
+            if len(counts[0][f]) > most[f]:
+                del counts[0][f], counts[1][f]
     words, stems = {}, {}
     for f, c in counts[1].items():
         bad, good = len(c) / total[1], len(counts[0].get(f, ())) / total[0]
