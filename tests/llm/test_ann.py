@@ -42,3 +42,45 @@ def test_few_and_none(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], "a"), (1, [1.0, 0.0], "a")], SCHEMA)
     assert [tuple(r) for r in ann.search(one, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1.0)]
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).collect() == []
+
+
+def test_recall_against_all_rows(spark):
+    """Whole table, ids divisible by 100, as against brute force; recall must hold where vectors have no clusters."""
+    v = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    t = v.toPandas()
+    x, ids = np.stack(t["embedding"]).astype(float), t["vec_id"].to_numpy()
+    got = {}
+    for r in ann.search(v, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = n = 0
+    for k in np.flatnonzero(ids % 100 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        best = set(ids[np.argpartition(-s, 20)[:20]].tolist())
+        hit, n = hit + len(best & got[ids[k]]), n + 20
+    assert hit >= 0.9 * n
+
+
+def test_two_levels_and_packing():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
+    ix = ann.fit(x, 2000, ann.AnnParams(max_lists=8, list_size=50))
+    assert len(ix.coarse) == 8 and len(ix.fine) == 5 and len(ix) == 40
+    at = ix.lists(x)
+    assert len(np.unique(at)) > 8 and np.allclose(ix.products(x[:3]), x[:3] @ ix.centroid(np.arange(40)).T, atol=1e-4)
+    assert ix.probed(x[:7]).shape == (7, ix.probes)
+    assert ann.packed({0: 4, 1: 5, 2: 25, 3: 1, 5: 9, 6: 1}, 10) == [(0, 1, 0), (1, 1, 0), (2, 3, 1), (3, 1, 4), (5, 1, 4), (6, 1, 5)]
+
+
+def test_small_shards_and_parts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 20, 20)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, ann.AnnParams(shard=30, part=3, recall=1.0)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(want)
+    hit = sum(len({i for _, i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
+    assert hit >= 0.97 * 20 * len(want) and all(abs(s - x[q].astype(float) @ x[i]) < 1e-9 for q in got for _, i, s in got[q])

@@ -3,14 +3,21 @@
 ``fit`` learns coarse centroids and residual codebooks from a bounded sample,
 and picks the number of probed lists at which the sample's own neighbours are
 found. Every vector is then indexed under its centroid with the codes of its
-residual. ``search`` sends each query to its lists, adds up asymmetric distance
-tables over the codes, keeps the best candidates of each list and query, and
-reranks them by exact products of the original vectors in double precision.
+residual. Lists are packed into shards of bounded size, and a query goes once
+to each shard that holds a list it probes. There its lists are scanned by
+asymmetric distance tables, the best candidates are reranked by exact products
+of the original vectors in double precision, and one row goes on: the ``k + 1``
+best. What a query sends and yields so grows with the shards it probes, never
+with the entries in them, and vectors are moved once.
+
+Beyond a thousand lists the centroids have two levels, a coarse one and a
+shared one for what is left of it, so that lists keep their size as the table
+grows; both are learned from the bounded sample.
 
 Equal vectors form one class: a class is indexed once and stands for its
 ``k + 1`` smallest ids, which are all that any answer can hold, so that a vector
-shared by a third of all rows is one entry. Lists and their queries are cut
-into blocks of bounded size.
+shared by a third of all rows is one entry. A list larger than a shard is cut
+by a hash; the queries of a hot shard are cut into parts.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or
 hold null or non-finite components take no part; null ids neither; repeated
@@ -36,45 +43,65 @@ class AnnParams:
     k: int = 20
     #: Bound on the vectors that the index is fitted on; a hash of the id picks them.
     max_sample: int = 20_000
-    #: Lists: half the square root of the number of distinct vectors, within these bounds.
+    #: Coarse lists: half the square root of the number of distinct vectors, within this bound.
     max_lists: int = 1024
+    #: Beyond that bound a list is cut by second-level centroids, so that it holds so many vectors on average.
+    list_size: int = 4096
     subvectors: int = 16
     codes: int = 256
-    #: Candidates of each query that are reranked, as a multiple of k.
+    #: Candidates of each query and shard that are reranked, as a multiple of k + 1.
     rerank: int = 12
     #: Recall on the sample from which the number of probed lists is taken.
     recall: float = 0.985
-    #: Entries and queries of a block at most, about.
-    block: int = 20_000
+    #: Entries of a shard, and queries of a part of a shard, at most, about.
+    shard: int = 16_384
+    part: int = 20_000
 
 
 @dataclass(frozen=True)
 class Index:
-    centroids: np.ndarray
+    coarse: np.ndarray
+    fine: np.ndarray  # of what the coarse centroid leaves; one row of zeros without a second level
     books: np.ndarray  # subvector, code, dimension
     probes: int
 
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centroid(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
     def lists(self, x: np.ndarray) -> np.ndarray:
-        """The centroid nearest to each vector."""
-        return np.argmax(x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1), axis=1)
+        """The list of each vector: the nearest centroid of either level."""
+        at = _nearest(x, self.coarse)
+        return at * len(self.fine) + _nearest(x - self.coarse[at], self.fine)
 
     def encode(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        r = (x - self.centroids[at]).reshape(len(x), len(self.books), -1)
-        out = np.empty((len(x), len(self.books)), np.uint8)
-        for j, book in enumerate(self.books):
-            out[:, j] = np.argmax(r[:, j] @ book.T - 0.5 * (book**2).sum(1), axis=1)
-        return out
+        r = (x - self.centroid(at)).reshape(len(x), len(self.books), -1)
+        return np.stack([_nearest(r[:, j], book).astype(np.uint8) for j, book in enumerate(self.books)], axis=1)
+
+    def products(self, q: np.ndarray) -> np.ndarray:
+        """The product of each query and each list's centroid."""
+        return ((q @ self.coarse.T)[:, :, None] + (q @ self.fine.T)[:, None, :]).reshape(len(q), -1)
 
     def probed(self, q: np.ndarray) -> np.ndarray:
         """The lists of the largest products of query and centroid."""
-        s = q @ self.centroids.T
-        return np.argsort(-s, axis=1, kind="stable")[:, : self.probes]
+        out = [np.zeros((0, self.probes), np.int64)]
+        step = max(1, (1 << 22) // len(self))  # bounds the products held at once
+        for at in range(0, len(q), step):
+            s = -self.products(q[at : at + step])
+            out.append(np.argpartition(s, self.probes - 1, axis=1)[:, : self.probes])
+        return np.concatenate(out)
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ c.T - 0.5 * (c**2).sum(1), axis=1)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        at = np.argmax(x @ c.T - 0.5 * (c**2).sum(1), axis=1)
+        at = _nearest(x, c)
         order = np.argsort(at, kind="stable")
         ids, start = np.unique(at[order], return_index=True)
         c[ids] = np.add.reduceat(x[order], start, axis=0) / np.diff([*start, len(x)])[:, None]
@@ -88,18 +115,23 @@ def fit(x: np.ndarray, n: int, params: AnnParams) -> Index:
     """An index for n vectors from a sample x of them."""
     rng = np.random.default_rng(0)
     n_lists = int(min(params.max_lists, max(1, round(n**0.5 / 2)), len(x)))
-    centroids = _kmeans(x, n_lists, 10, rng)
+    coarse = _kmeans(x, n_lists, 10, rng)
+    left = x - coarse[_nearest(x, coarse)]
+    n_fine = int(min(params.max_lists, max(1, n // (n_lists * params.list_size)), len(x)))
+    fine = _kmeans(left, n_fine, 10, rng) if n_fine > 1 else np.zeros((1, x.shape[1]), np.float32)
     m = max(d for d in range(1, min(params.subvectors, x.shape[1]) + 1) if x.shape[1] % d == 0)
-    at = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), axis=1)
-    r = (x - centroids[at]).reshape(len(x), m, -1)
+    r = (left - fine[_nearest(left, fine)]).reshape(len(x), m, -1)
     books = np.stack([_kmeans(np.ascontiguousarray(r[:, j]), min(params.codes, len(x)), 8, rng) for j in range(m)])
     # probes: how deep in its order of lists a sample query meets its neighbours within the sample
-    q = x[rng.choice(len(x), min(300, len(x)), replace=False)]
-    s = q @ x.T
-    near = np.argsort(-s, axis=1)[:, 1 : params.k + 1]
-    depth = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
-    met = np.sort(np.take_along_axis(depth, at[near], axis=1).ravel()) if near.size else np.zeros(1, int)
-    return Index(centroids, books, int(met[min(len(met) - 1, int(len(met) * params.recall))]) + 1)
+    ix, depth = Index(coarse, fine, books, 1), []
+    at = ix.lists(x)
+    for one in rng.choice(len(x), min(300, len(x)), replace=False):
+        near = np.argsort(-(x @ x[one]))[1 : params.k + 1]
+        s = ix.products(x[one : one + 1])[0]
+        depth.append(len(s) - np.searchsorted(np.sort(s), s[at[near]], "right"))
+    met = np.sort(np.concatenate(depth))
+    probes = int(met[min(len(met) - 1, int(len(met) * params.recall))]) + 1 if len(met) else 1
+    return Index(coarse, fine, books, probes)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -119,6 +151,59 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.size("embedding") == (most["d"] if most else 0))
 
 
+def packed(sizes: dict[int, int], shard: int) -> list[tuple[int, int, int]]:
+    """(list, number of its pieces, first shard) for each list: lists in order fill shards of about the size; a larger list has shards of its own."""
+    out, at, held = [], 0, 0
+    for one, n in sorted(sizes.items()):
+        pieces = max(1, -(-n // shard))
+        if held and (pieces > 1 or held + n > shard):
+            at, held = at + 1, 0
+        out.append((one, pieces, at))
+        at, held = (at + pieces, 0) if pieces > 1 else (at, held + n)
+    return out
+
+
+class Shard:
+    """The entries of one shard, by list, and the search of queries among them."""
+
+    def __init__(self, index: Index, lists: np.ndarray, cls: np.ndarray, code: np.ndarray, x: np.ndarray, params: AnnParams) -> None:
+        order = np.lexsort((cls, lists))
+        self.ix, self.p = index, params
+        self.cls, self.code, self.x = cls[order], code[order], x[order]
+        self.lists, start = np.unique(lists[order], return_index=True)
+        self.bounds = np.append(start, len(lists))
+        self.centroids = index.centroid(self.lists)
+
+    def search(self, q: np.ndarray, probed: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(scores, classes) of each query's k + 1 best, best first; probed has the lists that each query scans."""
+        step = max(1, min(128, (1 << 21) // len(self.cls)))  # bounds the sums held at once
+        for at in range(0, len(q), step):
+            yield from self._some(q[at : at + step], probed[at : at + step])
+
+    def _some(self, q: np.ndarray, probed: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        books, keep, best = self.ix.books, (self.p.k + 1) * self.p.rerank, self.p.k + 1
+        near = np.full((len(q), len(self.cls)), -np.inf, np.float32)
+        tables = np.einsum("qjd,jcd->qjc", q.reshape(len(q), len(books), -1), books).transpose(1, 0, 2)
+        first = q @ self.centroids.T
+        for k, one in enumerate(self.lists):
+            rows = np.flatnonzero([one in p for p in probed])
+            if not len(rows):
+                continue
+            a, b = self.bounds[k], self.bounds[k + 1]
+            sums = np.repeat(first[rows, k][:, None], b - a, axis=1)
+            for j in range(len(books)):
+                sums += np.take(tables[j][rows], self.code[a:b, j], axis=1)
+            near[rows, a:b] = sums
+        top = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if near.shape[1] > keep else np.tile(np.arange(near.shape[1]), (len(q), 1))
+        seen = np.take_along_axis(near, top, axis=1) > -np.inf
+        exact = (self.x[top].astype(np.float64) * q[:, None, :].astype(np.float64)).sum(axis=2)
+        exact[~seen] = -np.inf
+        order = np.lexsort((self.cls[top], -exact), axis=1)[:, :best]
+        for row in range(len(q)):
+            o = order[row][seen[row, order[row]]]
+            yield exact[row, o], self.cls[top[row, o]]
+
+
 def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of each row for which the condition ``is_query`` holds."""
     spark = vectors.sparkSession
@@ -131,9 +216,8 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> Dat
     members = stored(members.select("cls", "vec_id", "vh", F.when(F.col("rn") == 1, F.col("embedding")).alias("embedding"), "rn"))
     classes = members.filter("rn = 1").select("cls", "vh", "embedding")
     n = classes.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = v.filter(is_query).select(F.col("vec_id").alias("query_id"), "vh", "embedding").distinct()
     queries = stored(queries.join(classes, ["vh", "embedding"]).select("query_id", "cls"))
     asked = queries.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("q"), "embedding")
@@ -143,11 +227,8 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> Dat
     if not sample.num_rows:
         sample = classes.select("cls", "embedding").limit(1000).toArrow()
     sample = sample.sort_by("cls")
-    index = fit(_matrix(sample.column("embedding").combine_chunks()).astype(np.float32), n, params)
-    sent = spark.sparkContext.broadcast(index)  # of fixed size: max_lists centroids and the codebooks
-    n_lists, m = len(index.centroids), len(index.books)
-    blocks = max(1, -(-n // (n_lists * params.block)))
-    asked_blocks = max(1, -(-asked.count() * index.probes // (n_lists * params.block)))
+    # of fixed size: the centroids of both levels and the codebooks
+    sent = spark.sparkContext.broadcast(fit(_matrix(sample.column("embedding").combine_chunks()).astype(np.float32), n, params))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,52 +236,58 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> Dat
                 x = _matrix(b.column(1)).astype(np.float32)
                 at = sent.value.lists(x)
                 code = sent.value.encode(x, at)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array([c.tobytes() for c in code], pa.binary())], names=["list", "cls", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), b.column(1)], names=["list", "id", "code", "x"])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 at = sent.value.probed(_matrix(b.column(1)).astype(np.float32))
-                rows = np.repeat(np.arange(b.num_rows), at.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], names=["list", "q", "embedding"])
-
-    e = classes.select("cls", "embedding").mapInArrow(entries, "list int, cls long, code binary")
-    e = e.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
-    p = asked.mapInArrow(probes, "list int, q long, embedding array<float>")
-    p = p.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(asked_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keep = (k + 1) * params.rerank
-
-    def scan(entry, query):
-        out = {"q": [], "cls": [], "near": []}
-        if entry.num_rows and query.num_rows:
-            ix = sent.value
-            cls = entry.column("cls").to_numpy()
-            order = np.argsort(cls)
-            cls = cls[order]
-            code = np.frombuffer(b"".join(entry.column("code").to_pylist()), np.uint8).reshape(-1, m)[order]
-            centroid = ix.centroids[entry.column("list")[0].as_py()]
-            ids = query.column("q").to_numpy()
-            x = _matrix(query.column("embedding").combine_chunks()).astype(np.float32)
-            for at in range(0, len(ids), 128):  # bounds the tables and sums held at once
-                q = x[at : at + 128]
-                tables = np.einsum("qjd,jcd->jqc", q.reshape(len(q), m, -1), ix.books)
-                near = np.repeat((q @ centroid)[:, None], len(cls), axis=1)
-                for j in range(m):
-                    near += np.take(tables[j], code[:, j], axis=1)
-                top = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if len(cls) > keep else np.tile(np.arange(len(cls)), (len(q), 1))
-                out["q"].append(np.repeat(ids[at : at + 128], top.shape[1]))
-                out["cls"].append(cls[top].ravel())
-                out["near"].append(np.take_along_axis(near, top, axis=1).ravel())
-        return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.float32 if c == "near" else np.int64) for c, x in out.items()})
-
-    keys = ("list", "block", "part")
-    found = e.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(scan, "q long, cls long, near float")
-    best = Window.partitionBy("q").orderBy(F.desc("near"), "cls")
-    found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep).select("q", "cls")
-    product = F.aggregate(F.zip_with("embedding", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    exact = found.join(classes.select("cls", "embedding"), "cls").join(asked.select("q", F.col("embedding").alias("qv")), "q").select("q", "cls", product.alias("score"))
-    first = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
-    exact = exact.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "x", "lists"])
+
+    index = stored(classes.select("cls", "embedding").mapInArrow(entries, "list int, id long, code binary, x array<float>"))
+    probing = stored(asked.mapInArrow(probes, "id long, x array<float>, lists array<int>"))
+    # one row for each list, of which the index has a bounded number
+    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    places = spark.createDataFrame(packed(sizes, params.shard), "list int, pieces int, first int")
+    at_home = index.join(places, "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    # a query visits each of its shards once, with the lists it probes there
+    visits = probing.select("id", F.explode("lists").alias("list")).join(places, "list").select("id", "list", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1)).alias("shard"))
+    visits = visits.groupBy("id", "shard").agg(F.collect_list("list").alias("lists"))
+    loads = stored(visits.groupBy("shard").agg(F.ceil(F.count("*") / params.part).cast("int").alias("parts")))
+    guests = visits.join(probing.select("id", "x"), "id").join(loads, "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    at_home = at_home.join(loads, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = at_home.select("shard", "part", F.lit(0).alias("kind"), "id", "list", "code", "x", F.lit(None).cast("array<int>").alias("lists"))
+    both = both.unionByName(guests.select("shard", "part", F.lit(1).alias("kind"), "id", F.lit(0).alias("list"), F.lit(None).cast("binary").alias("code"), "x", "lists"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, shard = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if here != tuple(key[a, :2]):
+                    here, held, shard = tuple(key[a, :2]), [], None
+                if not key[a, 2]:
+                    held.append(rows)
+                    continue
+                if shard is None:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+                    shard, held = Shard(sent.value, t.column("list").to_numpy(), t.column("id").to_numpy(), code, _matrix(t.column("x").combine_chunks()), params), []
+                found = list(shard.search(_matrix(rows.column("x")), [np.array(p) for p in rows.column("lists").to_pylist()]))
+                ends = np.cumsum([0, *(len(s) for s, _ in found)])
+                best = pa.StructArray.from_arrays([pa.array(-np.concatenate([s for s, _ in found])), pa.array(np.concatenate([c for _, c in found]))], names=["away", "cls"])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], names=["q", "best"])
+
+    dealt = both.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    found = dealt.mapInArrow(scan, "q long, best array<struct<away: double, cls: long>>")
+    # k + 1 from each probed shard at most
+    found = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    exact = found.select("q", F.explode("best").alias("b")).select("q", "b.cls", (-F.col("b.away")).alias("score"))
     rows = exact.join(members.select("cls", "vec_id"), "cls")
     ordered = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     rows = rows.withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= k + 1)
