@@ -1,16 +1,17 @@
 import pytest
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    shared = SparkConf().get("spark.checkpoint.dir", None) or str(tmp_path_factory.mktemp("shared"))
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -1,8 +1,15 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import differences
-from tidemark.plans import catalog
+from tidemark.operators import history, reports
+from tidemark.plans import adapters, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +26,19 @@ def test_every_query_has_sql():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    root = Path(entry.__file__).resolve().parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "__pycache__") or n == "llm" and Path(folder).name in ("tidemark", "tests")])
+    code = "import __spark_entry__ as e; from tidemark.plans import catalog; assert set(e.queries()) == set(catalog.QUERIES) == set(e.oracle_sql())"
+    for _ in range(2):  # with the pipeline's module, then without
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_approximate_counts(spark):
+    g = adapters.golden(spark, SF)
+    exact, near = ({r["category_title"]: r["hist_channels"] for r in history.engagement_history(reports.channel_engagement(g), exact=e).collect()} for e in (True, False))
+    assert set(exact) == set(near) and all(abs(near[k] - n) <= 0.15 * n for k, n in exact.items())

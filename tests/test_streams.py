@@ -1,6 +1,9 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import differences
 from tidemark.plans import adapters, catalog
 from tidemark.sources import io
 from tidemark.streaming import runner, trends
@@ -47,3 +50,46 @@ def test_without_history(spark):
     assert labels == {"New Channel"}
     assert trends.channel_viral(trends.channel_anomaly(trends.channel_agg(f, "1 day"), h)).columns[-1] == "tier"
     assert trends.dominance_anomalies(trends.dominance_score(trends.dominance_agg(f, "1 day", None), catalog._tops(golden))).columns[-1] == "popularity_tier"
+
+
+STREAMS = [name for name in catalog.QUERIES if name.startswith("s") and name[1].isdigit()]
+
+
+@pytest.mark.parametrize("name", [*STREAMS, "st_dedup"])
+def test_reports_do_not_depend_on_micro_batches(spark, name, monkeypatch):
+    def four(spark, folder, data, schema):
+        io.to_envelope(data, "test", "timestamp").repartition(4).write.text(f"{folder}/in")
+        return io.read_stream(spark, "text", {"path": f"{folder}/in", "maxFilesPerTrigger": 1}, schema)
+
+    runs = []
+    run = runner.run
+    monkeypatch.setattr(catalog, "_messages", four)
+    monkeypatch.setattr(runner, "run", lambda *a, **k: runs.append(run(*a, **k)) or runs[-1])
+    df = catalog.QUERIES[name](spark, SF)
+    assert df.count() > 0 and not differences(df, catalog.SQL[name], SF)
+    assert len([p for p in runs[0].recentProgress if p["numInputRows"]]) == 4
+
+
+@pytest.mark.parametrize("name", [*STREAMS, "st_dedup", "st_envelope"])
+def test_without_events(spark, name, tmp_path):
+    for t in ("lineitem", "orders", "customer", "nation", "part", "documents"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert df.collect() == [] and set(df.columns) == set(catalog.QUERIES[name](spark, SF).columns)
+
+
+def test_processing_time_trigger(spark, tmp_path):
+    """A stream on a timer goes on until it is stopped, with its outputs in order."""
+    data = adapters.events(spark, SF)
+    io.to_envelope(data, "t", "timestamp").coalesce(1).write.text(f"{tmp_path}/in")
+    stream = trends.trending_features(io.read_stream(spark, "text", {"path": f"{tmp_path}/in"}, trends.MESSAGE))
+    q = runner.run(stream, {"all": lambda b: b.orderBy(F.desc("views")), "few": lambda b: b.limit(5)}, str(tmp_path), f"{tmp_path}/c", "append", "1 second")
+    try:
+        q.processAllAvailable()
+        assert q.isActive
+        runner.await_any(spark, 1)
+    finally:
+        q.stop()
+    views = [r["views"] for r in spark.read.parquet(f"{tmp_path}/all/epoch=0").collect()]
+    assert views == sorted(views, reverse=True) and len(views) == data.count() and spark.read.parquet(f"{tmp_path}/few/epoch=0").count() == 5

@@ -93,6 +93,10 @@ def adjacent_pairs(c: Column | str) -> Column:
 
 def description_bucket(c: Column | str) -> Column:
     """Length classes of descriptions; null is in the longest, as unknown."""
-    n = F.length(_col(c))
+    return length_bucket(F.length(_col(c)))
+
+
+def length_bucket(n: Column) -> Column:
+    """``description_bucket`` by the length."""
     steps = ((100, "Very Short"), (300, "Short"), (1000, "Medium"), (2000, "Long"))
     return bucketize([(n == 0, "No Description"), *((n < most, label) for most, label in steps)], "Very Long")

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import exprs as x
+from tidemark.functions.grouping import distinct_apart
+
+
+# Tiers of channels by their average views; all others are small.
+CHANNEL_TIERS = ((10_000_000, "Mega Channel"), (1_000_000, "Popular Channel"), (100_000, "Growing Channel"))
 
 
 def empty_like(spark, schema: T.StructType) -> DataFrame:
@@ -50,8 +55,7 @@ def channel_history(golden: DataFrame, grain: str = "channel") -> DataFrame:
         (x.ratio(F.avg("likes"), F.avg("views")) * 100).alias("like_rate"),
         (x.ratio(F.avg("comment_count"), F.avg("views")) * 100).alias("comment_rate"),
     )
-    steps = ((10_000_000, "Mega Channel"), (1_000_000, "Large Channel"), (100_000, "Medium Channel"))
-    return by.withColumn("channel_tier", x.at_least("hist_avg_views", steps, "Small Channel"))
+    return by.withColumn("channel_tier", x.at_least("hist_avg_views", CHANNEL_TIERS, "Small Channel"))
 
 
 def category_benchmarks(golden: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def category_benchmarks(golden: DataFrame) -> DataFrame:
 def channel_intelligence(golden: DataFrame, grain: str = "full") -> DataFrame:
     """Figures of each channel (in each category and region, by default)."""
     keys = ["channel_title"] if grain == "channel" else ["category_title", "region", "channel_title"]
-    return golden.groupBy(*keys).agg(
+    aggs = (
         F.count("*").alias("batch_videos"),
         F.avg("views").alias("batch_avg_views"),
         F.sum("views").alias("batch_total_views"),
@@ -74,5 +78,5 @@ def channel_intelligence(golden: DataFrame, grain: str = "full") -> DataFrame:
         F.avg("comment_count").alias("batch_avg_comments"),
         F.avg(x.ratio("likes", "views")).alias("batch_like_rate"),
         F.avg(x.ratio("comment_count", "views")).alias("batch_comment_rate"),
-        F.count_distinct("trending_full_date").alias("batch_trending_days"),
     )
+    return distinct_apart(golden, keys, aggs, {"batch_trending_days": "trending_full_date"})

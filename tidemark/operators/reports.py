@@ -106,9 +106,10 @@ def fast_channels(golden: DataFrame, top: int = 20, within_days: int = 30, fast_
 
 
 def description_thumbnail(golden: DataFrame, min_videos: int = 10) -> DataFrame:
-    """Performance by description length and thumbnail quality."""
+    """Performance by description length and thumbnail quality; a ``description_length`` spares moving the texts."""
+    length = F.col("description_length") if "description_length" in golden.columns else F.length("description")
     thumb = x.bucketize([(F.col("thumbnail_link").contains("maxresdefault"), "High Quality"), (F.col("thumbnail_link").contains("hqdefault"), "Medium Quality")], "Standard Quality")
-    classed = _assignable(golden).select("category_title", "views", "likes", x.description_bucket("description").alias("description_length_category"), thumb.alias("thumbnail_quality"))
+    classed = _assignable(golden).select("category_title", "views", "likes", x.length_bucket(length).alias("description_length_category"), thumb.alias("thumbnail_quality"))
     stats = classed.groupBy("category_title", "description_length_category", "thumbnail_quality").agg(
         F.count("*").alias("video_count"), F.round(F.avg("views"), 0).alias("avg_views"), F.round(F.avg("likes"), 0).alias("avg_likes")
     )

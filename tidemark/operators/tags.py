@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as x
+from tidemark.functions.grouping import distinct_apart
 
 SENTINELS = ("uncategorized", "no-tags", "unknown")
 
@@ -79,13 +80,12 @@ def tag_pair_history(golden: DataFrame, sentinels: tuple[str, ...] = SENTINELS,
 
 
 def _figures(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(
+    aggs = (
         F.count("*").alias("usage_count"),
         F.avg("views").alias("avg_views"),
         F.avg("likes").alias("avg_likes"),
         F.avg(x.ratio("likes", "views")).alias("avg_like_rate"),
         F.avg(x.ratio("comment_count", "views")).alias("avg_comment_rate"),
         F.percentile_approx("views", 0.9).alias("p90_views"),
-        F.count_distinct("channel_title").alias("unique_channels"),
-        F.count_distinct("trending_full_date").alias("trending_days"),
     )
+    return distinct_apart(rows, keys, aggs, {"unique_channels": "channel_title", "trending_days": "trending_full_date"})

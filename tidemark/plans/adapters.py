@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import exprs as x
+
 # Beginnings of stream titles, by event.
-PREFIXES = ("Why? ", "Wow! ", "BIG DAY ", "Top 10 ", "Epic game ", "Breaking music news ", "Plain talk ")
+PREFIXES = ("Why? ", "Wow! ", "BIG DAY ", "Top 10 ", "Epic game music review ", "Breaking music news ", "Plain talk ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _number(docs: DataFrame) -> int:
+    return max(1, docs.count())
+
+
 def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataFrame:
-    """One row for each line item; ``description`` adds a document's text by a join."""
+    """One row for each line item; ``description`` adds the length of a document's text by a join.
+
+    Document ids run from 0 without gaps, so that a key modulo their number
+    falls on one of them; only lengths are joined, never texts.
+    """
     t = lambda name: table(spark, sf_dir, name)
     big = lambda e: F.floor(e).cast("bigint")
     df = (
@@ -45,9 +55,9 @@ def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataF
         "trending_full_date": F.date_add(published, (F.col("l_partkey") % 40).cast("int")),
     }
     if description:
-        texts = t("documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("description")).filter("_d < 200")
-        df = df.join(texts, F.col("l_orderkey") % 200 == F.col("_d"))
-        cols["description"] = F.col("description")
+        docs = t("documents").select(F.col("doc_id").alias("_d"), F.length("text").alias("_length"))
+        df = df.join(docs, F.col("l_orderkey") % _number(docs) == F.col("_d"))
+        cols["description_length"] = F.col("_length")
     df = df.select(*[c.alias(k) for k, c in cols.items()])
     return df.withColumns({"publish_year": F.year("publish_date"), "trending_month": F.month("trending_full_date"), "trending_year": F.year("trending_full_date")})
 
@@ -62,7 +72,7 @@ golden AS (
         list_concat(string_split(p_name, ' '), [lower(p_brand), lower(p_type)]) AS tags_list,
         (['default.jpg', 'maxresdefault.jpg', 'hqdefault.jpg'])[l_linenumber % 3 + 1] AS thumbnail_link,
         CAST(o_orderdate AS DATE) AS publish_date, CAST(o_orderdate AS DATE) + CAST(l_partkey % 40 AS INTEGER) AS trending_full_date,
-        l_orderkey % 200 AS doc_key,
+        l_orderkey % (SELECT count(*) FROM documents) AS doc_key,
         year(CAST(o_orderdate AS DATE)) AS publish_year, month(CAST(o_orderdate AS DATE) + CAST(l_partkey % 40 AS INTEGER)) AS trending_month,
         year(CAST(o_orderdate AS DATE) + CAST(l_partkey % 40 AS INTEGER)) AS trending_year
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -71,10 +81,14 @@ golden AS (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event rows as the data of trending messages, with ``timestamp`` in epoch seconds."""
+    """Event rows as the data of trending messages, with ``timestamp`` in epoch seconds.
+
+    Four neighbouring events are of one video, and each has a document's whole
+    text as its description. One in forty has many views, as beside history.
+    """
     t = lambda name: table(spark, sf_dir, name)
-    texts = t("documents").select(F.col("doc_id").alias("_d"), "text").filter("_d < 200")
-    df = t("events").join(t("customer").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey")).join(texts, F.col("event_id") % 200 == F.col("_d"))
+    texts = t("documents").select(F.col("doc_id").alias("_d"), "text", "lang")
+    df = t("events").join(t("customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("user_id") == F.col("c_custkey")).join(texts, F.col("event_id") % _number(texts) == F.col("_d"))
     k = F.get_json_object("props", "$.k").cast("int")
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     e = F.col("event_id")
@@ -82,12 +96,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.expr("timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', ts)")
     return df.select(
         seconds.cast("bigint").alias("timestamp"),
-        F.concat(F.lit("v"), (e % 500).cast("string")).alias("videoId"),
+        F.concat(F.lit("v"), F.floor(e / 4).cast("string")).alias("videoId"),
         F.col("event_type").alias("type"),
-        F.concat(pick(PREFIXES, e % 7), F.substring("text", 1, 40)).alias("title"),
+        F.concat(pick(PREFIXES, e % 7), F.col("event_type"), F.lit(" in "), F.col("lang"), F.lit(" from "), F.lower("c_mktsegment")).alias("title"),
         F.col("c_name").alias("channelTitle"),
         F.col("text").alias("description"),
-        F.concat(F.format_number(F.floor(F.col("value") * 50000), 0), F.lit(" views")).alias("viewCount"),
+        F.concat(F.format_number(F.floor(F.col("value") * F.when(e % 40 == 0, 20_000_000).otherwise(50_000)), 0), F.lit(" views")).alias("viewCount"),
         F.floor(F.col("value") * 1000).cast("string").alias("likeCount"),
         pick((" 1-urgent", "2-High ", "3-MEDIUM", " 4-not specified ", "5-low"), e % 5).alias("category"),
         F.when(k % 3 == 0, F.concat(F.lit("1:"), (k % 60).cast("string"), F.lit(":05"))).otherwise(F.concat(k.cast("string"), F.lit(":30"))).alias("lengthText"),
@@ -96,12 +110,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS_SQL = f"""
 messages AS (
-    SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, 'v' || (event_id % 500) AS video_id, event_type AS content_type,
-        ([{", ".join(f"'{p}'" for p in PREFIXES)}])[event_id % 7 + 1] || substring(text, 1, 40) AS title, c_name AS channel_title, text AS description,
-        CAST(floor(value * 50000) AS BIGINT) AS views, CAST(floor(value * 1000) AS BIGINT) AS likes,
+    SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, 'v' || (event_id // 4) AS video_id, event_type AS content_type,
+        ([{", ".join(f"'{p}'" for p in PREFIXES)}])[event_id % 7 + 1] || event_type || ' in ' || lang || ' from ' || lower(c_mktsegment) AS title, c_name AS channel_title, text AS description,
+        CAST(floor(value * CASE WHEN event_id % 40 = 0 THEN 20000000 ELSE 50000 END) AS BIGINT) AS views, CAST(floor(value * 1000) AS BIGINT) AS likes,
         ([' 1-urgent', '2-High ', '3-MEDIUM', ' 4-not specified ', '5-low'])[event_id % 5 + 1] AS category,
         CAST(props->>'$.k' AS INTEGER) AS k
-    FROM events JOIN customer ON user_id = c_custkey JOIN documents ON event_id % 200 = doc_id
+    FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS doc_key FROM events) e JOIN customer ON user_id = c_custkey JOIN documents ON doc_key = doc_id
 ), features AS (
     SELECT *, CASE WHEN k % 3 = 0 THEN 3600 + (k % 60) * 60 + 5 ELSE k * 60 + 30 END AS duration_seconds, t // 86400 * 86400 AS day,
         CASE WHEN views >= 10000000 THEN 'Mega Hit (10M+)' WHEN views >= 1000000 THEN 'Viral (1M+)' WHEN views >= 100000 THEN 'Popular (100K+)' WHEN views >= 10000 THEN 'Rising (10K+)' ELSE 'New/Small' END AS popularity_tier,
@@ -110,6 +124,15 @@ messages AS (
 )"""
 
 
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows as the data of details messages: plain digits as text, flags and countries."""
+    e = events(spark, sf_dir)
+    return e.select(
+        "timestamp", F.col("videoId").alias("id"), "title", x.duration_seconds("lengthText").cast("string").alias("lengthSeconds"), F.col("channelTitle").alias("channelId"), "channelTitle", "description",
+        (F.col("type") == "view").alias("isLiveContent"), F.lit(True).alias("allowRatings"), F.regexp_replace("viewCount", "[^0-9]", "").alias("viewCount"), "likeCount", F.array(F.lit("US"), F.lit("CA")).alias("availableCountries"), "category",
+    )
+
+
 def raw_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as raw, all-text listings with faults: bad numbers, blank and piped tags, odd titles."""
     t = lambda name: table(spark, sf_dir, name)

@@ -31,25 +31,44 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _messages(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Events written as message files, and the stream that reads them."""
-    io.to_envelope(adapters.events(spark, sf_dir), "test", "timestamp").write.text(f"{folder}/in")
-    return io.read_stream(spark, "text", {"path": f"{folder}/in"}, trends.MESSAGE)
+#: The test messages lie in their files in no order of time, so that no row may count as late.
+DELAY = "100 days"
+#: Files of one micro-batch.
+FILES = 16
 
 
-def _streamed(prepare, output, keys: list[str]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that runs a stream to its end and reads back its last state.
+def _messages(spark: SparkSession, folder: str, data: DataFrame, schema) -> DataFrame:
+    """Data written as message files, and the stream that reads them."""
+    io.to_envelope(data, "test", "timestamp").write.text(f"{folder}/in")
+    return io.read_stream(spark, "text", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
 
-    ``prepare`` makes the streaming relation, ``output`` what each micro-batch writes.
+
+def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that runs a stream to its end and makes its report from the last state of each key.
+
+    ``prepare`` makes the streaming aggregate of the features; ``past``, from
+    the golden relation, is worked out and stored once, before the stream
+    starts; ``outputs`` (micro-batch, past) are written for each micro-batch,
+    of which the first is the state; ``finish`` (state, past) is the report.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch(spark)
-        stream = prepare(trends.trending_features(_messages(spark, sf_dir, folder)))
-        write = output(adapters.golden(spark, sf_dir))
-        runner.run(stream, {"out": write}, folder, f"{folder}/checkpoint").awaitTermination()
-        schema = spark.read.parquet(f"{folder}/out").drop("epoch").schema
-        return runner.state(spark, f"{folder}/out", keys, schema)
+        golden = adapters.golden(spark, sf_dir)
+        kept = {}
+        for name, make in (past or {}).items():
+            io.write(make(golden), f"{folder}/{name}")
+            kept[name] = io.read(spark, f"{folder}/{name}")
+        if details:
+            features = trends.details_features(_messages(spark, folder, adapters.details(spark, sf_dir), trends.DETAILS))
+        else:
+            features = trends.trending_features(_messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE))
+        stream = prepare(features)
+        written = {name: (lambda b, f=f: f(b, **kept)) for name, f in (outputs or {"state": lambda b, **_: b}).items()}
+        runner.run(stream, written, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        first, f = next(iter(written.items()))
+        schema = f(history.empty_like(spark, stream.schema)).schema
+        return finish(runner.state(spark, f"{folder}/out/{first}", keys, schema), **kept)
 
     return query
 
@@ -74,9 +93,9 @@ def dq_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each video once: the stream keeps the first message of a video within the delay."""
     folder = scratch(spark)
-    stream = trends.unseen(_messages(spark, sf_dir, folder), "100 days").select("video_id")
+    stream = trends.unseen(_messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE), DELAY).select("video_id")
     runner.run(stream, {"out": lambda b: b}, folder, f"{folder}/checkpoint", mode="append").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("video_id")
+    return runner.state(spark, f"{folder}/out", ["video_id"], stream.schema)
 
 
 def st_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +108,30 @@ def _tops(golden: DataFrame) -> DataFrame:
     return history.top_channels(reports.channel_engagement(golden))
 
 
-def _s2(golden: DataFrame):
-    # the events' categories as the history's, without their numbers' case and padding
-    cats = history.category_history(reports.daily_views(golden), exact=True)
-    eng = history.engagement_history(reports.channel_engagement(golden, top=1_000_000_000), exact=True)
-    return lambda b: trends.category_all(trends.category_vs_history(b, cats, eng)).drop("current_unique_channels")
+#: The events' categories as the history's, without their numbers' case and padding.
+_S2_HISTORY = {
+    "cats": lambda g: history.category_history(reports.daily_views(g), exact=True),
+    "eng": lambda g: history.engagement_history(reports.channel_engagement(g, top=1_000_000_000), exact=True),
+}
+
+
+def _s1(finish):
+    """Scored rows and, as in every micro-batch of the report, its anomalies in order."""
+    return _streamed(
+        lambda f: trends.dominance_agg(f, DAY, DELAY), lambda s, top: finish(s), ["window", "channel_title", "popularity_tier", "description_category", "content_type"], {"top": _tops},
+        {"scored": lambda b, top: trends.dominance_score(b, top), "anomalies": lambda b, top: trends.dominance_anomalies(trends.dominance_score(b, top)).orderBy(F.desc("anomaly_score"))},
+    )
+
+
+def _s2(finish):
+    return _streamed(
+        lambda f: trends.category_agg(f, DAY, "12 hours", DELAY), lambda s, cats, eng: finish(s), ["window", "category"], _S2_HISTORY,
+        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng))}, details=True,
+    )
+
+
+def _s3(finish):
+    return _streamed(lambda f: trends.channel_agg(f, DAY, DELAY), lambda s, h: finish(trends.channel_anomaly(s, h)), ["window", "channel_title"], {"h": history.channel_history})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -119,29 +157,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "h3_channel_intelligence": _golden(history.channel_intelligence),
     "h4_tag_history": _golden(tags.tag_history),
     "h4_tag_pairs": _golden(tags.tag_pair_history),
-    "s1_dominance": _streamed(lambda f: trends.dominance_agg(f, DAY), lambda g: lambda b, top=_tops(g): _s1_rows(b, top), ["start", "channel_title", "popularity_tier", "description_category", "content_type"]),
-    "s2_category_performance": _streamed(lambda f: trends.category_agg(f, DAY, "12 hours"), _s2, ["start", "category"]),
-    "s3_channel_anomaly": _streamed(
-        lambda f: f, lambda g: lambda b, h=history.channel_history(g): _start(trends.channel_anomaly(trends.channel_agg(b, DAY), h)).select("start", "channel_title", "current_trending_videos", "current_avg_views", "hist_avg_views", "top_tier", F.round("anomaly", 2).alias("anomaly_x"), "performance_vs_history", "growth_indicator", "channel_tier"), ["start", "channel_title"],
-    ),
+    "s1_dominance": _s1(lambda s: _s1_rows(s)),
+    "s1_anomalies": _s1(lambda s: trends.dominance_anomalies(s)),
+    "s2_category_performance": _s2(lambda s: trends.category_all(s).drop("current_unique_channels")),
+    "s2_category_changes": _s2(lambda s: trends.category_compared(s)),
+    "s3_channel_anomaly": _s3(lambda s: _start(s).select("start", "channel_title", "current_trending_videos", "current_avg_views", "hist_avg_views", "top_tier", F.round("anomaly", 2).alias("anomaly_x"), "performance_vs_history", "growth_indicator", "channel_tier")),
+    "s3_channel_viral": _s3(lambda s: trends.channel_viral(s)),
     "s3_category_comparison": _streamed(
-        lambda f: f, lambda g: lambda b, c=history.channel_history(g, "full"), m=history.category_benchmarks(g): trends.category_comparison(b, c, m, DAY, None).select("category_title", "region", "streaming_channels", F.round("category_stream_avg", 2).alias("category_stream_avg"), "category_avg_views", "category_performance_vs_batch"), ["category_title", "region"],
+        lambda f: trends.channel_views(f, DAY, None, DELAY),
+        lambda s, c, m: trends.windows_by_category(s, c, m).select("category_title", "region", "streaming_channels", F.round("category_stream_avg", 2).alias("category_stream_avg"), "category_avg_views", "category_performance_vs_batch"),
+        ["window", "channel_title"], {"c": lambda g: history.channel_history(g, "full"), "m": history.category_benchmarks},
     ),
     "s4_title_strategy": _streamed(
-        lambda f: f, lambda g: lambda b, h=history.channel_intelligence(g, "channel"): _start(trends.title_strategy(trends.title_features(b), h, DAY)).select("start", "channel_title", "video_count", "avg_views", "avg_title_length", "avg_word_count", "avg_emotional_score", "avg_optimization_score", "numbers_avg_views", "viral_keywords_avg_views", "question_avg_views", "title_strategy_grade", F.round("viral_potential_score", 4).alias("viral_potential_score"), "batch_avg_views", "batch_videos", "performance_trend", "strategy_effectiveness", "improvement_vs_batch"), ["start", "channel_title"],
+        lambda f: trends.title_agg(trends.title_features(f), DAY, DELAY),
+        lambda s, h: _start(trends.title_vs_history(s, h)).select("start", "channel_title", "video_count", "avg_views", "avg_title_length", "avg_word_count", "avg_emotional_score", "avg_optimization_score", "numbers_avg_views", "viral_keywords_avg_views", "question_avg_views", "title_strategy_grade", F.round("viral_potential_score", 4).alias("viral_potential_score"), "batch_avg_views", "batch_videos", "performance_trend", "strategy_effectiveness", "improvement_vs_batch"),
+        ["window", "channel_title"], {"h": lambda g: history.channel_intelligence(g, "channel")},
     ),
     "s5_tag_momentum": _streamed(
-        lambda f: f, lambda g: lambda b, h=tags.tag_history(g): _start(trends.tag_momentum(trends.tag_features(b), h, DAY)).select("start", "current_tag", "current_usage", "current_avg_views", "current_total_views", "channels_using_tag", F.round("tag_momentum_score", 4).alias("tag_momentum_score"), "change_pct", "trend_status"), ["start", "current_tag"],
+        lambda f: trends.tag_channels(trends.tag_features(f), DAY, DELAY),
+        lambda s, h: _start(trends.momentum_vs_history(trends.momentum_of(s), h)).select("start", "current_tag", "current_usage", "current_avg_views", "current_total_views", "channels_using_tag", F.round("tag_momentum_score", 4).alias("tag_momentum_score"), "change_pct", "trend_status"),
+        ["window", "current_tag", "channel_title"], {"h": tags.tag_history},
     ),
-    "s5_tag_combinations": _streamed(lambda f: f, lambda g: lambda b: _start(trends.tag_combinations(trends.tag_features(b), size=DAY)), ["start", "tag_combo"]),
-    "s5_channel_tagging": _streamed(lambda f: f, lambda g: lambda b: _start(trends.channel_tagging(trends.tag_features(b), DAY)), ["start", "channel_title"]),
+    "s5_tag_combinations": _streamed(lambda f: trends.tag_combinations(trends.tag_features(f), size=DAY, watermark=DELAY), _start, ["window", "tag_combo"]),
+    "s5_channel_tagging": _streamed(lambda f: trends.channel_tagging(trends.tag_features(f), DAY, DELAY), _start, ["window", "channel_title"]),
     "st_dedup": st_dedup,
     "st_envelope": st_envelope,
 }
 
 
-def _s1_rows(b: DataFrame, top: DataFrame) -> DataFrame:
-    s = trends.dominance_score(b, top)
+def _s1_rows(s: DataFrame) -> DataFrame:
     keys = ("popularity_tier", "description_category", "content_type")
     return s.select(
         F.unix_seconds("window.start").alias("start"), "channel_title", *keys, F.when(F.col("established"), "ESTABLISHED").otherwise("EMERGING").alias("status"), "trending_videos_count", F.round("avg_views_per_video", 0).alias("avg_views"),
@@ -190,10 +234,29 @@ _TAGS = """raw_tags AS (SELECT video_id, likes, views, comment_count, category_t
 _FIGURES = """count(*) AS usage_count, avg(views) AS avg_views, avg(likes) AS avg_likes, avg(likes::DOUBLE / views) AS avg_like_rate, avg(comment_count::DOUBLE / views) AS avg_comment_rate,
     quantile_disc(views, 0.9) AS p90_views, count(DISTINCT channel_title) AS unique_channels, count(DISTINCT trending_full_date) AS trending_days"""
 _LEVEL = "CASE WHEN viral_success_rate > 50 AND video_count > 50 THEN '{}' WHEN viral_success_rate > 30 AND avg_likes > 500000 THEN '{}' WHEN video_count > 100 AND avg_likes > 100000 THEN '{}' WHEN viral_success_rate > 20 THEN '{}' ELSE '{}' END"
-_TIER = "CASE WHEN avg(views) >= 10000000 THEN 'Mega Channel' WHEN avg(views) >= 1000000 THEN 'Large Channel' WHEN avg(views) >= 100000 THEN 'Medium Channel' ELSE 'Small Channel' END"
+_TIER = "CASE WHEN avg(views) >= 10000000 THEN 'Mega Channel' WHEN avg(views) >= 1000000 THEN 'Popular Channel' WHEN avg(views) >= 100000 THEN 'Growing Channel' ELSE 'Small Channel' END"
 _TAG_LIST = "[x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '({'|'.join(words)})') THEN '{label}' END" for label, words in trends.LEXICON.items()) + "] IF x IS NOT NULL]"
 _TAGGED = f"tagged AS (SELECT *, {_TAG_LIST} AS tags FROM features)"
 
+_S1 = """, top AS (SELECT channel_title, min(rank_in_category) AS r FROM b2 GROUP BY channel_title
+), a AS (
+    SELECT day AS start, channel_title, popularity_tier, description_category, content_type, count(*) AS n, avg(views) AS mean, stddev_samp(views) AS sd, avg(duration_seconds) AS dur FROM features GROUP BY ALL
+), s AS (
+    SELECT a.*, r, CASE WHEN popularity_tier = 'Viral (1M+)' AND r IS NULL THEN mean / 1000000 ELSE 0 END AS anomaly, n / greatest(dur / 60, 1) AS velocity, coalesce(1 / (1 + sd / mean), 1) AS consistency FROM a LEFT JOIN top USING (channel_title)
+)"""
+_S2 = """, hc AS (SELECT upper(trim(category_title)) AS key, CAST(sum(video_count) AS BIGINT) AS hist_videos, avg(avg_views) AS hist_avg_views FROM b1 GROUP BY ALL
+), he AS (SELECT upper(trim(category_title)) AS key, avg(avg_engagement_per_video) AS hist_eng, count(DISTINCT channel_title) AS hist_channels FROM eng GROUP BY ALL
+), w AS (SELECT *, t // 43200 * 43200 - 43200 * unnest([0, 1]) AS start FROM features
+), a AS (SELECT start, category, count(*) AS n, CAST(sum(views) AS BIGINT) AS total, avg(views) AS mean, CAST(sum(likes) AS BIGINT) AS likes FROM w GROUP BY ALL
+), c AS (
+    SELECT a.*, hist_videos, hist_channels, hist_avg_views, hist_eng, round(likes / greatest(total, 1) * 100, 2) AS curr_eng_pct, round(likes / greatest(n, 1), 2) AS per_video
+    FROM a LEFT JOIN hc ON hc.key = upper(trim(category)) LEFT JOIN he ON he.key = upper(trim(category))
+), d AS (SELECT *, CASE WHEN hist_avg_views > 0 THEN round((mean - hist_avg_views) * 100.0::DOUBLE / hist_avg_views, 2) END AS v, CASE WHEN hist_eng > 0 THEN round((per_video - hist_eng) * 100.0::DOUBLE / hist_eng, 2) END AS e FROM c)"""
+_S3 = f""", h AS (SELECT channel_title, avg(views) AS hist_avg_views, {_TIER} AS channel_tier FROM golden GROUP BY channel_title
+), a AS (SELECT day AS start, channel_title, count(*) AS current_trending_videos, avg(views) AS current_avg_views, arg_max(popularity_tier, views) AS top_tier FROM features GROUP BY ALL
+), j AS (SELECT a.*, hist_avg_views, channel_tier, coalesce(current_avg_views / hist_avg_views, 0) AS x FROM a LEFT JOIN h USING (channel_title))"""
+_GROWTH = "CASE WHEN x >= 3 THEN 'VIRAL EXPLOSION' WHEN x >= 2 THEN 'Strong Growth' WHEN x >= 1.5::DOUBLE THEN 'Moderate Growth' WHEN x >= 0.8::DOUBLE THEN 'Stable' ELSE 'Declining' END"
+
 SQL: dict[str, str] = {
     "b1_daily_views": _g(" SELECT * FROM b1", _DAILY),
     "b2_channel_engagement": _g(" SELECT * FROM b2", _ENGAGEMENT),
@@ -308,27 +371,23 @@ UNION ALL SELECT 'assignable_rows', count(*), count(*) >= 1 FROM golden WHERE as
 SELECT tag1, tag2, category_title, {_FIGURES} FROM x WHERE tag1 NOT IN ('uncategorized', 'no-tags', 'unknown') AND tag2 NOT IN ('uncategorized', 'no-tags', 'unknown') GROUP BY tag1, tag2, category_title HAVING count(*) >= 5"""
     ),
     "s1_dominance": _e(
-        """, top AS (SELECT channel_title, min(rank_in_category) AS r FROM b2 GROUP BY channel_title
-), a AS (
-    SELECT day AS start, channel_title, popularity_tier, description_category, content_type, count(*) AS n, avg(views) AS mean, stddev_samp(views) AS sd, avg(duration_seconds) AS dur FROM features GROUP BY ALL
-), s AS (
-    SELECT a.*, r, CASE WHEN popularity_tier = 'Viral (1M+)' AND r IS NULL THEN mean / 1000000 ELSE 0 END AS anomaly, n / greatest(dur / 60, 1) AS velocity, coalesce(1 / (1 + sd / mean), 1) AS consistency FROM a LEFT JOIN top USING (channel_title)
-)
+        _S1
+        + """
 SELECT start, channel_title, popularity_tier, description_category, content_type, CASE WHEN r IS NOT NULL THEN 'ESTABLISHED' ELSE 'EMERGING' END AS status, n AS trending_videos_count, CAST(round(CAST(mean AS DECIMAL(38, 12)), 0) AS DOUBLE) AS avg_views, CAST(round(CAST(anomaly AS DECIMAL(38, 12)), 2) AS DOUBLE) AS viral_score,
     CAST(round(CAST(velocity AS DECIMAL(38, 12)), 2) AS DOUBLE) AS velocity, CAST(round(CAST(consistency AS DECIMAL(38, 12)), 2) AS DOUBLE) AS consistency,
     CAST(round(CAST(n * log10(greatest(mean, 1)) * (1 + anomaly * 0.5::DOUBLE) * (1 + velocity * 0.3::DOUBLE) * consistency * CASE WHEN r <= 2 THEN 1.2::DOUBLE WHEN r <= 5 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS DECIMAL(38, 12)), 1) AS DOUBLE) AS intelligent_score
 FROM s""",
         _ENGAGEMENT,
     ),
+    "s1_anomalies": _e(
+        _S1
+        + """
+SELECT channel_title, n AS trending_videos_count, CAST(round(CAST(mean AS DECIMAL(38, 12)), 0) AS DOUBLE) AS avg_views, CAST(round(CAST(anomaly AS DECIMAL(38, 12)), 2) AS DOUBLE) AS anomaly_score, popularity_tier FROM s WHERE anomaly > 0.5""",
+        _ENGAGEMENT,
+    ),
     "s2_category_performance": _e(
-        """, hc AS (SELECT upper(trim(category_title)) AS key, CAST(sum(video_count) AS BIGINT) AS hist_videos, avg(avg_views) AS hist_avg_views FROM b1 GROUP BY ALL
-), he AS (SELECT upper(trim(category_title)) AS key, avg(avg_engagement_per_video) AS hist_eng, count(DISTINCT channel_title) AS hist_channels FROM eng GROUP BY ALL
-), w AS (SELECT *, t // 43200 * 43200 - 43200 * unnest([0, 1]) AS start FROM features
-), a AS (SELECT start, category, count(*) AS n, CAST(sum(views) AS BIGINT) AS total, avg(views) AS mean, CAST(sum(likes) AS BIGINT) AS likes FROM w GROUP BY ALL
-), c AS (
-    SELECT a.*, hist_videos, hist_channels, hist_avg_views, hist_eng, round(likes / greatest(total, 1) * 100, 2) AS curr_eng_pct, round(likes / greatest(n, 1), 2) AS per_video
-    FROM a LEFT JOIN hc ON hc.key = upper(trim(category)) LEFT JOIN he ON he.key = upper(trim(category))
-), d AS (SELECT *, CASE WHEN hist_avg_views > 0 THEN round((mean - hist_avg_views) * 100.0::DOUBLE / hist_avg_views, 2) END AS v, CASE WHEN hist_eng > 0 THEN round((per_video - hist_eng) * 100.0::DOUBLE / hist_eng, 2) END AS e FROM c)
+        _S2
+        + """
 SELECT start, category, n AS current_videos_count, coalesce(hist_videos, 0) AS hist_videos, coalesce(hist_channels, 0) AS hist_channels, total AS current_views, round(mean, 0) AS current_avg, round(coalesce(hist_avg_views, 0), 0) AS hist_avg,
     v AS views_change_pct, curr_eng_pct, coalesce(hist_eng, 0) AS hist_eng, e AS eng_change_pct,
     CASE WHEN v > 25 THEN 'HOT_CATEGORY' WHEN v > 0 THEN 'GROWING_CATEGORY' WHEN v > -25 THEN 'STABLE_CATEGORY' WHEN v IS NOT NULL THEN 'DECLINING_CATEGORY' ELSE 'NEW_CATEGORY' END AS category_trend_indicator,
@@ -337,14 +396,28 @@ FROM d""",
         _DAILY,
         _ENGAGEMENT,
     ),
+    "s2_category_changes": _e(
+        _S2
+        + """
+SELECT category, v AS views_change_pct, e AS eng_change_pct, total AS current_total_views,
+    CASE WHEN v > 25 THEN 'HOT_CATEGORY' WHEN v > 0 THEN 'GROWING_CATEGORY' WHEN v > -25 THEN 'STABLE_CATEGORY' WHEN v IS NOT NULL THEN 'DECLINING_CATEGORY' ELSE 'NEW_CATEGORY' END AS category_trend_indicator
+FROM d WHERE hist_avg_views IS NOT NULL""",
+        _DAILY,
+        _ENGAGEMENT,
+    ),
     "s3_channel_anomaly": _e(
-        f""", h AS (SELECT channel_title, avg(views) AS hist_avg_views, {_TIER} AS channel_tier FROM golden GROUP BY channel_title
-), a AS (SELECT day AS start, channel_title, count(*) AS current_trending_videos, avg(views) AS current_avg_views, arg_max(popularity_tier, views) AS top_tier FROM features GROUP BY ALL
-), j AS (SELECT a.*, hist_avg_views, channel_tier, coalesce(current_avg_views / hist_avg_views, 0) AS x FROM a LEFT JOIN h USING (channel_title))
+        _S3
+        + f"""
 SELECT start, channel_title, current_trending_videos, current_avg_views, hist_avg_views, top_tier, round(x, 2) AS anomaly_x,
     CASE WHEN hist_avg_views IS NULL THEN 'New Channel' WHEN current_avg_views > hist_avg_views * 2 THEN 'Breakout Performance' WHEN current_avg_views > hist_avg_views * 1.5::DOUBLE THEN 'Above Average' WHEN current_avg_views > hist_avg_views * 0.8::DOUBLE THEN 'Normal Range' ELSE 'Below Average' END AS performance_vs_history,
-    CASE WHEN x >= 3 THEN 'VIRAL EXPLOSION' WHEN x >= 2 THEN 'Strong Growth' WHEN x >= 1.5::DOUBLE THEN 'Moderate Growth' WHEN x >= 0.8::DOUBLE THEN 'Stable' ELSE 'Declining' END AS growth_indicator, channel_tier
+    {_GROWTH} AS growth_indicator, channel_tier
 FROM j"""
+    ),
+    "s3_channel_viral": _e(
+        _S3
+        + f"""
+SELECT channel_title, current_trending_videos, format('{{:,}}', CAST(round_even(current_avg_views, 0) AS BIGINT)) AS current_views, format('{{:,}}', CAST(round_even(hist_avg_views, 0) AS BIGINT)) AS hist_avg_views,
+    round(x, 1) AS viral_multiplier, {_GROWTH} AS growth_indicator, coalesce(channel_tier, 'New Channel') AS tier FROM j WHERE x >= 1.5::DOUBLE"""
     ),
     "s3_category_comparison": _e(
         """, w AS (SELECT day, channel_title, avg(views) AS mean FROM features GROUP BY ALL
@@ -385,8 +458,8 @@ FROM j""",
         _TAGGED,
     ),
     "s5_tag_combinations": _e(
-        """, i AS (SELECT *, unnest(range(1, len(tags))) AS k FROM tagged)
-SELECT day AS start, tags[k] || '+' || tags[k + 1] AS tag_combo, count(*) AS combo_usage, avg(views) AS combo_avg_views FROM i GROUP BY ALL HAVING count(*) >= 2""",
+        """, i AS (SELECT *, unnest(range(1, len(tags))) AS j FROM tagged)
+SELECT day AS start, tags[j] || '+' || tags[j + 1] AS tag_combo, count(*) AS combo_usage, avg(views) AS combo_avg_views FROM i GROUP BY ALL HAVING count(*) >= 2""",
         _TAGGED,
     ),
     "s5_channel_tagging": _e(
@@ -398,6 +471,6 @@ SELECT day AS start, tags[k] || '+' || tags[k + 1] AS tag_combo, count(*) AS com
 SELECT *, CASE WHEN tag_strategy_score >= 3.5 THEN 'Expert Tagger' WHEN tag_strategy_score >= 2.5 THEN 'Good Strategy' WHEN tag_strategy_score >= 1.5 THEN 'Basic Tagging' ELSE 'Poor Strategy' END AS tag_strategy_effectiveness FROM a""",
         _TAGGED,
     ),
-    "st_dedup": "SELECT DISTINCT 'v' || (event_id % 500) AS video_id FROM events JOIN customer ON user_id = c_custkey JOIN documents ON event_id % 200 = doc_id",
+    "st_dedup": _e(" SELECT DISTINCT video_id FROM messages"),
     "st_envelope": _e(" SELECT 'test' AS source, content_type AS type, count(*) AS n, CAST(sum(t) AS BIGINT) AS seconds, count(DISTINCT video_id) AS videos FROM messages GROUP BY ALL"),
 }

@@ -6,8 +6,10 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.history import empty_like
 from tidemark.sources import io
 
 
@@ -37,12 +39,12 @@ def run(
 
 
 def state(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
-    """The last row of each key over all epochs."""
-    df = spark.read.schema(schema).option("basePath", path).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
-    if "epoch" not in df.columns:
-        df = df.withColumn("epoch", F.regexp_extract(F.input_file_name(), r"epoch=(\d+)", 1).cast("long"))
-    cols = [c for c in df.columns if c != "epoch"]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "epoch").alias("_r"))
+    """The last row of each key over all epochs; none where no epoch has written."""
+    if not _exists(spark, path):
+        return empty_like(spark, schema)
+    # the epoch is the folder's name
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).option("basePath", path).parquet(path)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "epoch").alias("_r"))
     return last.select("_r.*")
 
 

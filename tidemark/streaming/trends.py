@@ -2,6 +2,11 @@
 
 Features, aggregates and comparisons are functions of DataFrames, so the same
 code serves a stream, one micro-batch, or a table. Window starts are event time.
+
+Windows that a stream shall get right however its input falls into
+micro-batches need its state: the aggregates take a watermark for that, and
+what no state can hold exactly (a distinct count) is made from finer ones when
+the report is read. Without a watermark they serve one micro-batch or a table.
 """
 
 from __future__ import annotations
@@ -15,6 +20,13 @@ from tidemark.functions import exprs as x
 
 MESSAGE = "timestamp long, source string, data struct<videoId string, type string, title string, channelTitle string, description string, viewCount string, likeCount string, category string, lengthText string>"
 
+# The format of details messages.
+DETAILS = (
+    "timestamp long, source string, data struct<id string, title string, lengthSeconds string, channelId string, channelTitle string, description string, thumbnail array<struct<url string, width int, height int>>, "
+    "allowRatings boolean, isPrivate boolean, isUnpluggedCorpus boolean, isLiveContent boolean, isCrawlable boolean, isFamilySafe boolean, isUnlisted boolean, isShortsEligible boolean, viewCount string, likeCount string, "
+    "availableCountries array<string>, category string, publishDate string, publishedAt string, uploadDate string, hasCaption string, subtitles array<struct<languageName string, languageCode string, isTranslatable boolean, url string>>>"
+)
+
 # Default lexicons and tier bounds.
 TIERS = ((10_000_000, "Mega Hit (10M+)"), (1_000_000, "Viral (1M+)"), (100_000, "Popular (100K+)"), (10_000, "Rising (10K+)"))
 VIRAL = ("viral", "shocking", "amazing", "incredible", "unbelievable", "insane", "crazy", "epic")
@@ -46,6 +58,14 @@ def trending_features(messages: DataFrame) -> DataFrame:
     )
 
 
+def details_features(messages: DataFrame) -> DataFrame:
+    """Typed columns of details messages with a positive view count."""
+    return messages.select(
+        "ts", F.col("data.id").alias("video_id"), F.col("data.title").alias("title"), F.col("data.channelTitle").alias("channel_title"), F.col("data.category").alias("category"), x.count_text("data.viewCount").alias("views"),
+        x.count_text("data.likeCount").alias("likes"), F.col("data.lengthSeconds").try_cast("long").alias("duration_seconds"), F.col("data.isLiveContent").alias("is_live"), F.size("data.availableCountries").alias("countries"),
+    ).filter(F.col("views") > 0)
+
+
 def _windowed(df: DataFrame, size: str, slide: str | None, watermark: str | None, *keys: str | Column):
     if watermark:
         df = df.withWatermark("ts", watermark)
@@ -189,7 +209,14 @@ def channel_viral(df: DataFrame, least: float = 1.5) -> DataFrame:
 
 def category_comparison(features: DataFrame, channels: DataFrame, benchmarks: DataFrame, size: str = "2 minutes", slide: str | None = "1 minute") -> DataFrame:
     """Channels' window averages by the categories of their history, against each region's benchmark."""
-    windows = _windowed(features, size, slide, None, "channel_title").agg(F.avg("views").alias("stream_avg_views"))
+    return windows_by_category(channel_views(features, size, slide), channels, benchmarks)
+
+
+def channel_views(features: DataFrame, size: str = "2 minutes", slide: str | None = "1 minute", watermark: str | None = None) -> DataFrame:
+    return _windowed(features, size, slide, watermark, "channel_title").agg(F.avg("views").alias("stream_avg_views"))
+
+
+def windows_by_category(windows: DataFrame, channels: DataFrame, benchmarks: DataFrame) -> DataFrame:
     by = windows.join(channels.select("channel_title", "category_title").distinct(), "channel_title").filter(F.col("category_title").isNotNull())
     by = by.groupBy("category_title").agg(F.count("*").alias("streaming_channels"), F.avg("stream_avg_views").alias("category_stream_avg"))
     now, then = F.col("category_stream_avg"), F.col("category_avg_views")
@@ -226,6 +253,11 @@ def title_features(features: DataFrame, viral: tuple[str, ...] = VIRAL, urgent:
 
 def title_strategy(features: DataFrame, history: DataFrame | None = None, size: str = "2 minutes", watermark: str | None = None, as_coded: bool = False) -> DataFrame:
     """Title figures of each channel and window; without history up to the potential score."""
+    df = title_agg(features, size, watermark)
+    return df if history is None else title_vs_history(df, history, as_coded)
+
+
+def title_agg(features: DataFrame, size: str = "2 minutes", watermark: str | None = None) -> DataFrame:
     mean = lambda c: F.avg(F.when(F.col(c), F.col("views")))
     df = _windowed(features, size, None, watermark, "channel_title").agg(
         F.count("*").alias("video_count"),
@@ -239,12 +271,13 @@ def title_strategy(features: DataFrame, history: DataFrame | None = None, size:
         mean("has_question").alias("question_avg_views"),
     )
     potential = (F.col("avg_emotional_score") * 0.4 + F.col("avg_optimization_score") * 0.6) * (F.log10(F.col("avg_views") + 1) / 10)
-    df = df.withColumns(
+    return df.withColumns(
         {"title_strategy_grade": x.at_least("avg_optimization_score", ((2.5, "Excellent"), (2.0, "Good"), (1.5, "Average")), "Needs Optimization"), "viral_potential_score": potential}
     )
-    if history is None:
-        return df
-    df = df.join(history.select("channel_title", "batch_avg_views", "batch_videos", "batch_like_rate", *[c for c in ("category_title",) if c in history.columns]), "channel_title", "left")
+
+
+def title_vs_history(agg: DataFrame, history: DataFrame, as_coded: bool = False) -> DataFrame:
+    df = agg.join(history.select("channel_title", "batch_avg_views", "batch_videos", "batch_like_rate", *[c for c in ("category_title",) if c in history.columns]), "channel_title", "left")
     now, then, score = F.col("avg_views"), F.col("batch_avg_views"), F.col("viral_potential_score")
     trend = [(now > then * 1.2, "Above Historical"), (now > then * 0.8, "Consistent")]
     if not as_coded:
@@ -268,17 +301,27 @@ def tag_features(features: DataFrame, lexicon: Mapping[str, tuple[str, ...]] = L
     )
 
 
-def tag_momentum(features: DataFrame, history: DataFrame | None = None, size: str = "3 minutes", watermark: str | None = None, exact: bool = True) -> DataFrame:
-    """Momentum of each tag and window; streams with state need ``exact=False``."""
-    channels = F.count_distinct("channel_title") if exact else F.approx_count_distinct("channel_title")
-    df = _windowed(features.withColumn("current_tag", F.explode("tags")), size, None, watermark, "current_tag").agg(
-        F.count("*").alias("current_usage"), F.avg("views").alias("current_avg_views"), F.sum("views").alias("current_total_views"), channels.alias("channels_using_tag")
-    )
-    df = df.withColumn("tag_momentum_score", F.log10(F.col("current_avg_views") + 1) * F.sqrt("current_usage") * F.col("channels_using_tag") / 100)
-    if history is None:
-        return df
+def tag_momentum(features: DataFrame, history: DataFrame | None = None, size: str = "3 minutes") -> DataFrame:
+    """Momentum of each tag and window."""
+    df = momentum_of(tag_channels(features, size))
+    return df if history is None else momentum_vs_history(df, history)
+
+
+def tag_channels(features: DataFrame, size: str = "3 minutes", watermark: str | None = None) -> DataFrame:
+    """Uses and views of each tag, channel and window, which streams can keep exactly."""
+    return _windowed(features.withColumn("current_tag", F.explode("tags")), size, None, watermark, "current_tag", "channel_title").agg(F.count("*").alias("uses"), F.sum("views").alias("views"))
+
+
+def momentum_of(parts: DataFrame) -> DataFrame:
+    """Tags and windows from their channels."""
+    uses, views = F.sum("uses"), F.sum("views")
+    df = parts.groupBy("window", "current_tag").agg(uses.alias("current_usage"), (views / uses).alias("current_avg_views"), views.alias("current_total_views"), F.count("channel_title").alias("channels_using_tag"))
+    return df.withColumn("tag_momentum_score", F.log10(F.col("current_avg_views") + 1) * F.sqrt("current_usage") * F.col("channels_using_tag") / 100)
+
+
+def momentum_vs_history(momentum: DataFrame, history: DataFrame) -> DataFrame:
     h = history.groupBy("tag").agg(F.avg("avg_views").alias("historical_avg_views"), F.avg("avg_like_rate").alias("historical_like_rate"), F.sum("usage_count").alias("total_historical_usage"))
-    df = df.join(h, F.col("current_tag") == F.col("tag"), "left").withColumn("change_pct", x.pct_change("current_avg_views", "historical_avg_views"))
+    df = momentum.join(h, F.col("current_tag") == F.col("tag"), "left").withColumn("change_pct", x.pct_change("current_avg_views", "historical_avg_views"))
     c = F.col("change_pct")
     return df.withColumn("trend_status", x.bucketize([(c.isNull(), "Emerging"), (c > 50, "Hot Trend"), (c > 20, "Growing"), (c > -20, "Stable")], "Declining"))
 
