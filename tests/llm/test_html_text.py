@@ -16,6 +16,53 @@ def test_layouts_around_an_article():
     assert h.main_text(page) == "Text, one. Text, two."
 
 
+LONG = "A long sentence, with commas, that is the text of the article; it goes on."
+PAR = f"<p>{LONG}</p>"
+SCORED = [  # page, and its main text with L for LONG
+    (f"<article class='post comments-open'>{PAR * 3}</article>", "L L L"),
+    (f"<article class='article tags-none'>{PAR * 3}</article>", "L L L"),
+    (f"<form id=aspnetForm><nav>Menu, a.</nav><div class=sidebar>Side, one.</div><div id=main><h1>Head</h1>{PAR * 3}</div></form>", "Head L L L"),
+    (f"<div class=a>{PAR * 9}</div><div class=b>{PAR * 2}</div>", " ".join("L" * 11)),
+    (f"<div><p class=it's>{LONG}</p><p class=\"x>{LONG}</p><p title='a > b'>{LONG}</p></div>", "L L L"),
+    (f"<div id=story><h1>Head</h1><p class=lead>{LONG}</p><div class=entry>{PAR * 9}</div></div>", "Head " + " ".join("L" * 10)),
+    (f"<div class='content with-sidebar'>{PAR * 4}</div>", "L L L L"),
+    (f"<body><h1>Head</h1>{PAR * 3}<ul><li>One</li></ul><div class=box>Links</div></body>", "Head L L L One"),
+    (f"<article>{PAR * 3}<section class=comments>{PAR * 9}</section></article><article class=comment>{PAR * 2}</article>", "L L L"),
+    (f"<article>{PAR * 3}<form><p>Send, us.</p></form></article>", "L L L"),
+    (f"<div id=w><div class=box>Home News</div><h1>T</h1><div class=entry>{PAR * 3}<h2>Sub</h2><p>Tiny</p><ul><li>a</li></ul></div><div class=x9>Other, links</div></div>", "T L L L Sub Tiny a"),
+    (f"<main><header><h1>T</h1></header>{PAR}<div class='share-buttons'>Share, it.</div>{PAR}</main><div class=b>{PAR}</div>", "T L L"),
+    (f"<div class=wrap><table><tr><td class=side><ul><li>A</li><li>B</li></ul></td><td>{PAR * 4}<blockquote>{LONG}</blockquote></td></tr></table></div>", None),
+    (f"<div hidden>{PAR * 5}</div><div>{PAR * 2}</div><div style='display: none'>{PAR}</div><div role=navigation>{PAR}</div>", "L L"),
+]
+
+
+def test_scored_pages():
+    for page, want in SCORED:
+        got = h.main_text(page).replace(LONG, "L")
+        if want is None:
+            assert got.count("L") == 5
+        else:
+            assert got == want, page
+
+
+def test_every_article_of_the_sample(spark):
+    """The sample's pages hold their text in one article element."""
+    import html
+    import re
+
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect():
+        inner = re.search("<article>(.*)</article>", r[0], re.S)[1]
+        want = html.unescape(re.sub("</?(?:p|h1|br|li|ul)>", " ", inner).replace("<b>", "").replace("</b>", ""))
+        assert h.main_text(r[0]) == " ".join(want.split())
+
+
+def test_deep_and_broken_pages_are_linear():
+    n = 100_000
+    assert h.main_text("<div>" * n + "deep, text." + "</div>" * n) == "deep, text."
+    assert h.main_text("<span>" * n + "<div>x, y.</div>" * 1000 + "</b>" * n).count("x, y.") == 1000
+    assert h.main_text("<p a='" * 20_000 + "x") is not None
+
+
 def test_odd_pages(spark):
     assert h.main_text(None) == h.main_text("") == h.main_text("<script>x") == h.main_text("<!-- x") == ""
     assert h.main_text("just text &am more") == "just text &am more"

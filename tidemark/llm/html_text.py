@@ -1,20 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes text nodes with their root-to-leaf tag paths. Nodes inside
-elements that never hold article text (scripts, menus, forms, ...; by tag,
-role, or a word of class or id) are set aside. For each remaining path the text
-length and the punctuation of all its nodes are added up; the two ratios are
-smoothed over the neighbouring nodes of the page, fused by a product, and paths
-over a threshold are content. The smallest element that holds nearly all the
-content nodes' text is the article; all its remaining blocks, short ones and
-headings included, are the result.
+elements that never hold article text (scripts, menus, hidden elements, ...; by
+tag, role, or a word of class or id) are set aside; what just looks like a
+layout's side, or a form, is set aside unless it holds most of the text, as a
+form around a whole page does. For each remaining path the text length and the
+punctuation of all its nodes are added up; the two ratios are smoothed over the
+neighbouring nodes of the page, fused by a product, and paths over a threshold
+are content. All nodes of content paths give text, with the short blocks beside
+them: those in the same article or main element if such elements hold the
+content, or else those in the elements that hold content blocks, and headings
+before them.
 
 Blocks are what block elements and line breaks delimit; inline elements don't
 part words. White space in a block becomes one space; blocks are joined by one
-space in page order. Edge cases: a null, empty or markup-free page gives an
-empty text or its own text; unclosed or stray tags are mended as they come; a
-page without any content path gives the text that remains; extra columns pass
-through ``extracted``.
+space in page order. Time and memory are linear in a page, however deep it
+nests. Edge cases: a null, empty or markup-free page gives an empty text or its
+own text; unclosed or stray tags and quotes are mended as they come; a page
+without any content path gives the text that remains; extra columns are
+ignored; null ids, repeated rows and empty tables pass through.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from tidemark.llm.common import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("nav aside form button select option fieldset head menu dialog input object applet canvas audio video map".split())
+NEVER = frozenset("nav aside button select option fieldset head menu dialog input object applet canvas audio video map".split())
 HEADER = frozenset(("header", "footer"))
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Words of class and id attributes that mark what is not the article.
@@ -46,12 +50,24 @@ MARKS = frozenset(
 )
 #: Those of them that also name layouts around an article ("with-sidebar"): an article inside is one all the same.
 LAYOUT = frozenset("sidebar aside menu nav navbar navigation banner widget widgets topbar toolbar skip ads ad".split())
+#: Words beside a mark that make it a state ("comments-open", "no-sidebar"), which says nothing of the element itself.
+STATES = frozenset("with without no none has have is open closed enabled disabled on off allowed count".split())
+ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are blocks of a text rather than what holds its blocks.
+TEXTUAL = INLINE | HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot table ul ol dl blockquote pre figure figcaption address caption center details summary header".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A new block element ends an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+# a quote counts only after an equals sign, and only if it ends before the next tag or where a value may end
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+    r"((?:[^>=]|=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s>]*))*+)(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_STRONG = ("table", "article", "main", "body")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？；：]")
 
 
@@ -61,135 +77,238 @@ class HtmlParams:
     threshold: float = 0.5
     #: Neighbours on each side over which ratios are smoothed.
     smooth: int = 2
-    #: The article is the smallest element that holds this share of the content text.
-    share: float = 0.8
-
-
-def nodes(page: str) -> Iterator[tuple[tuple, str, bool]]:
-    """(path, text, whether a block ends before it) for each text node; a path has (tag, number, kept) steps."""
-    stack: list[tuple[str, int, bool | None]] = []
-    at, number, brk, size = 0, 0, True, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else size]
-        if text:
-            yield tuple(stack), text, brk
-            brk = False
-        if not m:
-            return
-        at = m.end()
-        if m[1]:
-            yield tuple(stack), m[1].replace("&", "&amp;"), brk
-            brk = False
-        if not m[3]:
-            continue
-        tag = m[3].lower()
-        brk = brk or tag not in INLINE
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("table", "article", "main", "body") and tag not in ("table", "article", "main", "body", "html"):
-                    break  # a stray end tag doesn't close what stands around it
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        if tag in _ENDS_P:
-            _end(stack, {"p"}, ("div", "article", "section", "td", "body", "li", "blockquote", "main"))
-        if tag in _CLOSES:
-            _end(stack, _CLOSES[tag], ("ul", "ol", "dl", "table", "tbody", "thead", "select"))
-        if tag in VOID:
-            continue
-        number += 1
-        above, keep = stack[-1][2] if stack else True, _kept(tag, m[4], stack)
-        if above is False or keep is False:
-            keep = False
-        elif above is None and tag not in ("article", "main"):
-            keep = None
-        stack.append((tag, number, keep))
-
-
-def _end(stack: list, tags: set, until: tuple) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in tags:
-            del stack[k:]
-            return
-        if stack[k][0] in until:
+    #: Articles, or elements that hold content blocks, give text if they hold this share of what the largest one holds.
+    least: float = 0.1
+    #: A content node outside of those elements gives text from so many characters on, if it has punctuation.
+    sentence: int = 40
+
+
+class Page:
+    """Elements as parallel lists, each after its parent, and text nodes (element, text, whether a block ends before it).
+
+    Element 0 is the page itself. ``keep`` is False under what never holds
+    article text; ``soft`` is the nearest element around (or the element) that
+    looks like a side of the layout, or -1.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.tag, self.parent, self.path, self.keep, self.soft = [""], [-1], [0], [True], [-1]
+        self.nodes: list[tuple[int, str, bool]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._open: dict[str, int] = defaultdict(int)
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        stack = [0]
+        at, brk, size = 0, True, len(page)
+        while at < size:
+            m = _TAG.search(page, at)
+            text = page[at : m.start() if m else size]
+            if text:
+                self.nodes.append((stack[-1], text, brk))
+                brk = False
+            if not m:
+                return
+            at = m.end()
+            if m[1]:
+                self.nodes.append((stack[-1], m[1].replace("&", "&amp;"), brk))
+                brk = False
+            if not m[3]:
+                continue
+            tag = m[3].lower()
+            brk = brk or tag not in INLINE
+            if m[2]:
+                # a stray end tag doesn't close what stands around it
+                self._close(stack, {tag}, () if tag in _STRONG or tag == "html" else _STRONG)
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else size
+                continue
+            if tag in _ENDS_P:
+                self._close(stack, {"p"}, ("div", "article", "section", "td", "body", "li", "blockquote", "main"))
+            if tag in _CLOSES:
+                self._close(stack, _CLOSES[tag], ("ul", "ol", "dl", "table", "tbody", "thead", "select"))
+            if tag not in VOID:
+                self._add(stack, tag, m[4])
+
+    def _close(self, stack: list[int], tags: set, until: tuple) -> None:
+        """End the innermost element of these tags, and all inside it, unless one of ``until`` is further in."""
+        if not any(self._open[t] for t in tags):
             return
+        for k in range(len(stack) - 1, 0, -1):
+            tag = self.tag[stack[k]]
+            if tag in tags:
+                for e in stack[k:]:
+                    self._open[self.tag[e]] -= 1
+                del stack[k:]
+                return
+            if tag in until:
+                return
 
+    def _add(self, stack: list[int], tag: str, attrs: str) -> None:
+        up, e = stack[-1], len(self.tag)
+        self._open[tag] += 1
+        own = _kept(tag, attrs, bool(self._open["article"] or self._open["main"])) if self.keep[up] else False
+        self.tag.append(tag)
+        self.parent.append(up)
+        # inline steps don't make a path of their own
+        self.path.append(self.path[up] if tag in INLINE else self._paths.setdefault((self.path[up], tag), len(self._paths) + 1))
+        self.keep.append(own is not False)
+        self.soft.append(e if own is None else -1 if tag in ARTICLES else self.soft[up])
+        stack.append(e)
+
+    def sums(self, weight: dict[int, int]) -> list[int]:
+        """For each element the weight of itself and all inside it."""
+        out = [weight.get(e, 0) for e in range(len(self.tag))]
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def under(self, chosen: set[int]) -> list[bool]:
+        """Whether each element is, or is inside, a chosen one."""
+        out = []
+        for e, up in enumerate(self.parent):
+            out.append(e in chosen or up >= 0 and out[up])
+        return out
+
+    def rescued(self) -> list[bool]:
+        """Whether each element's text may be the article's.
 
-def _kept(tag: str, attrs: str, stack: list) -> bool | None:
+        Without an article or main element, sides of the layout that hold most
+        of the text are let in.
+        """
+        size: dict[int, int] = defaultdict(int)
+        for e, text, _ in self.nodes:
+            if self.keep[e]:
+                size[self.soft[e]] += len(text.strip())
+        let_in, plain = {-1}, size[-1]
+        inside = self.under({e for e, t in enumerate(self.tag) if t in ARTICLES})
+        marked = any(inside[e] and self.keep[e] and not text.isspace() for e, text, _ in self.nodes)
+        for e in [e for e, s in enumerate(self.soft) if s == e and not marked]:  # outer ones first
+            if self.soft[self.parent[e]] in let_in and size[e] > plain:
+                let_in.add(e)
+                plain += size[e]
+        return [k and s in let_in for k, s in zip(self.keep, self.soft)]
+
+
+def _kept(tag: str, attrs: str, in_article: bool) -> bool | None:
     """Whether an element's text may be the article's; None for what only looks like a layout's side."""
     if tag in NEVER:
         return False
     if tag in HEADER:
-        return tag == "header" and any(x[0] in ("article", "main") for x in stack)
+        return tag == "header" and in_article
+    keep: bool | None = None if tag == "form" else True
     if not attrs or tag in ("html", "body"):
-        return True
-    keep: bool | None = True
+        return keep
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return False
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return False
         if name in ("class", "id"):
-            marks = MARKS.intersection(x.lower() for x in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", m[2] or m[3] or m[4] or ""))
-            if marks - LAYOUT:
-                return False
-            if marks and tag not in ("article", "main"):
-                keep = None
+            for token in value.split():
+                words = {x.lower() for x in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", token) if x}
+                marks = words & MARKS
+                # an article's own class names many things that it has; only "comment" and the like say what it is
+                if not marks or words & STATES or tag in ARTICLES and words - MARKS:
+                    continue
+                if marks - LAYOUT:
+                    return False
+                if tag not in ARTICLES:
+                    keep = None
     return keep
 
 
 def main_text(page: str | None, params: HtmlParams = HtmlParams()) -> str:
     if not page:
         return ""
-    found = [(p, t, b) for p, t, b in nodes(page)]
-    kept = [k for k, (p, t, _) in enumerate(found) if (not p or p[-1][2]) and not t.isspace()]
-    if not kept:
-        return ""
-    # ratios by tag path
-    chars: dict[tuple, float] = defaultdict(float)
-    marks: dict[tuple, float] = defaultdict(float)
-    count: dict[tuple, int] = defaultdict(int)
-    paths = {}
-    for k in kept:
-        p, t, _ = found[k]
-        # inline steps don't make a path of their own
-        paths[k] = path = tuple(x[0] for x in p if x[0] not in INLINE)
-        chars[path] += len(t)
-        marks[path] += len(_PUNCT.findall(t))
-        count[path] += 1
-    length = [chars[paths[k]] / count[paths[k]] for k in kept]
-    punct = [marks[paths[k]] / count[paths[k]] for k in kept]
-    length, punct = _smoothed(length, params.smooth), _smoothed(punct, params.smooth)
-    fused: dict[tuple, list] = defaultdict(list)
-    for k, a, b in zip(kept, length, punct):
-        fused[paths[k]].append(math.log1p(a) * math.log1p(b))
-    score = {p: sum(x) / len(x) for p, x in fused.items()}
-    mean = sum(score.values()) / len(score)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
-    content = [k for k in kept if score[paths[k]] > params.threshold * spread and score[paths[k]] > 0]
-    root = _root([(found[k][0], len(found[k][1])) for k in content], params.share) if content else None
+    p = Page(page)
+    may = p.rescued()
+    kept = [k for k, (e, t, _) in enumerate(p.nodes) if may[e] and not t.isspace()]
+    content = _content(p, kept, params)
+    wanted = _wanted(p, content, params) if content else [True] * len(p.tag)
     out: list[str] = []
     block: list[str] = []
-    for k, (p, t, brk) in enumerate(found):
-        inside = (not p or p[-1][2]) and (root is None or any(x[1] == root for x in p))
+    for k, (e, t, brk) in enumerate(p.nodes):
         if brk and block:
-            out += " ".join(block_text(block)).split()
+            out += block_text(block)
             block = []
-        if inside:
+        if may[e] and (wanted[e] or k in content):
             block.append(t)
-    out += " ".join(block_text(block)).split()
-    return " ".join(out)
+    return " ".join(out + block_text(block))
+
+
+def _content(p: Page, kept: list[int], params: HtmlParams) -> set[int]:
+    """Those of the kept nodes whose tag path has a fused ratio over the threshold."""
+    chars: dict[int, float] = defaultdict(float)
+    marks: dict[int, float] = defaultdict(float)
+    count: dict[int, int] = defaultdict(int)
+    paths = [p.path[p.nodes[k][0]] for k in kept]
+    for k, path in zip(kept, paths):
+        t = p.nodes[k][1]
+        chars[path] += len(t)
+        marks[path] += len(_PUNCT.findall(t))
+        count[path] += 1
+    length = _smoothed([chars[x] / count[x] for x in paths], params.smooth)
+    punct = _smoothed([marks[x] / count[x] for x in paths], params.smooth)
+    fused: dict[int, list] = defaultdict(list)
+    for path, a, b in zip(paths, length, punct):
+        fused[path].append(math.log1p(a) * math.log1p(b))
+    score = {x: sum(y) / len(y) for x, y in fused.items()}
+    if not score:
+        return set()
+    mean = sum(score.values()) / len(score)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
+    return {k for k, path in zip(kept, paths) if score[path] > params.threshold * spread and score[path] > 0}
+
+
+def _wanted(p: Page, content: set[int], params: HtmlParams) -> list[bool]:
+    """The elements whose text goes with the content, short blocks included."""
+    weight: dict[int, int] = defaultdict(int)
+    for k in content:
+        weight[p.nodes[k][0]] += len(p.nodes[k][1])
+    held = p.sums(weight)
+    inside = p.under({e for e, t in enumerate(p.tag) if t in ARTICLES})
+    outer = [e for e, t in enumerate(p.tag) if t in ARTICLES and held[e] and not inside[p.parent[e]]]
+    most = max((held[e] for e in outer), default=0)
+    outer = [e for e in outer if held[e] >= params.least * most]
+    if sum(held[e] for e in outer) * 2 >= held[0]:
+        for k in [k for k in content if not inside[p.nodes[k][0]]]:
+            content.discard(k)
+        return p.under(set(outer))
+    # the element around each content block
+    direct: dict[int, int] = defaultdict(int)
+    for e, n in weight.items():
+        while e and p.tag[e] in TEXTUAL:
+            e = p.parent[e]
+        direct[e] += n
+    most = max(direct.values())
+    chosen = {e for e, n in direct.items() if n >= params.least * most}
+    # smoothing lets scraps beside long texts pass; alone, only sentences count
+    for k in list(content):
+        e, t, _ = p.nodes[k]
+        if len(t) < params.sentence or not _PUNCT.search(t):
+            content.discard(k)
+    # the page or its body holds all else too: there, just what isn't an element of another kind
+    whole = {e for e in chosen if p.tag[e] in ("", "html", "body")}
+    out = p.under(chosen - whole)
+    around = p.sums({e: 1 for e in chosen})
+    beside = [e in whole for e in range(len(p.tag))]
+    heading = [False] * len(p.tag)
+    for e in range(1, len(p.tag)):
+        up = p.parent[e]
+        beside[e] = beside[e] or beside[up] and p.tag[e] in TEXTUAL
+        # headings of the elements around
+        heading[e] = heading[up] or p.tag[e] in HEADINGS and around[up] > 0
+        out[e] = out[e] or beside[e] or heading[e]
+    out[0] = beside[0]
+    return out
 
 
 def block_text(block: list[str]) -> list[str]:
-    return ["".join(entities.unescape(t) for t in block)]
+    return "".join(map(entities.unescape, block)).split()
 
 
 def _smoothed(x: list[float], width: int) -> list[float]:
@@ -204,25 +323,6 @@ def _smoothed(x: list[float], width: int) -> list[float]:
     return out
 
 
-def _root(content: list[tuple[tuple, int]], share: float) -> int | None:
-    """The number of the deepest element that holds the share of the content's text; an article around it stands for it."""
-    held: dict[int, int] = defaultdict(int)
-    depth: dict[int, tuple] = {}
-    total = sum(n for _, n in content)
-    for p, n in content:
-        for d, x in enumerate(p):
-            held[x[1]] += n
-            depth[x[1]] = (d, x[0], p[: d + 1])
-    full = [i for i, n in held.items() if n >= share * total and depth[i][1] not in INLINE and depth[i][1] not in ("p", "li", "h1", "h2", "h3")]
-    if not full:
-        return None
-    best = max(full, key=lambda i: depth[i][0])
-    for x in depth[best][2]:
-        if x[0] in ("article", "main"):
-            return x[1]
-    return best
-
-
 def extracted(pages: DataFrame, params: HtmlParams = HtmlParams()) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages(page_id, url, html)."""
     ship(pages.sparkSession)
