@@ -42,3 +42,10 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b", "x")], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert q.learn(df, labels) == [] and q.judged(df.limit(0), []).collect() == []
+
+
+def test_windows_of_a_very_long_text(spark):
+    """Three million words of which one window comes twice; hashes cut short would find more."""
+    df = spark.sql("select 1L doc_id, concat('p q r ', array_join(transform(sequence(1, 3000000), x -> hex(x)), ' '), ' p q r') text union all select null, 'a b c d a b c' union all select 7, 'x' union all select 7, 'x'")
+    got = sorted((r["_stats"]["n_words"], r["_stats"]["n_repeat_words"]) for r in q.judged(df, []).select("_stats").collect())
+    assert got == [(1, 0), (1, 0), (7, 6), (3_000_006, 6)]

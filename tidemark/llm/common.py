@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+#: Folders of applications whose session names none.
+_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,18 +38,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder under the cluster's shared checkpoint folder, in one folder for the application.
 
     Where spark.checkpoint.dir is unset, as in tests, a folder of this machine
     serves, which only a local master can read.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{_application_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    top = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(app)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+        top = _folders[app] = tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/tidemark-{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that operators have stored for this application; results that weren't written elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -8,7 +8,8 @@ expression. Only counts by feature and bin reach the driver.
 
 Edge cases: a null text has no words (all figures 0); null labels and labels
 of unknown documents are not learned from; an empty or one-sided label set
-gives an empty list, which rejects nothing; extra columns pass through.
+gives an empty list, which rejects nothing; rows with null or repeated ids are
+judged one by one; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -69,26 +70,28 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)),
         lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")),
     )
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    # by what is left without them: nothing is listed, however long a text is
+    count = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
     out = docs.withColumn("_words", words).withColumn("_n", F.size("_words")).withColumn("_bits", F.ceil(F.log2(F.greatest("_n", F.lit(2)).cast("double"))).cast("int"))
     # an expression that depends on the partition keeps filters above this projection: pushed
     # below it, they would work out the words anew for each window
     here = (F.spark_partition_id() * 0).cast("long")
-    out = out.withColumn("_hashes", _hashes(F.col("_words"), F.col("_n"))).withColumn("_windows", _windows(F.col("_hashes"), F.col("_bits")))
+    out = out.withColumn("_hashes", _hashes(F.col("_words"), F.col("_n"))).withColumn("_sorted", _sorted(F.col("_hashes"), F.col("_bits")))
+    out = out.withColumn("_windows", _windows(F.col("_hashes"), F.col("_sorted"), F.col("_bits")))
     return out.withColumns(
         {
             "_lines": lines,
             "_stats": F.struct(
                 (F.col("_n") + here).alias("n_words"),
-                (F.length(t) - count(r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
-                count(r"[#*$%&|<>]").alias("n_symbols"),
-                _covered(F.col("_windows"), F.col("_bits")).alias("n_repeat_words"),
-                count(r"[0-9]").alias("n_digits"),
-                count(r"[A-Z]").alias("n_upper"),
-                count(r"[.!?]").alias("n_stops"),
+                (F.length(t) - count(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+                count("#*$%&|<>").alias("n_symbols"),
+                _covered(F.col("_windows")).alias("n_repeat_words"),
+                count("0123456789").alias("n_digits"),
+                count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+                count(".!?").alias("n_stops"),
             ),
         }
-    ).withColumn("_stats", F.struct("_stats.*", "_lines.*")).drop("_words", "_lines", "_n", "_bits", "_hashes", "_windows")
+    ).withColumn("_stats", F.struct("_stats.*", "_lines.*")).drop("_words", "_lines", "_n", "_bits", "_hashes", "_sorted", "_windows")
 
 
 def _hashes(w: Column, n: Column) -> Column:
@@ -96,23 +99,29 @@ def _hashes(w: Column, n: Column) -> Column:
     return F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
 
 
-def _windows(h: Column, bits: Column) -> Column:
-    """The windows in order of their hashes, or none where no hash occurs twice.
-
-    A window is one long: its position in the low bits, as many as the text
-    needs, and its hash in the others, so that one sort of longs puts equal
-    windows side by side. Two different windows of one text share the hash bits
-    (54 at 1,000 words) with a chance of about n * n / 2 ** (65 - log2 n).
-    """
+def _sorted(h: Column, bits: Column) -> Column:
+    """Windows as longs in order, or none where no hash occurs twice: part of the hash above, the window's place in the low bits."""
     place = F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long")))
     return F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(place)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _covered(s: Column, bits: Column) -> Column:
-    """Words inside windows that occur twice or more; s has the windows in order."""
+def _windows(h: Column, s: Column, bits: Column) -> Column:
+    """Whole hashes and places, in order, of the windows that share their part of the hash with a neighbour in s.
+
+    Equal windows then stand side by side whatever the text's length: all 64
+    bits of the hash are compared, so that two different windows of a text of n
+    words pass for equal with a chance of n * n / 2 ** 65.
+    """
     same = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0
     low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    at = F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))), lambda x: x.bitwiseAND(low)))
+    near = F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)))
+    return F.sort_array(F.transform(near, lambda x: F.struct(F.get(h, x.bitwiseAND(low).cast("int")).alias("h"), x.bitwiseAND(low).alias("i"))))
+
+
+def _covered(s: Column) -> Column:
+    """Words inside windows that occur twice or more; s has the windows in order."""
+    same = lambda x, k: F.get(s, k)["h"] == x["h"]
+    at = F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"]))
     # each window adds three words, or fewer where the next one overlaps it
     gaps = let(at, lambda p: F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, k + 1) - x, F.lit(3).cast("long")))))
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
