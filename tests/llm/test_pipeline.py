@@ -23,7 +23,7 @@ def linked(ids, fps, sets):
     for i in sorted(ids):
         for j in sorted(ids):
             d = (fps[i] ^ fps[j]).bit_count()
-            if j < i and (d <= 4 or d <= 8 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+            if j < i and (d <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     return {i: top(i) for i in ids}
@@ -66,8 +66,12 @@ def test_stages_match_brute_force(spark):
 
 
 def test_odd_documents(spark):
-    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 60, "en", "a", 300), (3, "word " * 60, "en", "a", 300)]
+    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 60, "en", "a", 300), (3, "word " * 60, "en", "a", 300), (None, "other " * 70, None, "b", 420)]
     docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
-    for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            stage(spark, rows, SF).collect()
+    clash = docs.selectExpr("*", "1 AS kept", "2 AS size", "3 AS _quality", "4 AS n_words", "5 AS fp", "6 AS taken")
+    for rows in (docs, docs.limit(0), clash):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SF)
+            out.collect()
+            if name != "tokenize":
+                assert out.columns == rows.columns

@@ -145,16 +145,29 @@ def test_graded_copies_lose_no_link(spark, monkeypatch):
     assert got == joined(range(len(texts)), near)
 
 
-def test_walk_finds_every_pair_of_a_dense_group():
+def test_walk_joins_every_pair_of_dense_groups():
     rng = np.random.default_rng(3)
-    near = [sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(1, 4, 400)]
-    leaves = np.unique(np.array(near, np.uint64))
-    found = set()
-    for i, j in simhash._walk(leaves, None, 0, 21, 1, 4, block=1 << 10):
-        assert not found & (new := set(zip(i.tolist(), j.tolist())))
-        found |= new
-    want = {(i, j) for i in range(len(leaves)) for j in range(i + 1, len(leaves)) if (d := int(leaves[i] ^ leaves[j])).bit_count() <= 4 and (d >> 43).bit_count() <= 1}
-    assert found == want and len(want) > 1000
+    for most in (1, 0):
+        near = [sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) ^ int(c) for c in rng.integers(0, 1 << 63, 5, dtype=np.uint64) >> 3 for k in rng.integers(1, 6, 150)]
+        leaves = np.unique(np.array(near, np.uint64))
+        linked = [(i, j) for i in range(len(leaves)) for j in range(i) if (d := int(leaves[i] ^ leaves[j])).bit_count() <= 4 and (d >> 43).bit_count() <= most]
+        got = simhash.Joined(len(leaves))
+        simhash._walk(leaves, (0, len(leaves)), (0, len(leaves)), 0, 21, most, 4, got, block=1 << 8)
+        assert dict(enumerate(got.up.tolist())) == joined(range(len(leaves)), linked) and len(linked) > 500
+
+
+def test_groups_in_blocks_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    fps = sorted({sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(1, 5, 300)} | {int(x) for x in rng.integers(0, 1 << 63, 100, dtype=np.uint64)})
+    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "node long, fp long")
+    got = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, 4, 4, block=50)).collect()}
+    assert {i: got.get(i, i) for i in range(len(fps))} == groups(dict(enumerate(fps)))
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e", "x"), (2, "a b c d e", "x"), (2, "a b c d e", "x"), (1, "A b c d e", "x"), (3, None, "x"), (4, "", "x")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.report(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
 
 def test_empty(spark):

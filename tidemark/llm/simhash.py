@@ -2,8 +2,9 @@
 
 ``fingerprints`` gives every text a 64-bit SimHash. ``links`` joins the
 distinct fingerprints with themselves: three tries, each with another third of
-the bits in front, are cut at their first ``front`` bits into groups; inside a
-group pairs of trie nodes are walked together, level by level, with the
+the bits in front, are cut at their first bits into groups, as many bits as keep
+the groups' size as the table grows; a group that is larger all the same is cut
+into blocks, each pair of which is a task's work. Inside a group pairs of trie nodes are walked together, level by level, with the
 differing bits added up, and a pair of nodes goes as soon as it exceeds the
 error budget. Four differing bits leave one of the first two thirds with at
 most one, or the last with none, so each trie walks its first third with that
@@ -18,8 +19,9 @@ similar ones far more seldom; the similarity is worked out from the whole sets,
 for each pair that nothing has linked yet. Buckets of many texts are cut into
 blocks, and each pair of blocks is a task's work.
 
-Copies share a fingerprint, so a group of any size is one leaf; a task passes
-on a spanning forest of its links, never all pairs of a group.
+Copies share a fingerprint, so a group of any size is one leaf; a task joins
+what it links as it goes, leaves out node pairs that are one component already,
+and passes on one edge for each fingerprint at most, never all pairs of a group.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like
 any other; fewer words than a shingle make one shingle of all; rows with a
@@ -105,49 +107,60 @@ def _rotated(x: np.ndarray, first: int) -> np.ndarray:
     return x if not first else (x << np.uint64(first)) | (x >> np.uint64(64 - first))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, up: dict) -> list[tuple[int, int]]:
-    """Those of the edges a-b that join two trees of the forest ``up``."""
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        u, v = x, y
-        while (p := up.get(u, u)) != u:
-            up[u] = up.get(p, p)
-            u = p
-        while (p := up.get(v, v)) != v:
-            up[v] = up.get(p, p)
-            v = p
-        if u != v:
-            up[max(u, v)] = min(u, v)
-            kept.append((x, y))
-    return kept
-
-
-def _walk(home: np.ndarray, guest: np.ndarray | None, front: int, length: int, most: int, budget: int, block: int = 1 << 20):
-    """Index pairs (of home and guest, or of home and home) within the budget. Both are sorted and share their own first bits.
-
-    A frontier holds pairs of trie nodes as ranges of the sorted leaves. Each
-    step splits one node pair by the next bit into up to four, adds the
-    differing bit, and drops pairs beyond the budget; small pairs are compared.
+class Joined:
+    """Components of leaves that grow by links: ``up`` has the smallest leaf of each one's component."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+        self.changes: np.ndarray | None = None
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        u, v = self.up[i], self.up[j]
+        while len(at := np.flatnonzero(u != v)):
+            low, high = np.minimum(u[at], v[at]), np.maximum(u[at], v[at])
+            # a component hangs on the smallest of those it meets; the others meet that one in the next round
+            np.minimum.at(self.up, high, low)
+            while not np.array_equal(top := self.up[self.up], self.up):
+                self.up = top
+            u, v = self.up[low], self.up[high]
+            self.changes = None
+
+    def settled(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Whether all leaves of both ranges are of one component."""
+        if self.changes is None:
+            self.changes = np.concatenate(([0], np.cumsum(self.up[1:] != self.up[:-1])))
+        c = self.changes
+        return (c[a1 - 1] == c[a0]) & (c[b1 - 1] == c[b0]) & (self.up[a0] == self.up[b0])
+
+
+def _walk(leaves: np.ndarray, home: tuple[int, int], guest: tuple[int, int], front: int, length: int, most: int, budget: int, joined: Joined, block: int = 1 << 20) -> None:
+    """Link the leaves of two ranges, or of one with itself, that are within the budget.
+
+    Each range is sorted and shares its first bits. A frontier holds pairs of
+    trie nodes as ranges of leaves. Each step splits one node pair by the next
+    bit into up to four, adds the differing bit, and drops pairs beyond the
+    budget; small pairs are compared.
     """
-    other = home if guest is None else guest
-    start = int(np.bitwise_count((home[0] ^ other[0]) >> np.uint64(64 - front))) if front else 0
-    stack = [(front, np.array([[0, len(home), 0, len(other), start]], np.int64))]
+    same = home == guest
+    start = int(np.bitwise_count((leaves[home[0]] ^ leaves[guest[0]]) >> np.uint64(64 - front))) if front else 0
+    stack = [(front, np.array([[*home, *guest, start]], np.int64))]
     while stack:
         bit, nodes = stack.pop()
         if len(nodes) > block:  # depth first over blocks, so that the frontier stays bounded
             stack += [(bit, nodes[i : i + block]) for i in range(0, len(nodes), block)]
             continue
+        nodes = nodes[~joined.settled(*nodes[:, :4].T)]
         size = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
         done = (size <= 64) | (bit == 64)
         if done.any():
-            yield from _compared(home, other, nodes[done], guest is None, length, most, budget, block)
+            _compared(leaves, nodes[done], same, length, most, budget, joined)
             nodes = nodes[~done]
         if not len(nodes):
             continue
         mask = np.uint64(1 << (63 - bit))
         # the first leaf of each node that has the bit set: leaves are sorted
-        cut_a = _cut(home, nodes[:, 0], nodes[:, 1], mask)
-        cut_b = _cut(other, nodes[:, 2], nodes[:, 3], mask)
+        cut_a = _cut(leaves, nodes[:, 0], nodes[:, 1], mask)
+        cut_b = _cut(leaves, nodes[:, 2], nodes[:, 3], mask)
         limit = most if bit < length else budget
         kids = []
         for low_a in (True, False):
@@ -156,48 +169,61 @@ def _walk(home: np.ndarray, guest: np.ndarray | None, front: int, length: int, m
                 b0, b1 = (nodes[:, 2], cut_b) if low_b else (cut_b, nodes[:, 3])
                 d = nodes[:, 4] + (low_a != low_b)
                 ok = (a1 > a0) & (b1 > b0) & (d <= limit)
-                if guest is None:  # each unordered pair of nodes once
+                if same:  # each unordered pair of nodes once
                     ok &= a0 <= b0
                 kids.append(np.stack([a0, a1, b0, b1, d], axis=1)[ok])
         stack.append((bit + 1, np.concatenate(kids)))
 
 
 def _cut(leaves: np.ndarray, lo: np.ndarray, hi: np.ndarray, mask: np.uint64) -> np.ndarray:
-    base = leaves[lo]
-    want = np.where(base & mask, base, (base & ~(mask | (mask - np.uint64(1)))) | mask)
-    return np.where(base & mask, lo, np.minimum(np.searchsorted(leaves, want), hi))
-
-
-def _compared(home, other, nodes, same, length, most, budget, block):
-    na, nb = nodes[:, 1] - nodes[:, 0], nodes[:, 3] - nodes[:, 2]
-    total = np.cumsum(na * nb)
+    """The first leaf of each range, whose leaves share all bits above the mask's, that has the mask's bit."""
+    lo, end = lo.copy(), hi
+    hi = hi.copy()
+    while len(at := np.flatnonzero(lo < hi)):
+        mid = (lo[at] + hi[at]) >> 1
+        one = (leaves[mid] & mask) != 0
+        hi[at[one]] = mid[one]
+        lo[at[~one]] = mid[~one] + 1
+    return np.minimum(lo, end)
+
+
+def _compared(leaves, nodes, same, length, most, budget, joined, block: int = 1 << 16) -> None:
+    total = np.cumsum((nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2]))
     lo = 0
     while lo < len(nodes):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + block)))
-        n, m, x = na[lo:hi], nb[lo:hi], nodes[lo:hi]
+        x = nodes[lo:hi]
+        lo = hi
+        x = x[~joined.settled(*x[:, :4].T)]
+        n, m = x[:, 1] - x[:, 0], x[:, 3] - x[:, 2]
         size = n * m
         k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         wide = np.repeat(m, size)
         i, j = np.repeat(x[:, 0], size) + k // wide, np.repeat(x[:, 2], size) + k % wide
         if same:
             i, j = i[i < j], j[i < j]
-        d = home[i] ^ other[j]
+        d = leaves[i] ^ leaves[j]
         ok = (np.bitwise_count(d) <= budget) & (np.bitwise_count(d >> np.uint64(64 - length)) <= most)
-        yield i[ok], j[ok]
-        lo = hi
+        joined.add(i[ok], j[ok])
+
+
+#: Fingerprints of a group, and of a block of a group, about.
+GROUP, BLOCK = 256, 20_000
 
 
-def links(nodes: DataFrame, budget: int = 4, front: int = 10) -> DataFrame:
-    """Edges (a, b) of node ids for nodes(node, fp): forests that join all distinct fingerprints that ``budget`` bits or fewer part.
+def links(nodes: DataFrame, budget: int = 4, front: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) of node ids for nodes(node, fp) that join all distinct fingerprints that ``budget`` bits or fewer part.
 
     ``front`` bits of each trie pick the group, so there are 3 * 2 ** front
     groups; a fingerprint visits the groups within the budget of that trie's
-    first part.
+    first part. Without it the number of nodes sets it.
     """
     from itertools import combinations
 
     ship(nodes.sparkSession)
     limits = allowed(budget)
+    if front is None:
+        front = min(20, max(4, (nodes.count() // GROUP).bit_length()))
     ups = []
     for k, ((first, _), most) in enumerate(zip(PARTS, limits)):
         turned = F.col("fp") if not first else F.call_function("shiftleft", F.col("fp"), F.lit(first)).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64 - first)))
@@ -208,30 +234,35 @@ def links(nodes: DataFrame, budget: int = 4, front: int = 10) -> DataFrame:
         near = F.filter(F.transform(F.array(*[F.lit(m) for m in masks]) if masks else F.array().cast("array<int>"), lambda m: m.bitwiseXOR(F.col("key"))), lambda x: x < F.col("key"))
         where = F.concat(F.array(F.struct(F.col("key").alias("home"), F.lit(-1).alias("guest"))), F.transform(near, lambda x: F.struct(x.alias("home"), F.col("key").alias("guest"))))
         ups.append(keyed.select("node", "fp", F.lit(k).alias("trie"), F.explode(where).alias("w")).select("trie", "w.home", "w.guest", "node", "fp"))
+    both = ups[0].unionByName(ups[1]).unionByName(ups[2])
+    # the few groups that are larger than a block
+    full = stored(both.groupBy("trie", "home").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"))
+    both = both.join(full, ["trie", "home"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    both = both.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = both.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).select("trie", "home", "i", "j", "own", "guest", "node", "fp")
 
     def run(key, t):
         (first, length), most = PARTS[key[0].as_py()], limits[key[0].as_py()]
-        fp, node, by = (t.column(c).to_numpy() for c in ("fp", "node", "guest"))
+        fp, node, by, own = (t.column(c).to_numpy() for c in ("fp", "node", "guest", "own"))
         turned = _rotated(fp.view(np.uint64), first)
-        order = np.lexsort((turned, by))
-        turned, node, by = turned[order], node[order], by[order]
-        own = int(np.searchsorted(by, -1, "right"))
-        up: dict = {}
-        kept: list[tuple[int, int]] = []
-        if own:
-            home = turned[:own]
-            for i, j in _walk(home, None, front, length, most, budget):
-                kept += _forest(node[i], node[j], up)
-            cuts = np.flatnonzero(np.diff(by[own:])) + own + 1
-            for lo, hi in zip([own, *cuts.tolist()], [*cuts.tolist(), len(by)]):
-                if hi > lo:
-                    for i, j in _walk(home, turned[lo:hi], front, length, most, budget):
-                        kept += _forest(node[i], node[lo:hi][j], up)
-        e = np.array(kept, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(np.minimum(e[:, 0], e[:, 1])), "b": pa.array(np.maximum(e[:, 0], e[:, 1]))})
-
-    both = ups[0].unionByName(ups[1]).unionByName(ups[2])
-    return both.groupBy("trie", "home").applyInArrow(run, "a long, b long")
+        order = np.lexsort((turned, by, own))
+        turned, node, by, own = turned[order], node[order], by[order], own[order]
+        # ranges of one block and one guest key (or none, at home)
+        cuts = np.flatnonzero((np.diff(by) != 0) | (np.diff(own) != 0)) + 1
+        ranges = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(by)]))
+        joined = Joined(len(node))
+        apart = key[2].as_py() != key[3].as_py()
+        homes = [x for x in ranges if by[x[0]] == -1]
+        for n, home in enumerate(homes):
+            for guest in [*homes[n:], *(x for x in ranges if by[x[0]] != -1)]:
+                # blocks of their own are compared inside by their own task
+                if not apart or own[home[0]] != own[guest[0]]:
+                    _walk(turned, home, guest, front, length, most, budget, joined)
+        at = np.flatnonzero(joined.up != np.arange(len(node)))
+        a, b = node[joined.up[at]], node[at]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return both.groupBy("trie", "home", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -331,6 +362,7 @@ def _verified(rows: Iterator[tuple], similarity: float, wide: int) -> Iterator[t
     """Pairs of components that similar texts join; rows are (bucket, i, j, block, component, fp, set) in order of the first three."""
     for (_, i, j), group in groupby(rows, lambda r: r[:3]):
         texts = sorted(((*r[3:6], set(r[6].tolist())) for r in group), key=lambda r: len(r[3]))
+        left = len({r[1] for r in texts})
         up: dict[int, int] = {}
 
         def top(u: int) -> int:
@@ -341,7 +373,8 @@ def _verified(rows: Iterator[tuple], similarity: float, wide: int) -> Iterator[t
 
         for n, (block, a, fp, p) in enumerate(texts):
             for other, b, fq, q in texts[n + 1 :]:
-                if len(p) < similarity * len(q):
+                # with one component left nothing can be joined
+                if left == 1 or len(p) < similarity * len(q):
                     break
                 # a pair inside one block belongs to that block's own task
                 if i != j and block == other or (u := top(a)) == (v := top(b)) or ((fp ^ fq) & (1 << 64) - 1).bit_count() > wide:
@@ -349,6 +382,7 @@ def _verified(rows: Iterator[tuple], similarity: float, wide: int) -> Iterator[t
                 both = len(p & q)
                 if both >= similarity * (len(p) + len(q) - both):
                     up[max(u, v)] = min(u, v)
+                    left -= 1
                     yield a, b
 
 
