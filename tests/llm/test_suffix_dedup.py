@@ -40,8 +40,11 @@ def test_suffix_order_holds_as_far_as_names_go(seed):
     assert heads == sorted(heads)
 
 
-def test_removal_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [s.HOT, 2])
+def test_removal_matches_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(s, "PIECE", 500)
+    monkeypatch.setattr(s, "HOT", hot)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37 if hot == 2 else 10_000)
     rng = np.random.default_rng(7)
     words = ["alpha", "beta", "gamma", "dé", "of", "the", "漢字"]
     text = lambda n: " ".join(rng.choice(words, n))
@@ -58,8 +61,22 @@ def test_removal_matches_brute_force(spark, monkeypatch):
         k = int(rng.integers(0, max(1, len(t))))
         rows.append((100 + i, t[:k] + "#" + t[k + 1 :]))
     rows += [(200, rows[5][1]), (201, None), (202, ""), (203, "a" * 400), (204, "a" * 100), (205, "ab" * 200), (206, passage[0] * 40)]
+    hits = []
+    singly = s._singly
+    monkeypatch.setattr(s, "_singly", lambda r, n: hits.append(r.count()) or singly(r, n))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in s.report(spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, doc string")).collect()}
     assert got == brute(rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (hits[0] > 0) == (hot == 2)
+
+
+def test_lengths_and_odd_rows(spark):
+    for n in (31, 244):
+        with pytest.raises(ValueError):
+            s.Blocks(n)
+    t = "".join(chr(97 + int(k)) for k in np.random.default_rng(1).integers(0, 26, 150))
+    got = sorted(tuple(r)[:3] for r in s.report(spark.createDataFrame([(None, t), (1, t), (1, t), (2, t)], "doc_id long, text string")).collect())
+    assert got == [(1, 150, 0), (1, 150, 0), (2, 150, 150)]
 
 
 def test_empty(spark):

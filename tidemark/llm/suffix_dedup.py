@@ -18,11 +18,16 @@ strings without sorting every suffix of the corpus at once:
    suffixes with ``length`` equal bytes are copies; all but the earliest go.
 
 Equal strings always share a gram, so they meet in one task; blocks are told
-apart by 128 bits of hashes, strings of the sort by their bytes.
+apart by 128 bits of hashes, strings of the sort by their bytes. Rows of blocks
+pass by in order, one pending at a time, however many pick one gram. A gram of
+more than ``HOT`` different blocks would make too large a sort: its strings are
+dealt out one by one, by 128 bits of their own hash, and the first of each is
+found by an aggregation that combines before it shuffles.
 
 Edge cases: a null text is empty; documents shorter than ``length`` lose
 nothing; null ids are dropped; repeated rows give repeated results; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; extra columns are ignored; a ``length`` beyond what five
+levels of names tell apart is refused.
 """
 
 from __future__ import annotations
@@ -42,6 +47,9 @@ GRAM = 32
 PIECE = 1 << 22
 #: Characters that one suffix sort takes at once, unless a single gram has more.
 SORTED = 1_200_000
+#: Different blocks of one gram that go to one suffix sort at most.
+HOT = 1000
+LEVELS = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64((1 << 23) - 1)
 
@@ -76,8 +84,8 @@ class Blocks:
 
     def __init__(self, length: int) -> None:
         self.length, self.width = length, length - GRAM + 1
-        if self.width < 1:
-            raise ValueError(f"strings must have {GRAM} bytes or more")
+        if not GRAM <= length <= 3**LEVELS:
+            raise ValueError(f"strings must have {GRAM} to {3**LEVELS} bytes")
         self.powers = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -150,25 +158,43 @@ def _copies(blocks: DataFrame) -> DataFrame:
     of a third of all blocks brings just a few from each task to its own.
     """
 
-    def found(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        g, b, doc, pos = c["g"], c["b"], c["doc"], c["pos"]
-        if c["late"][0]:
-            return pa.RecordBatch.from_pydict({"kind": np.zeros(len(g), np.int32), **{k: c[k] for k in ("g", "doc", "pos", "lo", "hi")}})
-        new_g = np.concatenate(([True], g[1:] != g[:-1]))
-        new = new_g | np.concatenate(([True], b[1:] != b[:-1]))
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        same = (doc == doc[first]) & (pos == pos[first])
-        group = np.cumsum(new_g) - 1
-        several = np.bincount(group, weights=new)[group] > 1
-        keep = np.flatnonzero(~same | (new & several))
-        out = {"kind": same[keep].astype(np.int32), **{k: c[k][keep] for k in ("g", "doc", "pos", "lo", "hi")}}
-        return pa.RecordBatch.from_pydict(out)
+    names = ("g", "b", "doc", "pos", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _whole_groups(batches, ("g", "b", "doc", "pos", "lo", "hi", "late"), lambda c: len(c["g"]), 200_000):
-            for late in (False, True):
-                if len(at := np.flatnonzero(c["late"] == late)):
-                    yield found({k: v[at] for k, v in c.items()})
+        pending: dict | None = None  # the first block of the gram at hand, until another one shows that the sort must see it
+        gram = block = first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(k).to_numpy() for k in names}
+            late = batch.column("late").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"kind": np.zeros(int(late.sum()), np.int32), **{k: c[k][late] for k in names if k != "b"}})
+            c = {k: v[~late] for k, v in c.items()}
+            g, b, doc, pos = c["g"], c["b"], c["doc"], c["pos"]
+            n = len(g)
+            if not n:
+                continue
+            new_g = np.concatenate(([g[0] != gram], g[1:] != g[:-1]))
+            new = new_g | np.concatenate(([b[0] != block], b[1:] != b[:-1]))
+            # the first row of each row's block, which may have come with an earlier batch
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            d0, p0 = np.where(at < 0, first[0] if first else 0, doc[at]), np.where(at < 0, first[1] if first else 0, pos[at])
+            copy = (doc != d0) | (pos != p0)
+            # a block that opens its gram waits; any other new one calls the waiting one in
+            other = new & ~new_g
+            group = np.cumsum(new_g)
+            called = np.zeros(group[-1] + 1, bool)
+            called[group[other]] = True
+            keep = copy | other | (new_g & called[group])
+            out = {"kind": (~copy[keep]).astype(np.int32), **{k: c[k][keep] for k in names if k != "b"}}
+            if pending is not None and called[0]:
+                out = {k: np.concatenate(([pending[k]], v)).astype(v.dtype) for k, v in out.items()}
+                pending = None
+            yield pa.RecordBatch.from_pydict(out)
+            if new_g.any():
+                last = int(np.flatnonzero(new_g)[-1])
+                pending = None if called[group[last]] else {"kind": 1, **{k: c[k][last] for k in names}}
+            gram, block, first = g[-1], b[-1], (d0[-1], p0[-1])
 
     spread = F.when(F.col("late"), F.xxhash64("doc", "pos")).otherwise(F.col("g"))
     sorted_ = blocks.repartition(spread).sortWithinPartitions("g", "b", "doc", "pos")
@@ -200,7 +226,7 @@ def _columns(t: pa.Table, names: tuple) -> dict:
     return {k: t.column(k).combine_chunks() if k == "bytes" else t.column(k).to_numpy(zero_copy_only=False) if k == "late" else t.column(k).to_numpy() for k in names}
 
 
-def suffix_order(text: np.ndarray, depth: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, depth: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of a text of small non-negative integers, and each suffix's name.
 
     Suffixes are in order of their first 3 ** depth characters at least; the
@@ -305,6 +331,29 @@ def repeated(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     return d[late], s[late]
 
 
+def _singly(residual: DataFrame, length: int) -> DataFrame:
+    """Spans that repeat, from blocks' bytes, each string dealt out by its own hash."""
+    names = ["k1", "k2", "doc", "start"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                x = b.slice(at, 1000)
+                texts = x.column("bytes").to_pylist()
+                many = np.array([len(t) - length + 1 for t in texts], np.int64)
+                digests = b"".join(xxhash.xxh3_128_digest(t[k : k + length]) for t in texts for k in range(len(t) - length + 1))
+                keys = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                start = np.repeat(x.column("start").to_numpy(), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.repeat(x.column("doc").to_numpy(), many)), pa.array(start, pa.int32())], names=names)
+
+    each = stored(residual.mapInArrow(cut, "k1 long, k2 long, doc long, start int"))
+    first = each.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    late = each.join(first, ["k1", "k2"]).filter(F.struct("doc", "start") != F.col("first"))
+    return late.select("doc", "start", (F.col("start") + length).cast("int").alias("end"))
+
+
 def _compared(residual: DataFrame, length: int) -> DataFrame:
     """Spans that repeat, from blocks' bytes in order of g."""
 
@@ -339,8 +388,12 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], names=["g", "doc", "start", "bytes"])
 
     residual = texts.join(wanted, "doc").select("doc", "text", "want").mapInArrow(cut, "g long, doc long, start int, bytes binary")
+    hot = stored(found.filter("kind = 1").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(F.col("g").alias("_hot")))
+    residual = stored(residual.join(hot, F.col("g") == F.col("_hot"), "left"))
+    singly = _singly(residual.filter("_hot is not null"), length)
+    residual = residual.filter("_hot is null").drop("_hot")
     whole = found.filter("kind = 0").select("doc", (F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))
-    return whole.unionByName(stored(_compared(residual, length)))
+    return whole.unionByName(stored(_compared(residual, length))).unionByName(stored(singly))
 
 
 def kept(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
