@@ -391,16 +391,23 @@ def similar(docs: DataFrame, sketched: DataFrame, known: DataFrame, similarity:
 
     sketched is what ``sketches`` gives; known(fp, component) has each fingerprint's component so far.
     """
-    # texts of equal shingles and fingerprints are one
-    each = sketched.join(known, "fp").groupBy("fp", "own").agg(F.min("doc_id").alias("doc_id"), F.first("component").alias("component"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    rows = stored(each).select("doc_id", "own", "fp", "component", "size", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("fp", "own").cast("decimal(38,0)")).alias("members")).filter("n > 1 and lo < hi")
+    # texts of equal shingles and fingerprints are one, joined after that
+    each = sketched.groupBy("fp", "own").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    each = stored(each.join(known, "fp").select("fp", "own", "doc_id", "component", "size", "keys"))
+    # most buckets hold one text; narrow rows find the others, and texts' other figures are added to those alone
+    rows = each.select("doc_id", "component", F.explode("keys").alias("key"))
+    keys = stored(rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"))
+    met = stored(rows.join(keys, "key").select("key", "doc_id").distinct())
+    found = met.join(each.select("doc_id", "own", "fp", "component", "size"), "doc_id")
+    buckets = found.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("fp", "own").cast("decimal(38,0)")).alias("members"))
     # buckets of the same texts are one
     buckets = buckets.groupBy("n", "members").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
     buckets = stored(buckets.select("key", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
-    found = rows.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("fp", "own", F.lit(7)), F.col("blocks")))
+    found = found.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("fp", "own", F.lit(7)), F.col("blocks")))
     found = stored(found.select("key", "block", "blocks", "doc_id", "own", "fp", "component"))
-    sets = docs.join(found.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    # as tables of their own, ids are broadcast where the planner's size check allows, so that texts need not move
+    ids = stored(found.select(F.col("doc_id").alias("_id")).distinct())
+    sets = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
     sets = stored(_shingled(sets, words).dropDuplicates(["doc_id", "own"]))
     dealt = found.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).join(sets, ["doc_id", "own"])
