@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or more.
     """
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), wide=64)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    # as a table of its own, it is broadcast where the planner's size check allows, so that texts need not move
+    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
