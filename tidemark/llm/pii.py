@@ -3,8 +3,12 @@
 Base kinds, leftmost and non-overlapping within a kind: email, ip (parts at
 most 255), card (16 to 19 digits that pass Luhn), phone (8 to 15 digits after a
 plus sign). A proposed span that fails its validator is dropped, with no other
-try inside it. Added kinds: iban (mod-97) and, where a nearby word raises the
-score over the threshold, ssn and national phone numbers without a plus sign.
+try inside it. Added kinds: iban (mod-97), private keys and access keys of
+published formats and, where a nearby word raises the score over the threshold,
+ssn, national phone numbers without a plus sign, and secrets: runs of 16 to 512
+letters, digits and ``+/_-`` that are as mixed as random ones. An added span
+that lies inside another span, or crosses one, is left out; one that holds
+smaller spans stays beside them.
 
 Offsets are code points, the end exclusive. Edge cases: a null or empty text
 has no spans; a null id keeps its row; repeated rows each get their own;
@@ -14,7 +18,9 @@ extra columns pass through ``redacted`` and are left out by ``spans``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +32,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import ship
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "phone_local", "ssn")
+ADDED = ("iban", "phone_local", "ssn", "key", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -39,6 +45,16 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 
+# Published formats of private keys and access keys.
+_KEY = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[^-]++-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9_-])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|xox[abeprs]-[A-Za-z0-9-]{10,250}|AIza[A-Za-z0-9_-]{35}"
+    r"|[rs]k_(?:live|test)_[A-Za-z0-9]{16,250}|eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{16,2000})(?![A-Za-z0-9_-])"
+)
+# the whole run is taken, so that long runs stay linear; its length is judged after
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+_TURN = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+
 
 @dataclass(frozen=True)
 class PiiParams:
@@ -47,7 +63,7 @@ class PiiParams:
     #: Code points before and after a span in which context words count.
     window: int = 48
     #: Scores that patterns start from; a passed checksum is most of the evidence.
-    prior: tuple[tuple[str, float], ...] = (("email", 0.9), ("ip", 0.6), ("card", 0.8), ("phone", 0.75), ("iban", 0.85), ("phone_local", 0.35), ("ssn", 0.4))
+    prior: tuple[tuple[str, float], ...] = (("email", 0.9), ("ip", 0.6), ("card", 0.8), ("phone", 0.75), ("iban", 0.85), ("phone_local", 0.35), ("ssn", 0.4), ("key", 0.9), ("secret", 0.3))
     #: Words that raise (positive) or lower the score of a kind.
     context: tuple[tuple[str, str, float], ...] = (
         ("card", r"card|visa|mastercard|credit|debit|karte|carte|tarjeta", 0.15),
@@ -58,6 +74,8 @@ class PiiParams:
         ("ip", r"version|release|build|section", -0.4),
         ("iban", r"iban|account|konto|compte|cuenta|bank", 0.1),
         ("ssn", r"ssn|social|security", 0.4),
+        ("secret", r"(?:\w*_)?(?:token|secret|passwor[dt]|passwd|pwd|credentials?|bearer|contraseña|api[_ -]?key|apikey|access[_ -]?key|auth[_ -]?key|secret[_ -]?key)", 0.4),
+        ("secret", r"sha1|sha256|md5|digest|checksum|commit|uuid", -0.3),
         ("email", r"mail|contact|write", 0.05),
     )
 
@@ -77,6 +95,14 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def random_like(s: str) -> bool:
+    """Whether letters and digits of a run alternate, with nearly as many bits a character as random hex of its length."""
+    if len(_TURN.findall(s)) < 4:
+        return False
+    bits = -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+    return bits >= min(3.0, 0.75 * math.log2(len(s)))
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -114,13 +140,16 @@ def proposed(t: str) -> Iterator[tuple[str, int, int]]:
     for m in _IBAN.finditer(t):
         if mod97(m[0]):
             yield "iban", *m.span()
-    for kind, pattern in (("phone_local", _LOCAL_PHONE), ("ssn", _SSN)):
+    for kind, pattern in (("phone_local", _LOCAL_PHONE), ("ssn", _SSN), ("key", _KEY)):
         for m in pattern.finditer(t):
             yield kind, *m.span()
+    for m in _RUN.finditer(t):
+        if m.end() - m.start() <= 512 and random_like(m[0]):
+            yield "secret", *m.span()
 
 
 def scored(t: str, params: PiiParams, rules: list) -> list[tuple[str, int, int, float]]:
-    """Spans with scores; added spans under the threshold or inside another span go."""
+    """Spans with scores; added spans under the threshold, inside another span or across its end go."""
     prior = dict(params.prior)
     out: list[tuple[str, int, int, float]] = []
     for kind, a, b in proposed(t):
@@ -130,7 +159,7 @@ def scored(t: str, params: PiiParams, rules: list) -> list[tuple[str, int, int,
             if k == kind and pattern.search(near):
                 score += by
         score = min(1.0, max(0.0, score))
-        if kind in ADDED and (score < params.min_score or any(x < b and a < y for _, x, y, _ in out)):
+        if kind in ADDED and (score < params.min_score or any(x < b and a < y and not (a <= x and y <= b and y - x < b - a) for _, x, y, _ in out)):
             continue
         out.append((kind, a, b, score))
     return out
