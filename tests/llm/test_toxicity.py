@@ -16,15 +16,45 @@ def test_patterns_not_words():
     assert m.score(None) == m.score("") == m.score("clean text") < 0.3
 
 
+def test_targets_after_and_threats_in_four_languages():
+    m = x.Matcher(x.Grammar({"idiot": 4.0}, {}))
+    c = lambda t: sum(m.clauses(t))
+    assert c("idiot like you") == c("you idiot") == 4.0 * 1.3 and c("idiot. you") == c("idiot and so on and you") == 4.0
+    assert c("you idiot you") == 4.0 * 1.3 and abs(c("she said idiot you") - 4.0 * 1.3 * 0.5) < 1e-9
+    for t in ("i will hurt you", "ich werde dich umbringen", "je vais te tuer", "voy a matarte"):
+        assert c(t) > 0, t
+    assert not c("er will die Tür") and not c("on peut tuer le temps") and not c("wird die Sonne")
+
+
+def test_each_automaton_changes_scores_for_the_better(spark):
+    """Labels that hang on target, negation and report: with any one factor at 1, more of other texts are misjudged."""
+
+    def texts(a, b):
+        out = []
+        for k in range(a, b):
+            out += [(f"w{k} you idiot v{k}", 1), (f"w{k} idiot, he v{k} is", 1), (f"w{k} there was an idiot v{k}", 0), (f"he is not idiot v{k}", 0), (f"w{k} said you idiot v{k}", 0), (f"plain w{k}", 0)]
+        return out
+
+    g = x.refitted(spark.createDataFrame(texts(0, 60), "text string, y int"), x.Grammar({"idiot": 4.0}, {}))
+
+    def wrong(factors):
+        m = x.Matcher(x.Grammar(g.words, g.stems, g.logit, g.lengths, factors))
+        return sum((m.score(t) >= 0.5) != bool(y) for t, y in texts(100, 130))
+
+    assert wrong(g.factors) == 0
+    for k in range(3):
+        assert wrong(tuple(1.0 if j == k else f for j, f in enumerate(g.factors))) > 0, k
+
+
 def test_composition_is_deterministic_and_complete():
     table_, n = x.composed()
     assert len(table_) == n and all(set(row) == set(range(7)) and all(0 <= t < n for t, _ in row.values()) for row in table_)
 
 
-def test_copied_clean_quotes_count_once():
+def test_copied_clean_quotes_count_once(spark):
     toxic = [(f"a{k} grobian b{k}", 1) for k in range(40)] + [(f"q{k}", 1) for k in range(60)]
     clean = [("they quote grobian once here", 0)] * 90 + [(f"plain text {k}", 0) for k in range(70)]
-    words, _ = x.learned_words(toxic + clean, x.ToxicParams())
+    words, _ = x.learned_words(spark.createDataFrame(toxic + clean, "text string, y int"), x.ToxicParams())
     assert set(words) == {"grobian"}
 
 
