@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, stored
+from tidemark.llm.common import let, ship, stored
 
 # Closed word classes of the grammar.
 TARGETS = frozenset("you your yours yourself u ur he she they them him her his their everyone people du dich dir ihr euch sie tu te toi vous tú usted ustedes vosotros él ella".split())
@@ -225,10 +225,10 @@ def learned_words(texts: DataFrame, params: ToxicParams) -> tuple[dict, dict]:
     word of a third of all texts is spread over its contexts.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    beside = texts.select("y", F.concat(F.array(F.lit("")), words, F.array(F.lit(""))).alias("w"))
-    at = F.sequence(F.lit(1), F.size("w") - 2)
-    each = F.transform(at, lambda i: F.struct(F.get("w", i).alias("word"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("context")))
-    one = beside.filter(F.size("w") > 2).select("y", F.explode(F.array_distinct(each)).alias("e")).select("y", "e.*").distinct()
+    beside = F.concat(F.array(F.lit("")), words, F.array(F.lit("")))
+    # the words are split once for each text, not once for each place
+    each = let(beside, lambda w: F.transform(F.slice(w, 2, F.size(w) - 2), lambda x, i: F.struct(x.alias("word"), F.xxhash64(F.get(w, i), F.get(w, i + 2)).alias("context"))))
+    one = texts.select("y", F.explode(each).alias("e")).select("y", "e.*").distinct()
     cut = [F.when(F.length("word") >= n, F.struct(F.substring("word", 1, n).alias("feature"), F.lit(True).alias("stem"))) for n in params.stems]
     named = F.array(F.struct(F.col("word").alias("feature"), F.lit(False).alias("stem")), *cut)
     rows = one.select("y", "context", F.explode(F.filter(named, lambda x: x.isNotNull())).alias("f")).select("y", "context", "f.*")
