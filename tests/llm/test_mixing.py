@@ -43,6 +43,22 @@ def test_targets_and_takes(spark, monkeypatch):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_many_sources(spark):
+    """More sources than a bucket or a coarse cell holds, with sizes and ties of all kinds."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([0, 1, 7, 7, 40, 500]), f"s{i % 1500}", "r") for i in range(3000)] + [(3000 + i, "w " * 60, "hot", "r") for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    sizes, taken, source = {}, {}, {}
+    for i, t, s, _ in rows:
+        source[i], sizes[s] = s, sizes.get(s, 0) + t.count("w")
+    want = filled(sizes)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert abs(r["target"] - want[s]) < 1e-6 * want[s] + 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
 def test_null_and_repeated_ids_are_taken_by_row(spark):
     ids = [None, None, None, *[7] * 6, *range(10, 40)]
     rows = [(i, f"row{k} " * (5 + k % 4 * 20), "ab"[k % 2], "r") for k, i in enumerate(ids)]

@@ -12,7 +12,8 @@ gives. One closing slot for each source takes what its target still lacks, or
 its last slots stop where the target ends, so that targets are met to a word.
 
 All of it is DataFrame work; hot sources are spread over buckets, and ranks
-and offsets come from bucket totals and sums inside a bucket.
+and offsets, also those over all sources, come from bucket totals and sums
+inside a bucket.
 
 Edge cases: a null text has size 0 and is never taken; documents of size 0 add
 nothing; null sources form one source, the last; an empty table gives no
@@ -58,20 +59,24 @@ def targets(sizes: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     # one row for each source, in the order of their bytes, which is that of code points
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
+    by = by.withColumns({"_null": F.col("source").isNull(), "_bytes": F.encode("source", "utf-8"), "_one": F.lit(1).cast("long")})
+    by = _prefix(_ranged(by, ["_null", "_bytes"]), [], "bucket", ["_null", "_bytes"], "_one", "rank")
     w = F.array(*[F.lit(float(x)) for x in params.weights])
-    by = by.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", F.get(w, F.col("rank") % len(params.weights)))
-    by = by.withColumn("full_at", params.cap * F.col("source_size") / F.col("weight"))
-    upto = Window.orderBy("full_at", "rank")
-    rest = upto.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(Window.partitionBy()) * params.share
+    by = by.withColumns({"weight": F.get(w, (F.col("rank") % len(params.weights)).cast("int")), "full": params.cap * F.col("source_size")})
+    order = ["full_at", "rank"]
+    by = _ranged(by.withColumn("full_at", F.col("full") / F.col("weight")).select("source", "source_size", "n_docs", "rank", "weight", "full", "full_at"), order)
+    by = _prefix(_prefix(by, [], "bucket", order, "full", "full_before"), [], "bucket", order, "weight", "weight_before")
+    sums = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     # the water level if this source and all later ones are not full
-    level = (total - F.coalesce(F.sum(params.cap * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(rest)
-    by = by.withColumn("level", level)
-    by = by.withColumn("level", F.max(F.when(F.col("full_at") >= F.col("level"), F.col("level"))).over(Window.partitionBy()))
-    full = (params.cap * F.col("source_size")).cast("double")
-    return by.withColumn("target", F.least(full, F.coalesce(F.col("level") * F.col("weight"), full))).select("source", "source_size", "n_docs", "rank", "target")
+    level = (F.lit((sums["size"] or 0) * params.share) - F.col("full_before")) / (F.lit(sums["weight"] or 0.0) - F.col("weight_before"))
+    top = by.agg(F.max(F.when(F.col("full_at") >= level, level)).alias("level")).first()["level"]
+    full = F.col("full").cast("double")
+    return by.select("source", "source_size", "n_docs", "rank", (full if top is None else F.least(full, F.lit(top) * F.col("weight"))).alias("target"))
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df as a table with ``bucket``: in the given order, rows of lower buckets come first."""
+    return stored(df.repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()))
 
 
 def _prefix(df: DataFrame, keys: list[str], bucket: str, order: list, amount: str, out: str) -> DataFrame:
@@ -86,15 +91,22 @@ def _prefix(df: DataFrame, keys: list[str], bucket: str, order: list, amount: st
 
 def schedule(spark, goals: DataFrame, block: int, n_slots: int, params: MixParams = MixParams()) -> DataFrame:
     """rank, slot, lo, hi: the words [lo, hi) of a source's repeated stream that the slot takes."""
-    ends = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = F.sum("target").over(ends) / F.sum("target").over(Window.partitionBy())
-    cuts = goals.filter("target > 0").withColumn("end", share).withColumn("start", F.coalesce(F.lag("end").over(Window.orderBy("rank")), F.lit(0.0)))
-    # the slot points are dealt out by their leading digits, so that the join with the sources is an equality
-    grid = 4096
+    # shares in whole parts of a word, so that each one ends exactly where the next begins
+    cuts = goals.filter("target > 0").select("rank", "target", F.round(F.col("target") * 1024).cast("long").alias("own"))
+    cuts = _prefix(_ranged(cuts, ["rank"]), [], "bucket", ["rank"], "own", "before")
+    sums = cuts.agg(F.sum("own").alias("own"), F.count("*").alias("n")).first()
+    whole = F.lit(float(max(1, sums["own"] or 0)))
+    cuts = cuts.select("rank", "target", (F.col("before") / whole).alias("start"), ((F.col("before") + F.col("own")) / whole).alias("end"))
+    # the slot points are dealt out by their leading digits, so that the join with the sources is an
+    # equality; the cells are finer where sources are many, and a share's cells are listed in two steps
+    coarse, fine = 4096, min(4096, sums["n"] // 1024 + 1)
+    grid = coarse * fine
     phi = 0.6180339887498949
     x = (F.col("id") + 1) * F.lit(phi)
     points = spark.range(n_slots).select(F.col("id").alias("t"), (x - F.floor(x)).alias("u")).withColumn("cell", F.floor(F.col("u") * grid).cast("int"))
-    cells = cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") * grid).cast("int"), F.least(F.floor(F.col("end") * grid), F.lit(grid - 1)).cast("int"))))
+    cuts = cuts.withColumns({"lo": F.least(F.floor(F.col("start") * grid), F.lit(grid - 1)).cast("int"), "hi": F.least(F.floor(F.col("end") * grid), F.lit(grid - 1)).cast("int")})
+    parts = cuts.withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / fine).cast("int"), F.floor(F.col("hi") / fine).cast("int"))))
+    cells = parts.withColumn("cell", F.explode(F.sequence(F.greatest("lo", F.col("part") * fine), F.least("hi", F.col("part") * fine + fine - 1)))).drop("lo", "hi", "part")
     drawn = points.join(cells, "cell").filter("u >= start and u < end").select("rank", "t", "target").withColumn("bucket", F.floor(F.col("t") / params.bucket_rows)).withColumn("one", F.lit(1).cast("long"))
     ranked = _prefix(drawn, ["rank"], "bucket", ["t"], "one", "slot")
     whole = F.round("target").cast("long")
