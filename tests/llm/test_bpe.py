@@ -41,3 +41,10 @@ def test_lexicon_holds_its_words_and_no_others():
     others = [w + "x" for w in words] + ["", "zz"]
     assert set(lex.places(others).tolist()) == {-1}
     assert len(lex.final) < sum(map(len, words)) // 3  # suffixes are shared
+
+
+def test_a_first_class_larger_than_the_lexicon_gives_a_part(spark):
+    words = ["".join(random.Random(k).choices("abcdefgh", k=9)) for k in range(400)]
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    lex = bpe.Lexicon(bpe.lexicon(docs, VOCAB, 60))
+    assert sum(p >= 0 for p in lex.places(sorted(set(words))).tolist()) == 60

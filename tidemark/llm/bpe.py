@@ -322,6 +322,7 @@ def lexicon(docs: DataFrame, vocab: str, size: int = 50_000) -> bytes:
     Words are taken by classes of like frequency, 64 for each factor of e, down
     to the last class that still fits, so that the driver gets no more than
     ``size`` words, and from no partition more than that partition has of them.
+    Of a first class that is larger, a part is taken by a hash of the word.
     """
     counts = stored(word_counts(docs, vocab)).withColumn("level", F.floor(F.log("n") * 64))
     levels = sorted(((r["level"], r["words"]) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)
@@ -330,7 +331,14 @@ def lexicon(docs: DataFrame, vocab: str, size: int = 50_000) -> bytes:
         if (total := total + words) > size:
             break
         cut = level
-    words = [] if cut is None else sorted(r["word"] for r in counts.filter(F.col("level") >= cut).select("word").collect())
+    if cut is None and levels:
+        # a share by hash that is some times too large, so that few words reach the one task that cuts it
+        level, n = levels[0]
+        share = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) <= int(min(1.0, 4 * size / n) * (1 << 20))
+        picked = counts.filter((F.col("level") == level) & share).orderBy(F.xxhash64("word"), "word").limit(size)
+    else:
+        picked = counts.filter(F.col("level") >= cut) if levels else counts
+    words = sorted(r["word"] for r in picked.select("word").collect())
     model = _model(vocab)
     return compiled(words, [model.merged(w) for w in words])
 
