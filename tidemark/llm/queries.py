@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
+from tidemark.llm import ann, bpe, divergence, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 #: DuckDB's sha256 gives lower-case hex of the UTF-8 bytes.
 OP10_SQL = """
 WITH p AS (
@@ -75,6 +79,32 @@ FROM f
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents
+), w AS (SELECT r, lang, source, unnest(ts) AS term FROM d
+), kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+    SELECT *, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+        1 + 1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+    FROM a JOIN v USING (lang)
+), far AS (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), rows AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(far.value, 0) AS value
+    FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN far ON far.lang = x.lang AND far.source = x.source AND far.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict:
     return {
         "op1_html_text": op1_html_text,
@@ -87,8 +117,9 @@ def queries() -> dict:
         "op10_warc": op10_warc,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op10_warc": OP10_SQL, "op12_divergence": OP12_SQL}
