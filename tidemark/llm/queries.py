@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, divergence, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, warc
+from tidemark.llm import ann, bpe, divergence, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, variants, warc
 from tidemark.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
 #: DuckDB's sha256 gives lower-case hex of the UTF-8 bytes.
 OP10_SQL = """
 WITH p AS (
@@ -118,6 +122,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op12_divergence": op12_divergence,
+        "op13_variants": op13_variants,
     }
 
 
