@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, divergence, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, variants, warc
+from tidemark.llm import ann, bpe, divergence, html_text, jaccard, mixing, pii, quality_rules, simhash, suffix_dedup, toxicity, variants, warc
 from tidemark.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -121,6 +125,7 @@ def queries() -> dict:
         "op10_warc": op10_warc,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
+        "op11_jaccard": op11_jaccard,
         "op12_divergence": op12_divergence,
         "op13_variants": op13_variants,
     }
