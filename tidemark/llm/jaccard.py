@@ -19,9 +19,11 @@ where c(n) is the threshold times n, rounded up.
    which light sets stand too where their size comes near. The boundary is the size
    at which pairs and scanned rows together cost least, counted from all sets.
    Lists whose members are of one component already are closed before that.
-5. *Check.* What shares a list is compared whole set with whole set, unless joined
-   meanwhile. Long lists are cut into blocks, and each pair of blocks is a task's
-   work; a task emits one row for each two components that it joins.
+   A list of two is its pair at once and needs neither.
+5. *Check.* Pairs of short lists are compared by their kept shingles, then by all.
+   Lists of more than ``SHORT`` members are cut into blocks, and each pair of
+   blocks is a task's work, which compares what isn't joined yet; a task emits one
+   row for each two components that it joins.
 
 All steps keep every link; shingles are told apart by 64 bits of hashes. Components
 come from alternating star rounds.
@@ -47,6 +49,8 @@ from tidemark.llm.simhash import components
 
 #: Sets and shingles of one block of a list.
 BLOCK_SETS, BLOCK_SHINGLES = 400, 1 << 20
+#: Members of a list whose pairs are enumerated, at most.
+SHORT = 100
 #: Rounds of anchors.
 ROUNDS = 2
 #: Size classes for each doubling of size, by which costs are added up.
@@ -145,19 +149,25 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     return shared(first.select("row", "n", F.explode("own.h").alias("h")))
 
 
-def _links(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
-    return F.size(F.array_intersect(a, b)) * (100 + percent) >= percent * (n + m)
-
-
 def _anchored(lists: DataFrame, whole: DataFrame, group: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Links (a, b) of sets with the anchor that they meet most often, where that is of another component."""
+    """Links (a, b) of sets with the anchor that they meet most often in lists of several, where that is of another component."""
     each = lists.select("row", "h").join(group, "row")
-    chosen = each.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("by"), "row", "component")).alias("to"))
-    met = each.join(chosen.filter("lo < hi").select("h", F.col("to.row").alias("anchor"), F.col("to.component").alias("its")), "h").filter("component <> its")
+    chosen = each.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("by"), "row", "component")).alias("to"))
+    met = each.join(chosen.filter("lo < hi and many > 2").select("h", F.col("to.row").alias("anchor"), F.col("to.component").alias("its")), "h").filter("component <> its")
     best = met.groupBy("row", "anchor").agg(F.count("*").alias("times")).groupBy("row").agg(F.max_by("anchor", F.struct("times", "anchor")).alias("anchor"))
-    # many sets can have one anchor: those pairs are narrow rows, whose large partitions the planner splits
-    pairs = best.join(whole.select(F.col("row").alias("anchor"), F.col("set").alias("its_set")), "anchor").join(whole.select("row", "set"), "row")
-    return pairs.filter(_links(F.col("set"), F.col("its_set"), F.size("set"), F.size("its_set"), percent)).select(F.col("row").alias("a"), F.col("anchor").alias("b"))
+    return _compared(stored(best.select(F.col("row").alias("a"), F.col("anchor").alias("b"))), whole, percent)
+
+
+def _compared(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of sets that link, by all their shingles.
+
+    Pairs are narrow rows: where they are few the planner sends them to the
+    sets; otherwise it splits the large partitions of a set with many partners.
+    """
+    both = pairs.join(whole.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(whole.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    n, m = F.size("x"), F.size("y")
+    near = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.size(F.array_intersect("x", "y")) * (100 + percent) >= percent * (n + m))
+    return both.filter(near).select("a", "b")
 
 
 def boundary(costs: list[tuple[int, int, int]]) -> int:
@@ -172,25 +182,32 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
     return at
 
 
-def _dealt(lists: DataFrame, group: DataFrame, percent: int) -> DataFrame:
-    """key, row and component: sets under the pairs of shingles or the single ones by which they can meet another component's."""
-    each = lists.join(group, "row")
-    span = each.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    size = F.floor(F.log2("n") * CLASSES).cast("int")
-    own = each.join(span.select("h", "many"), "h").groupBy("row").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("h", "last", "many"))).alias("own"))
-    own = stored(own.withColumn("class", size))
+def _dealt(lists: DataFrame, group: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets that a list has by themselves, and key, row, component and weight of the others' lists.
+
+    Lists whose members are of one component are closed. A pair that shares a
+    list of two is one of the first result whatever else it shares; others
+    share two larger lists, so that these alone are enumerated or scanned. A
+    weight of two makes a pair worth comparing.
+    """
+    each = stored(lists.join(group, "row"))
+    span = each.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("row").alias("a"), F.max("row").alias("b")).filter("lo < hi")
+    span = stored(span)
+    twos = span.filter("many = 2").select("a", "b")
+    own = each.join(span.filter("many > 2").select("h", "many"), "h").groupBy("row").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("h", "last", "many"))).alias("own"))
+    own = stored(own.withColumn("class", F.floor(F.log2("n") * CLASSES).cast("int")))
     # a class's row for each eighth of a doubling of size: some hundred rows whatever the table's size
     scanned = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + F.when(x["last"], 0).otherwise(x["many"]))
     cost = own.groupBy("class").agg(F.sum(F.size("own").cast("decimal(38,0)") * (F.size("own") - 1) / 2).cast("decimal(38,0)").alias("pairs"), F.sum(scanned.cast("decimal(38,0)")).alias("rows")).collect()
     light = boundary([(r["class"], int(r["pairs"]), int(r["rows"])) for r in cost])
     at = F.sequence(F.lit(1), F.size("own"))
     pair = F.flatten(F.transform(at, lambda i: F.transform(F.slice("own", i + 1, F.size("own")), lambda y: F.xxhash64(F.lit(2), F.element_at("own", i)["h"], y["h"]))))
-    single = F.transform(F.filter("own", lambda x: ~x["last"]), lambda x: F.xxhash64(F.lit(1), x["h"]))
-    by_pairs = own.filter(F.col("class") <= light).select("row", "component", F.explode(pair).alias("key"))
+    single = F.transform("own", lambda x: F.xxhash64(F.lit(1), x["h"]))
+    by_pairs = own.filter(F.col("class") <= light).select("row", "component", F.explode(pair).alias("key"), F.lit(2).alias("weight"))
     # light sets that some heavy one can link with stand in the lists too
     reach = 2.0 ** ((light + 1) / CLASSES) * percent / 100 - 1 if any(r["class"] > light for r in cost) else float("inf")
-    by_lists = own.filter(F.col("n") >= reach).select("row", "component", F.explode(single).alias("key"))
-    return by_pairs.unionByName(by_lists)
+    by_lists = own.filter(F.col("n") >= reach).select("row", "component", F.explode(single).alias("key"), F.lit(1).alias("weight"))
+    return twos, by_pairs.unionByName(by_lists)
 
 
 def _joined(rows: Iterator[tuple], percent: int) -> Iterator[tuple[int, int]]:
@@ -222,19 +239,27 @@ def _joined(rows: Iterator[tuple], percent: int) -> Iterator[tuple[int, int]]:
                     member[member == max(a, b)] = min(a, b)
 
 
-def _checked(keyed: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of components that linked sets of one key join."""
-    spans = stored(keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"))
-    met = stored(keyed.join(spans, "key").distinct())
-    sized = whole.select("row", F.size("set").cast("long").alias("n"))
-    found = met.join(sized, "row")
-    lists = found.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("members"), F.sum(F.xxhash64("row", F.lit(9)).cast("decimal(38,0)")).alias("again"))
-    # lists of the same members are one
-    lists = lists.groupBy("many", "members", "again").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
-    lists = stored(lists.select("key", F.greatest(F.ceil(F.col("many") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
-    dealt = met.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "component", "row").join(whole.select("row", "set"), "row")
-    dealt = dealt.select("key", "i", "j", "block", "component", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def _lists(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that share enough short lists, and key, row, component and blocks of the long ones."""
+    one, other = (F.bit_xor(F.xxhash64("row", F.lit(k))) for k in (8, 9))
+    lists = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), one.alias("x"), other.alias("y"), F.first("weight").alias("weight")).filter("lo < hi")
+    # lists of the same members are one, with the weight of all
+    lists = stored(lists.groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.sum("weight").alias("weight")).select("key", "many", "weight"))
+    short = stored(keyed.select("key", "row", "component").join(lists.filter(F.col("many") <= SHORT).select("key", "weight"), "key"))
+    # at most SHORT partners for a row of a list
+    a, b = (short.select("key", F.col("row").alias(k), F.col("component").alias(f"{k}_in"), "weight") for k in ("a", "b"))
+    pairs = a.join(b.drop("weight"), "key").filter("a < b and a_in <> b_in").groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("a", "b")
+    long = keyed.select("key", "row", "component").join(lists.filter(F.col("many") > SHORT).select("key", "many"), "key")
+    return pairs, long
+
+
+def _in_blocks(long: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that linked sets of one long list join."""
+    sized = stored(long.join(whole.select("row", F.size("set").cast("long").alias("n")), "row"))
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = stored(dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "component", "row"))
+    dealt = dealt.join(whole, "row").select("key", "i", "j", "block", "component", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each_row() -> Iterator[tuple]:
@@ -249,6 +274,18 @@ def _checked(keyed: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _checked(twos: DataFrame, keyed: DataFrame, left: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, of all sets that share a list."""
+    pairs, long = _lists(stored(keyed))
+    pairs = stored(twos.unionByName(pairs).distinct())
+    # sets that link share more of the kept shingles than a pair of lists, which are fewer than all of their own
+    own = left.select("row", "n", F.col("own.h").alias("own"))
+    both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    near = both.filter(fits).filter(F.size(F.array_intersect("x", "y")) >= F.greatest(need(F.col("n"), percent), need(F.col("m"), percent))).select("a", "b")
+    return _compared(stored(near), whole, percent).unionByName(_in_blocks(long, whole, percent))
+
+
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     if not 50 < percent <= 100:
@@ -265,7 +302,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     keys = stored(narrow.join(left.select("row"), "row").select("row", "doc_id", "d1", "d2"))
     ids = stored(keys.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    whole = stored(_whole(texts, words).join(keys, ["doc_id", "d1", "d2"]).dropDuplicates(["row"]).select("row", "set"))
+    # a row of an id and text that are repeated may stand here twice, which changes no link
+    whole = stored(_whole(texts, words).join(keys, ["doc_id", "d1", "d2"]).select("row", "set"))
     # two of the shingles are needed from these for a pair, one from all but the last of them
     prefix = F.slice("own", 1, (F.size("own") - need(F.col("n"), percent) + 2).cast("int"))
     lists = left.select("row", "n", F.size(prefix).alias("size"), F.posexplode(prefix).alias("at", "x"))
@@ -277,7 +315,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges)
         group = stored(left.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("component")))
-    joined = stored(_checked(_dealt(lists, group, percent), whole, percent))
+    joined = stored(_checked(*_dealt(lists, group, percent), left, whole, percent))
     found = components(edges.unionByName(joined))
     # every row that is not alone, and the smallest id that it reaches
     members = same.unionByName(found.select(F.col("node").alias("row"), F.col("node").alias("first"))).distinct()
