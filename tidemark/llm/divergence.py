@@ -165,7 +165,7 @@ def hashes(kept: DataFrame) -> DataFrame:
         return pa.table({"lang": [key[0].as_py()], "shard": [key[1].as_py()], "of": [t.column("of")[0].as_py()], "n": [len(words)], "seeds": [_packed(seeds)], "keys": [b" ".join(keys)]})
 
     dealt = kept.join(shards, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("of")))
-    return dealt.groupBy("lang", "shard").applyInArrow(run, "lang string, shard long, of long, n long, seeds binary, keys binary")
+    return dealt.repartition("lang", "shard").groupBy("lang", "shard").applyInArrow(run, "lang string, shard long, of long, n long, seeds binary, keys binary")
 
 
 class Lookup:
@@ -335,7 +335,8 @@ def _pairs(groups: DataFrame, vectors: DataFrame, shards: DataFrame) -> DataFram
         name = [s[1] for s, _ in sources]
         return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "source": pa.array([name[k] for k in a], pa.string()), "item": pa.array([name[k] for k in b], pa.string()), "value": pa.array(dist[a, b], pa.int64())})
 
-    parts = both.groupBy("lang", "chunk", "i", "j").applyInArrow(run, "lang string, source string, item string, value long")
+    # without this the planner leaves a whole language in one task, as the joins dealt it
+    parts = both.repartition("lang", "chunk", "i", "j").groupBy("lang", "chunk", "i", "j").applyInArrow(run, "lang string, source string, item string, value long")
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
