@@ -85,8 +85,7 @@ def test_graded_copies_match_all_pairs(spark, monkeypatch):
     assert got(jaccard.linked(df)) == want
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
     # without anchors the lists alone find every link, with all sets heavy, and with light ones too
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
-    monkeypatch.setattr(jaccard, "_anchored", lambda lists, *_: lists.select("row", "row").toDF("a", "b").limit(0))
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", 0)
     monkeypatch.setattr(jaccard, "SHORT", 5)
     for at in (-1, 30):
         monkeypatch.setattr(jaccard, "boundary", lambda costs, at=at: at)

@@ -12,8 +12,9 @@ where c(n) is the threshold times n, rounded up.
    all but the last few suffice: linked sets share two among the first size - need
    + 2, and one among the first size - need + 1.
 3. *Anchors.* A set is compared with the one document of its lists that it meets
-   most often, twice over with different ones. That joins groups of near copies,
-   however large, by as many comparisons as they have members.
+   most often, and with other ones while long lists of several components are left.
+   That joins groups of near copies, however large, by as many comparisons as they
+   have members.
 4. *Light and heavy.* A light set enumerates all pairs of its shingles: light sets
    that link share a pair. A heavy set scans the lists of its single shingles, in
    which light sets stand too where their size comes near. The boundary is the size
@@ -47,12 +48,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ship, stored
 from tidemark.llm.simhash import components
 
+#: One in so many shingles is kept on top of those that make linked sets meet.
+SPARE = 16
 #: Sets and shingles of one block of a list.
 BLOCK_SETS, BLOCK_SHINGLES = 400, 1 << 20
 #: Members of a list whose pairs are enumerated, at most.
 SHORT = 100
-#: Rounds of anchors.
-ROUNDS = 2
+#: Rounds of anchors, at most.
+MOST_ROUNDS = 4
 #: Size classes for each doubling of size, by which costs are added up.
 CLASSES = 8
 
@@ -86,14 +89,14 @@ def least(n: int, percent: int) -> int:
 
 def spare(n: int, percent: int) -> int:
     """The shared shingles that are kept on purpose: more of them cut more sets off, and cost more to move."""
-    return max(min(2, least(n, percent)), n // 10)
+    return max(min(2, least(n, percent)), n // SPARE)
 
 
 def need(n: Column, percent: int) -> Column:
     """The kept shingles that a set of n shares at least with one that it links with: those spared for its smallest partner."""
     low = lambda c: F.floor((F.lit(percent) * c + 99) / 100).cast("long")
     smallest = low(n)
-    return F.greatest(F.least(F.lit(2), low(smallest)), F.floor(smallest / 10).cast("long"))
+    return F.greatest(F.least(F.lit(2), low(smallest)), F.floor(smallest / SPARE).cast("long"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -116,7 +119,8 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 x = b.slice(at, 200)
                 sets = [shingles(raw, words) for raw in x.column(1).to_pylist()]
                 d = [_digest(h) for h in sets]
-                kept = [h[: len(h) - least(len(h), percent) + spare(len(h), percent)].view(np.int64) for h in sets]
+                # the upper 48 bits travel lighter, and what they take for equal is told apart later
+                kept = [(h[: len(h) - least(len(h), percent) + spare(len(h), percent)] >> np.uint64(16)).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([k for k, _ in d], pa.int64()), pa.array([k for _, k in d], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "kept"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, kept array<long>")
@@ -139,21 +143,28 @@ def _whole(docs: DataFrame, words: int) -> DataFrame:
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """row, n and own: the kept shingles that other sets keep too, rarest first, of the sets that share enough."""
 
+    sizes = sets.select("row", "n")
+
     def shared(rows: DataFrame) -> DataFrame:
         df = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-        own = rows.join(df, "h").groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-        return stored(own.filter(F.size("own") >= need(F.col("n"), percent)))
+        own = rows.join(df, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+        return stored(own.join(sizes, "row").filter(F.size("own") >= need(F.col("n"), percent)))
 
-    first = shared(sets.filter("n > 1").select("row", "n", F.explode("kept").alias("h")))
+    first = shared(sets.filter("n > 1").select("row", F.explode("kept").alias("h")))
     # what shared its shingles with sets that are out by now
-    return shared(first.select("row", "n", F.explode("own.h").alias("h")))
+    return shared(first.select("row", F.explode("own.h").alias("h")))
+
+
+def _spans(each: DataFrame, seed: int) -> DataFrame:
+    """h, many, first and last row, and anchor of the lists with members of several components."""
+    to = F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("by"), "row", "component")).alias("to")
+    span = each.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("row").alias("a"), F.max("row").alias("b"), to)
+    return stored(span.filter("lo < hi").select("h", "many", "a", "b", F.col("to.row").alias("anchor"), F.col("to.component").alias("its")))
 
 
-def _anchored(lists: DataFrame, whole: DataFrame, group: DataFrame, percent: int, seed: int) -> DataFrame:
+def _anchored(each: DataFrame, span: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of sets with the anchor that they meet most often in lists of several, where that is of another component."""
-    each = lists.select("row", "h").join(group, "row")
-    chosen = each.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("by"), "row", "component")).alias("to"))
-    met = each.join(chosen.filter("lo < hi and many > 2").select("h", F.col("to.row").alias("anchor"), F.col("to.component").alias("its")), "h").filter("component <> its")
+    met = each.join(span.filter("many > 2").select("h", "anchor", "its"), "h").filter("component <> its")
     best = met.groupBy("row", "anchor").agg(F.count("*").alias("times")).groupBy("row").agg(F.max_by("anchor", F.struct("times", "anchor")).alias("anchor"))
     return _compared(stored(best.select(F.col("row").alias("a"), F.col("anchor").alias("b"))), whole, percent)
 
@@ -182,19 +193,18 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
     return at
 
 
-def _dealt(lists: DataFrame, group: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of sets that a list has by themselves, and key, row, component and weight of the others' lists.
+def _dealt(each: DataFrame, span: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of sets that a list has by themselves; key, row, component and weight of short lists; those of long ones.
 
     Lists whose members are of one component are closed. A pair that shares a
     list of two is one of the first result whatever else it shares; others
-    share two larger lists, so that these alone are enumerated or scanned. A
-    weight of two makes a pair worth comparing.
+    share a long list or two short ones, so that these alone are enumerated or
+    scanned. A weight of two makes a pair worth comparing.
     """
-    each = stored(lists.join(group, "row"))
-    span = each.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("row").alias("a"), F.max("row").alias("b")).filter("lo < hi")
-    span = stored(span)
     twos = span.filter("many = 2").select("a", "b")
-    own = each.join(span.filter("many > 2").select("h", "many"), "h").groupBy("row").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("h", "last", "many"))).alias("own"))
+    # whoever shares a long list is compared there
+    long = each.join(span.filter(F.col("many") > SHORT).select("h"), "h").select(F.col("h").alias("key"), "row", "component")
+    own = each.join(span.filter((F.col("many") > 2) & (F.col("many") <= SHORT)).select("h", "many"), "h").groupBy("row").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("h", "last", "many"))).alias("own"))
     own = stored(own.withColumn("class", F.floor(F.log2("n") * CLASSES).cast("int")))
     # a class's row for each eighth of a doubling of size: some hundred rows whatever the table's size
     scanned = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + F.when(x["last"], 0).otherwise(x["many"]))
@@ -207,7 +217,7 @@ def _dealt(lists: DataFrame, group: DataFrame, percent: int) -> tuple[DataFrame,
     # light sets that some heavy one can link with stand in the lists too
     reach = 2.0 ** ((light + 1) / CLASSES) * percent / 100 - 1 if any(r["class"] > light for r in cost) else float("inf")
     by_lists = own.filter(F.col("n") >= reach).select("row", "component", F.explode(single).alias("key"), F.lit(1).alias("weight"))
-    return twos, by_pairs.unionByName(by_lists)
+    return twos, by_pairs.unionByName(by_lists), long
 
 
 def _joined(rows: Iterator[tuple], percent: int) -> Iterator[tuple[int, int]]:
@@ -239,23 +249,24 @@ def _joined(rows: Iterator[tuple], percent: int) -> Iterator[tuple[int, int]]:
                     member[member == max(a, b)] = min(a, b)
 
 
-def _lists(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that share enough short lists, and key, row, component and blocks of the long ones."""
+def _open(keyed: DataFrame, weight: Column) -> DataFrame:
+    """key and weight of the lists with members of several components: lists of the same members are one, with the weight of all."""
     one, other = (F.bit_xor(F.xxhash64("row", F.lit(k))) for k in (8, 9))
-    lists = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), one.alias("x"), other.alias("y"), F.first("weight").alias("weight")).filter("lo < hi")
-    # lists of the same members are one, with the weight of all
-    lists = stored(lists.groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.sum("weight").alias("weight")).select("key", "many", "weight"))
-    short = stored(keyed.select("key", "row", "component").join(lists.filter(F.col("many") <= SHORT).select("key", "weight"), "key"))
-    # at most SHORT partners for a row of a list
+    lists = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"), one.alias("x"), other.alias("y"), F.first(weight).alias("weight")).filter("lo < hi")
+    return stored(lists.groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.sum("weight").alias("weight")).select("key", "weight"))
+
+
+def _paired(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough short lists; a row of a list has SHORT partners there at most."""
+    short = stored(keyed.select("key", "row", "component").join(_open(keyed, F.col("weight")), "key"))
     a, b = (short.select("key", F.col("row").alias(k), F.col("component").alias(f"{k}_in"), "weight") for k in ("a", "b"))
-    pairs = a.join(b.drop("weight"), "key").filter("a < b and a_in <> b_in").groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("a", "b")
-    long = keyed.select("key", "row", "component").join(lists.filter(F.col("many") > SHORT).select("key", "many"), "key")
-    return pairs, long
+    return a.join(b.drop("weight"), "key").filter("a < b and a_in <> b_in").groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("a", "b")
 
 
 def _in_blocks(long: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of components that linked sets of one long list join."""
-    sized = stored(long.join(whole.select("row", F.size("set").cast("long").alias("n")), "row"))
+    lists = _open(long, F.lit(1))
+    sized = stored(long.join(lists.select("key"), "key").join(whole.select("row", F.size("set").cast("long").alias("n")), "row"))
     blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = stored(dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "component", "row"))
@@ -274,15 +285,15 @@ def _in_blocks(long: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _checked(twos: DataFrame, keyed: DataFrame, left: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+def _checked(twos: DataFrame, keyed: DataFrame, long: DataFrame, kept: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components, of all sets that share a list."""
-    pairs, long = _lists(stored(keyed))
-    pairs = stored(twos.unionByName(pairs).distinct())
-    # sets that link share more of the kept shingles than a pair of lists, which are fewer than all of their own
-    own = left.select("row", "n", F.col("own.h").alias("own"))
-    both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
+    pairs = stored(twos.unionByName(_paired(stored(keyed))).distinct())
+    both = pairs.join(kept.toDF("a", "n", "x"), "a").join(kept.toDF("b", "m", "y"), "b")
+    # up to the smaller of the last hashes both sets are known in full, and no more may differ there than may in all
+    end = F.least(F.element_at("x", -1), F.element_at("y", -1))
+    apart = F.size(F.filter("x", lambda h: h <= end)) + F.size(F.filter("y", lambda h: h <= end)) - 2 * F.size(F.array_intersect("x", "y"))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    near = both.filter(fits).filter(F.size(F.array_intersect("x", "y")) >= F.greatest(need(F.col("n"), percent), need(F.col("m"), percent))).select("a", "b")
+    near = both.filter(fits).filter(apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)).select("a", "b")
     return _compared(stored(near), whole, percent).unionByName(_in_blocks(long, whole, percent))
 
 
@@ -299,7 +310,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     gone = stored(same.filter("row <> first").select("row"))
     one_each = sets.select("row", "n", "kept").join(gone, "row", "left_anti")
     left = _candidates(one_each, percent)
-    keys = stored(narrow.join(left.select("row"), "row").select("row", "doc_id", "d1", "d2"))
+    rows = stored(left.select("row"))
+    sets_left = rows.count()
+    keys = stored(narrow.join(rows, "row").select("row", "doc_id", "d1", "d2"))
     ids = stored(keys.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
     # a row of an id and text that are repeated may stand here twice, which changes no link
@@ -308,15 +321,20 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     prefix = F.slice("own", 1, (F.size("own") - need(F.col("n"), percent) + 2).cast("int"))
     lists = left.select("row", "n", F.size(prefix).alias("size"), F.posexplode(prefix).alias("at", "x"))
     lists = stored(lists.select("row", "n", F.col("x.h").alias("h"), (F.col("at") == F.col("size") - 1).alias("last")))
-    group = left.select("row", F.col("row").alias("component"))
-    edges = None
-    for k in range(ROUNDS):
-        new = stored(_anchored(lists, whole, group, percent, k))
+    edges, found, k = None, None, 0
+    while True:
+        group = rows if found is None else rows.join(found.withColumnRenamed("node", "row"), "row", "left")
+        each = stored(lists.join(group.select("row", F.coalesce(*([] if found is None else ["component"]), "row").alias("component")), "row"))
+        span = _spans(each, k)
+        # again while what stands in long lists is more than the sets, since blocks would cost more than anchors
+        if k == MOST_ROUNDS or k and (span.filter(F.col("many") > SHORT).agg(F.sum("many")).first()[0] or 0) <= sets_left:
+            break
+        new = stored(_anchored(each, span, whole, percent))
         edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
-        group = stored(left.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("component")))
-    joined = stored(_checked(*_dealt(lists, group, percent), left, whole, percent))
-    found = components(edges.unionByName(joined))
+        found, k = components(edges), k + 1
+    kept = stored(sets.select("row", "n", "kept").join(rows, "row", "left_semi"))
+    joined = stored(_checked(*_dealt(each, span, percent), kept, whole, percent))
+    found = components(joined if edges is None else edges.unionByName(joined))
     # every row that is not alone, and the smallest id that it reaches
     members = same.unionByName(found.select(F.col("node").alias("row"), F.col("node").alias("first"))).distinct()
     members = members.join(found, F.col("first") == F.col("node"), "left").select("row", F.coalesce("component", "first").alias("group")).distinct()
