@@ -46,7 +46,7 @@ def test_few_and_none(spark):
 
 def test_recall_against_all_rows(spark):
     """Whole table, ids divisible by 100, as against brute force; recall must hold where vectors have no clusters."""
-    v = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     t = v.toPandas()
     x, ids = np.stack(t["embedding"]).astype(float), t["vec_id"].to_numpy()
     got = {}
