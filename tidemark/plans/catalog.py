@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import cleaning, history, reports, tags
+from tidemark.operators import cleaning, daily, history, reports, tags
 from tidemark.plans import adapters
 from tidemark.sources import io
-from tidemark.streaming import runner, trends
+from tidemark.streaming import runner, seen, trends
 
 DAY = "1 day"
 
@@ -35,6 +35,8 @@ def scratch(spark: SparkSession) -> str:
 DELAY = "100 days"
 #: Files of one micro-batch.
 FILES = 16
+#: Epochs of a state that are folded into a snapshot.
+EPOCHS = 3
 
 
 def _messages(spark: SparkSession, folder: str, data: DataFrame, schema) -> DataFrame:
@@ -43,13 +45,14 @@ def _messages(spark: SparkSession, folder: str, data: DataFrame, schema) -> Data
     return io.read_stream(spark, "text", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
 
 
-def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """A query that runs a stream to its end and makes its report from the last state of each key.
 
     ``prepare`` makes the streaming aggregate of the features; ``past``, from
     the golden relation, is worked out and stored once, before the stream
     starts; ``outputs`` (micro-batch, past) are written for each micro-batch,
-    of which the first is the state; ``finish`` (state, past) is the report.
+    of which the first is the state; ``finish`` (state, past) is the report, of
+    the state or of what still holds of another ``output``.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +68,13 @@ def _streamed(prepare, finish, keys: list[str], past: dict | None = None, output
             features = trends.trending_features(_messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE))
         stream = prepare(features)
         written = {name: (lambda b, f=f: f(b, **kept)) for name, f in (outputs or {"state": lambda b, **_: b}).items()}
-        runner.run(stream, written, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
         first, f = next(iter(written.items()))
-        schema = f(history.empty_like(spark, stream.schema)).schema
-        return finish(runner.state(spark, f"{folder}/out/{first}", keys, schema), **kept)
+        runner.run(stream, written, f"{folder}/out", f"{folder}/checkpoint", compacted={first: keys}, epochs=EPOCHS).awaitTermination()
+        none = history.empty_like(spark, stream.schema)
+        rows = runner.state(spark, f"{folder}/out/{first}", keys, f(none).schema, epoch=True)
+        if output:
+            rows = runner.current(spark, f"{folder}/out/{output}", keys, written[output](none).schema, rows)
+        return finish(rows.drop("epoch"), **kept)
 
     return query
 
@@ -91,11 +97,14 @@ def dq_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each video once: the stream keeps the first message of a video within the delay."""
+    """A row for each message that the stream passes on, which is one for each video."""
     folder = scratch(spark)
-    stream = trends.unseen(_messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE), DELAY).select("video_id")
-    runner.run(stream, {"out": lambda b: b}, folder, f"{folder}/checkpoint", mode="append").awaitTermination()
-    return runner.state(spark, f"{folder}/out", ["video_id"], stream.schema)
+    rows = _messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE).select(F.col("data.videoId").alias("video_id"), "ts")
+    with io.settings(spark, seen.ROCKSDB):
+        stream = seen.unseen(rows, "video_id", DELAY, limit=1_000_000)
+        query = runner.run(stream, {"out": lambda b: b}, folder, f"{folder}/checkpoint", mode="append")
+        query.awaitTermination()
+    return runner.appended(spark, f"{folder}/out", stream.schema).select("video_id")
 
 
 def st_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,18 +124,56 @@ _S2_HISTORY = {
 }
 
 
-def _s1(finish):
+#: Figures from KLL and HyperLogLog sketches may be off by so much: some two of the published standard errors and more.
+RANK_ERROR, COUNT_ERROR = 0.03, 0.05
+
+
+def _kept_up(make, finish, of=lambda g: g):
+    """A history from a stored table: all months before that of the last order at first, then the others alone, as new days come in.
+
+    ``make`` gives the figures of some of the rows, ``finish`` (store, rows) the
+    report; ``of`` makes the rows from the golden relation.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{scratch(spark)}/history"
+        rows = of(adapters.golden(spark, sf_dir))
+        last = adapters.table(spark, sf_dir, "orders").agg(F.trunc(F.max("o_orderdate").cast("date"), "MM")).first()[0]
+        for new in (F.col("trending_full_date") < F.lit(last), F.col("trending_full_date") >= F.lit(last)):
+            daily.add(make(rows.filter(new)), path)
+        return finish(daily.read(spark, path), rows)
+
+    return query
+
+
+def _with_rank_error(df: DataFrame, rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """df with a column that tells whether the quantile's rank is near enough, instead of the quantile."""
+    e = daily.rank_error(rows, keys, df, value, share).select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("rank_error") <= RANK_ERROR).alias(f"{value}_within"))
+    return df.join(e, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(value, *[f"_{k}" for k in keys])
+
+
+def _with_count_error(df: DataFrame, rows: DataFrame, keys: list[str], name: str, column: str) -> DataFrame:
+    """df with a column that tells whether the estimate of different values is near enough, instead of the estimate."""
+    n = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count_distinct(column).alias("_n"))
+    near = F.abs(F.col(name) - F.col("_n")) <= F.ceil(F.col("_n") * COUNT_ERROR)
+    return df.join(n, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).withColumn(f"{name}_within", near).drop(name, "_n", *[f"_{k}" for k in keys])
+
+
+_S1_KEYS = ["window", "channel_title", "popularity_tier", "description_category", "content_type"]
+
+
+def _s1(finish, output: str | None = None):
     """Scored rows and, as in every micro-batch of the report, its anomalies in order."""
     return _streamed(
-        lambda f: trends.dominance_agg(f, DAY, DELAY), lambda s, top: finish(s), ["window", "channel_title", "popularity_tier", "description_category", "content_type"], {"top": _tops},
-        {"scored": lambda b, top: trends.dominance_score(b, top), "anomalies": lambda b, top: trends.dominance_anomalies(trends.dominance_score(b, top)).orderBy(F.desc("anomaly_score"))},
+        lambda f: trends.dominance_agg(f, DAY, DELAY), lambda s, top: finish(s), _S1_KEYS, {"top": _tops},
+        {"scored": lambda b, top: trends.dominance_score(b, top), "anomalies": lambda b, top: trends.dominance_anomalies(trends.dominance_score(b, top), keys=_S1_KEYS).orderBy(F.desc("anomaly_score"))}, output=output,
     )
 
 
-def _s2(finish):
+def _s2(finish, output: str | None = None):
     return _streamed(
         lambda f: trends.category_agg(f, DAY, "12 hours", DELAY), lambda s, cats, eng: finish(s), ["window", "category"], _S2_HISTORY,
-        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng))}, details=True,
+        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng), keys=["window"])}, details=True, output=output,
     )
 
 
@@ -157,10 +204,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "h3_channel_intelligence": _golden(history.channel_intelligence),
     "h4_tag_history": _golden(tags.tag_history),
     "h4_tag_pairs": _golden(tags.tag_pair_history),
+    "h1_category_history_merged": _kept_up(lambda g: daily.daily_partials(g, "month"), lambda d, g: _with_count_error(daily.category_history(d), g.filter("assignable"), ["category_title"], "hist_channels", "channel_title")),
+    "h2_channel_history_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: daily.channel_history(d)),
+    "h2_category_benchmarks_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: _with_rank_error(daily.category_benchmarks(d), g, ["category_title", "region"], "top_10_percent_threshold", 0.9)),
+    "h3_channel_intelligence_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: _with_rank_error(daily.channel_intelligence(d), g, list(daily.CHANNELS.keys), "batch_p75_views", 0.75)),
+    "h4_tag_history_merged": _kept_up(
+        lambda t: daily.partials(t, daily.TAGS, "month"),
+        lambda d, t: _with_count_error(_with_rank_error(daily.tag_history(d), t, list(daily.TAGS.keys), "p90_views", 0.9), t, list(daily.TAGS.keys), "unique_channels", "channel_title"), daily.tag_rows,
+    ),
     "s1_dominance": _s1(lambda s: _s1_rows(s)),
-    "s1_anomalies": _s1(lambda s: trends.dominance_anomalies(s)),
+    "s1_anomalies": _s1(lambda s: s.drop("window", "description_category", "content_type"), "anomalies"),
     "s2_category_performance": _s2(lambda s: trends.category_all(s).drop("current_unique_channels")),
-    "s2_category_changes": _s2(lambda s: trends.category_compared(s)),
+    "s2_category_changes": _s2(lambda s: s.drop("window"), "changes"),
     "s3_channel_anomaly": _s3(lambda s: _start(s).select("start", "channel_title", "current_trending_videos", "current_avg_views", "hist_avg_views", "top_tier", F.round("anomaly", 2).alias("anomaly_x"), "performance_vs_history", "growth_indicator", "channel_tier")),
     "s3_channel_viral": _s3(lambda s: trends.channel_viral(s)),
     "s3_category_comparison": _streamed(
@@ -474,3 +529,16 @@ SELECT *, CASE WHEN tag_strategy_score >= 3.5 THEN 'Expert Tagger' WHEN tag_stra
     "st_dedup": _e(" SELECT DISTINCT video_id FROM messages"),
     "st_envelope": _e(" SELECT 'test' AS source, content_type AS type, count(*) AS n, CAST(sum(t) AS BIGINT) AS seconds, count(DISTINCT video_id) AS videos FROM messages GROUP BY ALL"),
 }
+
+
+def _replaced(sql: str, old: str, new: str) -> str:
+    assert old in sql
+    return sql.replace(old, new)
+
+
+# The same histories; what a sketch estimates is told to be near enough.
+SQL["h1_category_history_merged"] = _replaced(SQL["h1_category_history"], " AS hist_regions FROM", " AS hist_regions, TRUE AS hist_channels_within FROM")
+SQL["h2_channel_history_merged"] = SQL["h2_channel_history"]
+SQL["h2_category_benchmarks_merged"] = _replaced(SQL["h2_category_benchmarks"], "quantile_disc(views, 0.9) AS top_10_percent_threshold", "TRUE AS top_10_percent_threshold_within")
+SQL["h3_channel_intelligence_merged"] = _replaced(SQL["h3_channel_intelligence"], "quantile_disc(views, 0.75) AS batch_p75_views", "TRUE AS batch_p75_views_within")
+SQL["h4_tag_history_merged"] = _replaced(_replaced(SQL["h4_tag_history"], "quantile_disc(views, 0.9) AS p90_views", "TRUE AS p90_views_within"), "count(DISTINCT channel_title) AS unique_channels", "TRUE AS unique_channels_within")

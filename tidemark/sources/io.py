@@ -107,3 +107,16 @@ def cached(df: DataFrame, *columns: str, level: StorageLevel = StorageLevel.MEMO
         yield kept
     finally:
         kept.unpersist()
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is started in the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

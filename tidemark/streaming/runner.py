@@ -1,4 +1,10 @@
-"""Runs streams: one runner for all reports, idempotent epochs, and reading the final state back."""
+"""Runs streams: one runner for all reports, idempotent epochs, and reading the final state back.
+
+The state of an output is a snapshot and the epochs after it. ``compact`` folds
+closed epochs into a new snapshot: it is written aside, renamed in one step, and
+only then are the epochs and the snapshot that it replaces removed. What a crash
+leaves behind is ignored by readers and removed by the next compaction.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.history import empty_like
 from tidemark.sources import io
 
+SNAPSHOTS = "_snapshots"
+
 
 def run(
     stream: DataFrame,
@@ -20,11 +28,15 @@ def run(
     checkpoint: str,
     mode: str = "update",
     every: str | None = None,
+    compacted: Mapping[str, list[str]] | None = None,
+    epochs: int = 20,
 ) -> StreamingQuery:
     """Write each output of each micro-batch under ``folder``; errors stop the query.
 
     ``outputs`` are functions of the micro-batch, which is kept while they are
     written. Without ``every`` all there is to read is processed, then it ends.
+    ``compacted`` names outputs by their keys whose closed epochs are folded
+    into a snapshot whenever so many have gathered.
     """
 
     def process(batch: DataFrame, epoch: int) -> None:
@@ -33,24 +45,94 @@ def run(
         with io.cached(batch) as kept:
             for name, output in outputs.items():
                 io.write_epoch(output(kept), f"{folder}/{name}", epoch)
+        for name, keys in (compacted or {}).items():
+            if len(_parts(batch.sparkSession, f"{folder}/{name}")[1]) > epochs:
+                compact(batch.sparkSession, f"{folder}/{name}", keys)
 
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(process)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def state(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
-    """The last row of each key over all epochs; none where no epoch has written."""
-    if not _exists(spark, path):
-        return empty_like(spark, schema)
-    # the epoch is the folder's name
-    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).option("basePath", path).parquet(path)
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "epoch").alias("_r"))
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the folders name=<number> whose writing ended."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    found = [n for n in names if n.startswith(f"{name}=")]
+    return sorted(int(n.partition("=")[2]) for n in found if fs.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[1]))
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest snapshot's last epoch, and the epochs after it."""
+    snapshot = max(_numbered(spark, f"{path}/{SNAPSHOTS}", "upto"), default=None)
+    return snapshot, [n for n in _numbered(spark, path, "epoch") if snapshot is None or n > snapshot]
+
+
+def _last(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, snapshot: int | None, epochs: list[int]) -> DataFrame:
+    """The last row of each key in a snapshot and some epochs, with its epoch."""
+    full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
+    df = None
+    if epochs:
+        # the epoch is the folder's name
+        df = spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/epoch={n}" for n in epochs])
+    if snapshot is not None:
+        old = spark.read.schema(full).parquet(f"{path}/{SNAPSHOTS}/upto={snapshot}")
+        df = old if df is None else df.unionByName(old)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*full.names), "epoch").alias("_r"))
     return last.select("_r.*")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def state(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, epoch: bool = False) -> DataFrame:
+    """The last row of each key, from the snapshot and later epochs alone; none where no epoch has written."""
+    snapshot, epochs = _parts(spark, path)
+    if snapshot is None and not epochs:
+        return empty_like(spark, T.StructType([*schema.fields, *([T.StructField("epoch", T.LongType())] if epoch else [])]))
+    df = _last(spark, path, keys, schema, snapshot, epochs)
+    return df if epoch else df.drop("epoch")
+
+
+def current(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, of: DataFrame) -> DataFrame:
+    """Rows of a second output that hold still: those that the last epoch of their key in ``of`` (a state with epochs) wrote."""
+    rows = state(spark, path, keys, schema, epoch=True)
+    return rows.join(of.select(*keys, "epoch"), [*keys, "epoch"], "left_semi").drop("epoch")
+
+
+def appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows that an output in append mode has written."""
+    _, epochs = _parts(spark, path)
+    return spark.read.schema(schema).parquet(*[f"{path}/epoch={n}" for n in epochs]) if epochs else empty_like(spark, schema)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str]) -> int | None:
+    """Fold all epochs but the newest, which may be replayed, into a snapshot; its last epoch, or None if there is nothing to fold."""
+    snapshot, epochs = _parts(spark, path)
+    done = snapshot
+    if len(epochs) > 1:
+        done = epochs[-2]
+        schema = spark.read.parquet(f"{path}/epoch={done}").schema
+        aside, final = (f"{path}/{SNAPSHOTS}/{name}={done}" for name in ("_writing", "upto"))
+        _last(spark, path, keys, schema, snapshot, epochs[:-1]).write.mode("overwrite").parquet(aside)
+        fs, p = _folder(spark, aside)
+        if not fs.rename(p, _folder(spark, final)[1]):
+            raise OSError(f"{final} could not be written")
+    if done is not None:
+        _removed(spark, path, done)
+    return done if done != snapshot else None
+
+
+def _removed(spark: SparkSession, path: str, upto: int) -> None:
+    """Remove what a snapshot replaces."""
+    fs, _ = _folder(spark, path)
+    for folder, name in ((path, "epoch"), (f"{path}/{SNAPSHOTS}", "upto")):
+        for n in _numbered(spark, folder, name):
+            if n < upto or n == upto and name == "epoch":
+                fs.delete(_folder(spark, f"{folder}/{name}={n}")[1], True)
 
 
 def await_any(spark: SparkSession, seconds: int | None = None) -> None:

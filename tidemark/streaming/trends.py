@@ -11,7 +11,7 @@ the report is read. Without a watermark they serve one micro-batch or a table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,11 +72,6 @@ def _windowed(df: DataFrame, size: str, slide: str | None, watermark: str | None
     return df.groupBy(F.window("ts", size, slide) if slide else F.window("ts", size), *keys)
 
 
-def unseen(messages: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Messages of videos not seen within the delay."""
-    return messages.withColumn("video_id", F.col("data.videoId")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["video_id"])
-
-
 # 1: who dominates now
 
 
@@ -116,8 +111,10 @@ def dominance_top(scored: DataFrame) -> DataFrame:
     )
 
 
-def dominance_anomalies(scored: DataFrame, least: float = 0.5) -> DataFrame:
-    return scored.filter(F.col("anomaly") > least).select("channel_title", "trending_videos_count", F.round("avg_views_per_video", 0).alias("avg_views"), F.round("anomaly", 2).alias("anomaly_score"), "popularity_tier")
+def dominance_anomalies(scored: DataFrame, least: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows beyond the least anomaly; ``keys`` are columns to keep besides."""
+    more = [k for k in keys if k not in ("channel_title", "popularity_tier")]
+    return scored.filter(F.col("anomaly") > least).select(*more, "channel_title", "trending_videos_count", F.round("avg_views_per_video", 0).alias("avg_views"), F.round("anomaly", 2).alias("anomaly_score"), "popularity_tier")
 
 
 # 2: categories against their history
@@ -166,8 +163,9 @@ def category_all(df: DataFrame) -> DataFrame:
     )
 
 
-def category_compared(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("hist_avg_views").isNotNull()).select("category", "views_change_pct", "eng_change_pct", "current_total_views", "category_trend_indicator")
+def category_compared(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Changes of the categories that have a history; ``keys`` are columns to keep besides."""
+    return df.filter(F.col("hist_avg_views").isNotNull()).select(*keys, "category", "views_change_pct", "eng_change_pct", "current_total_views", "category_trend_indicator")
 
 
 # 3: channels and categories against their history
