@@ -22,9 +22,9 @@ where c(n) is the threshold times n, rounded up.
    Lists whose members are of one component already are closed before that.
    A list of two is its pair at once and needs neither.
 5. *Check.* Pairs of short lists are compared by their kept shingles, then by all.
-   Lists of more than ``SHORT`` members are cut into blocks, and each pair of
-   blocks is a task's work, which compares what isn't joined yet; a task emits one
-   row for each two components that it joins.
+   Lists of more than ``SHORT`` members are cut into blocks; sets outside the
+   list's largest component visit all of them, and a task compares what isn't
+   joined yet and emits one row for each two components that it joins.
 
 All steps keep every link; shingles are told apart by 64 bits of hashes. Components
 come from alternating star rounds.
@@ -221,19 +221,22 @@ def _dealt(each: DataFrame, span: DataFrame, percent: int) -> tuple[DataFrame, D
 
 
 def _joined(rows: Iterator[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of components that linked sets join; rows are (key, i, j, block, component, set) in order of the first three."""
-    for (_, i, j), group in groupby(rows, lambda r: r[:3]):
-        sets = sorted((r[3:] for r in group), key=lambda r: len(r[2]))
-        block, member = np.array([s[0] for s in sets]), np.array([s[1] for s in sets])
+    """Pairs of components that linked sets join; rows are (key, block, guest, component, set) in order of the first two.
+
+    Guests of a block meet each other where one of them is at home.
+    """
+    for _, group in groupby(rows, lambda r: r[:2]):
+        sets = sorted((r[2:] for r in group), key=lambda r: len(r[2]))
+        guest, member = np.array([s[0] for s in sets], bool), np.array([s[1] for s in sets])
         size = np.array([len(s[2]) for s in sets], np.int64)
         flat, flat_at = np.unique(np.concatenate([s[2] for s in sets]), return_inverse=True)
         ends = np.cumsum(size)
         seen = np.zeros(len(flat), np.int64)
         for k in range(len(sets) - 1):
-            # partners that are not too large, of another component; a pair inside one block belongs to that block's own task
+            # partners that are not too large, of another component
             most = int(np.searchsorted(size, 100 * size[k] // percent, side="right"))
             at = np.arange(k + 1, most)
-            at = at[(member[at] != member[k]) & ((i == j) | (block[at] != block[k]))]
+            at = at[(member[at] != member[k]) & ~(guest[at] & guest[k])]
             if not len(at):
                 continue
             own = flat_at[ends[k] - size[k] : ends[k]]
@@ -264,19 +267,27 @@ def _paired(keyed: DataFrame) -> DataFrame:
 
 
 def _in_blocks(long: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of components that linked sets of one long list join."""
+    """Pairs (a, b) of components that linked sets of one long list join.
+
+    Each set has a block of the list as its home. Those of the list's largest
+    component have nothing to look for among each other, so only the others
+    visit all blocks: a list of one group and a few strays costs its length and
+    little more.
+    """
     lists = _open(long, F.lit(1))
     sized = stored(long.join(lists.select("key"), "key").join(whole.select("row", F.size("set").cast("long").alias("n")), "row"))
-    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = stored(dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "component", "row"))
-    dealt = dealt.join(whole, "row").select("key", "i", "j", "block", "component", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    blocks = parts.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.greatest(F.ceil(F.sum("many") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("home", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")))
+    to = F.when(F.col("component") == F.col("largest"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = stored(dealt.select("key", F.explode(to).alias("block"), "home", "component", "row").select("key", "block", (F.col("home") != F.col("block")).alias("guest"), "component", "row"))
+    dealt = dealt.join(whole, "row").select("key", "block", "guest", "component", "set").repartition("key", "block").sortWithinPartitions("key", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each_row() -> Iterator[tuple]:
             for b in batches:
-                flat, ends = b.column(5).values.to_numpy(), b.column(5).offsets.to_numpy()
-                for k, r in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
+                flat, ends = b.column(4).values.to_numpy(), b.column(4).offsets.to_numpy()
+                for k, r in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
                     yield (*r, flat[ends[k] : ends[k + 1]])
 
         pairs = np.array(list(_joined(each_row(), percent)), np.int64).reshape(-1, 2)
