@@ -17,21 +17,21 @@ RAW_VIDEOS = T.StructType([T.StructField(c, T.StringType()) for c in VIDEO_COLUM
 _CORRUPT = "_corrupt_record"
 
 
-def read_videos(spark: SparkSession, paths: str | list[str], region: str = r"([A-Z]{2})[^/]*$", multi_line: bool = True, quote_escape: str = '"', keep_corrupt: bool = False) -> DataFrame:
-    """All regions' listings in one scan, every column a string; the region comes from the file's name."""
+def read_videos(spark: SparkSession, paths: str | list[str], region: str = r"([A-Z]{2})[^/]*$", multi_line: bool = True, quote_escape: str = '"', keep_corrupt: bool = False, of: str = "file_name") -> DataFrame:
+    """All regions' listings in one scan, every column a string; the region comes from the file's name (or its 'file_path')."""
     schema = T.StructType([*RAW_VIDEOS.fields, *([T.StructField(_CORRUPT, T.StringType())] if keep_corrupt else [])])
     r = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", quote_escape).option("mode", "PERMISSIVE")
     if keep_corrupt:
         r = r.option("columnNameOfCorruptRecord", _CORRUPT)
-    return r.csv(paths).withColumn("region", F.regexp_extract("_metadata.file_name", region, 1))
+    return r.csv(paths).withColumn("region", F.regexp_extract(f"_metadata.{of}", region, 1))
 
 
-def read_categories(spark: SparkSession, paths: str | list[str], region: str | None = r"([A-Z]{2})[^/]*$") -> DataFrame:
+def read_categories(spark: SparkSession, paths: str | list[str], region: str | None = r"([A-Z]{2})[^/]*$", of: str = "file_name") -> DataFrame:
     """category_id, title and assignable of category documents, parsed on the executors."""
     schema = "items array<struct<id string, snippet struct<title string, assignable boolean>>>"
     docs = spark.read.schema(schema).option("multiLine", True).json(paths)
     if region:
-        docs = docs.withColumn("region", F.regexp_extract("_metadata.file_name", region, 1))
+        docs = docs.withColumn("region", F.regexp_extract(f"_metadata.{of}", region, 1))
     rows = docs.select(F.explode("items").alias("x"), *(["region"] if region else []))
     return rows.select(F.col("x.id").alias("category_id"), F.col("x.snippet.title").alias("title"), F.col("x.snippet.assignable").alias("assignable"), *(["region"] if region else []))
 
