@@ -22,9 +22,10 @@ where c(n) is the threshold times n, rounded up.
    Lists whose members are of one component already are closed before that.
    A list of two is its pair at once and needs neither.
 5. *Check.* Pairs of short lists are compared by their kept shingles, then by all.
-   Lists of more than ``SHORT`` members are cut into blocks, and each pair of
-   blocks is a task's work, which compares what isn't joined yet; a task emits one
-   row for each two components that it joins.
+   Lists of more than ``SHORT`` members become one where much the same sets
+   stand in them, and are cut into blocks; each pair of blocks is a task's work, which compares what isn't joined yet; a task emits one
+   row for each two components that it joins. Large components have blocks of their
+   own, of which no two are compared with each other.
 
 All steps keep every link; shingles are told apart by 64 bits of hashes. Components
 come from alternating star rounds.
@@ -42,7 +43,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship, stored
@@ -54,6 +55,8 @@ SPARE = 16
 BLOCK_SETS, BLOCK_SHINGLES = 400, 1 << 20
 #: Members of a list whose pairs are enumerated, at most.
 SHORT = 100
+#: Hash seeds, one for each time that similar long lists become one.
+MERGES = (21, 22, 23)
 #: Rounds of anchors, at most.
 MOST_ROUNDS = 4
 #: Size classes for each doubling of size, by which costs are added up.
@@ -263,12 +266,37 @@ def _paired(keyed: DataFrame) -> DataFrame:
     return a.join(b.drop("weight"), "key").filter("a < b and a_in <> b_in").groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("a", "b")
 
 
+def _merged(long: DataFrame) -> DataFrame:
+    """Lists whose first member by a hash is the same are one, where the blocks of all their members take fewer rows than theirs.
+
+    The shingles of a passage that many sets hold have much the same lists; one
+    list of all their members compares no pair less.
+    """
+    rows = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK_SETS)
+    for seed in MERGES:
+        lists = long.groupBy("key").agg(F.count("*").alias("many"), F.min(F.xxhash64("row", F.lit(seed))).alias("to"))
+        lists = stored(lists)
+        members = long.join(lists, "key").select("to", "row").distinct().groupBy("to").agg(F.count("*").alias("all"))
+        better = lists.groupBy("to").agg(F.sum(rows("many")).alias("rows")).join(members, "to").filter(rows("all") < F.col("rows"))
+        to = lists.join(better.select("to"), "to").select("key", "to")
+        long = stored(long.join(to, "key", "left").select(F.coalesce("to", "key").alias("key"), "row", "component").distinct())
+    return long
+
+
 def _in_blocks(long: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of components that linked sets of one long list join."""
-    lists = _open(long, F.lit(1))
-    sized = stored(long.join(lists.select("key"), "key").join(whole.select("row", F.size("set").cast("long").alias("n")), "row"))
-    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sized = stored(_merged(long).join(whole.select("row", F.size("set").cast("long").alias("n")), "row"))
+    # a component that fills half a block has blocks of its own, which aren't compared with each other; the rest of a list shares its blocks
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("many"), F.sum("n").alias("n")).withColumn("pool", F.when(2 * F.col("many") >= BLOCK_SETS, F.col("component")))
+    parts = stored(parts)
+    pools = parts.groupBy("key", "pool").agg(F.greatest(F.ceil(F.sum("many") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    whose = Window.partitionBy("key")
+    pools = pools.withColumn("total", F.sum("blocks").over(whose)).withColumn("from", F.sum("blocks").over(whose.orderBy("pool")) - F.col("blocks"))
+    pools = pools.select(F.col("key").alias("_key"), F.col("pool").alias("_pool"), "blocks", "total", "from")
+    at = parts.join(pools, (F.col("key") == F.col("_key")) & F.col("pool").eqNullSafe(F.col("_pool"))).select("key", "component", "pool", "blocks", "total", "from")
+    dealt = sized.join(stored(at), ["key", "component"]).withColumn("block", F.col("from") + F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda k: F.col("pool").isNull() | (k < F.col("from")) | (k >= F.col("from") + F.col("blocks")))
+    dealt = dealt.withColumn("with", F.explode(others))
     dealt = stored(dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "component", "row"))
     dealt = dealt.join(whole, "row").select("key", "i", "j", "block", "component", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
