@@ -62,6 +62,13 @@ def clean_content(videos: DataFrame, categories: DataFrame, params: CleanParams
     return df.dropDuplicates(list(params.dedup_keys)) if params.dedup_keys else df
 
 
+def gates_of(df: DataFrame, checks: dict[str, tuple[Column, int]]) -> DataFrame:
+    """check_name, value and passed: one scan counts the rows of all conditions, each with as many as asked for at least."""
+    counted = df.agg(*[F.count_if(condition).alias(name) for name, (condition, _) in checks.items()])
+    row = lambda name, least: F.struct(F.lit(name).alias("check_name"), F.col(name).alias("value"), (F.col(name) >= least).alias("passed"))
+    return counted.select(F.inline(F.array(*[row(name, least) for name, (_, least) in checks.items()])))
+
+
 def gates(checks: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     """check_name, value and passed: each relation has as many rows as asked for at least."""
     out = None

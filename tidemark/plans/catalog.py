@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cleaning, daily, history, reports, tags
 from tidemark.plans import adapters
-from tidemark.sources import ingest, io
+from tidemark.sources import ingest, io, versions
 from tidemark.streaming import runner, seen, trends
 
 DAY = "1 day"
@@ -110,9 +110,27 @@ def t1_ingest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(*(ingest.read_raw(spark, f"{folder}/raw", kind, "parquet") for kind in ("videos", "categories")))
 
 
+def _gates() -> dict:
+    """Conditions, and the rows that must meet each at least; no row meets the last."""
+    return {"golden_rows": (F.lit(True), 1), "assignable_rows": (F.col("assignable"), 1), "impossible_rows": (F.col("views") < 0, 1)}
+
+
 def dq_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    golden = adapters.golden(spark, sf_dir)
-    return cleaning.gates({"golden_rows": (golden, 1), "assignable_rows": (golden.filter("assignable"), 1), "impossible_rows": (golden.filter("views < 0"), 1)})
+    return cleaning.gates_of(adapters.golden(spark, sf_dir), _gates())
+
+
+def dq_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates counted while versions are written, of which one passes and the next doesn't; and the rows of the version that counts, by region."""
+    path = f"{scratch(spark)}/golden"
+    golden = adapters.golden(spark, sf_dir).select("video_id", "views", "assignable", "region")
+    tables = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders")]
+    results = versions.publish(golden, path, {k: v for k, v in _gates().items() if k != "impossible_rows"}, tables, ("region",))
+    try:
+        versions.publish(golden.limit(0), path, _gates(), tables)
+    except versions.GateError as e:
+        results += [(f"second_{name}", value, passed) for name, value, passed in e.gates]
+    by_region = versions.read(spark, path).groupBy(F.concat(F.lit("region_"), "region").alias("check_name")).agg(F.count("*").alias("value"))
+    return spark.createDataFrame(results, "check_name string, value long, passed boolean").unionByName(by_region.withColumn("passed", F.lit(True)))
 
 
 def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t0_clean": t0_clean,
     "t1_ingest_raw": t1_ingest_raw,
     "dq_gates": dq_gates,
+    "dq_publish": dq_publish,
     "h1_regional_context": _golden(lambda g: history.regional_context(reports.daily_views(g))),
     "h1_category_history": _golden(lambda g: history.category_history(reports.daily_views(g), exact=True)),
     "h1_engagement_history": _golden(lambda g: history.engagement_history(reports.channel_engagement(g), exact=True)),
@@ -427,6 +446,12 @@ FROM titled LEFT JOIN nation ON n_nationkey = category_id AND n_nationkey < 4 WH
     "dq_gates": _g(
         """ SELECT 'golden_rows' AS check_name, count(*) AS value, count(*) >= 1 AS passed FROM golden
 UNION ALL SELECT 'assignable_rows', count(*), count(*) >= 1 FROM golden WHERE assignable UNION ALL SELECT 'impossible_rows', count(*), count(*) >= 1 FROM golden WHERE views < 0"""
+    ),
+    "dq_publish": _g(
+        """ SELECT 'golden_rows' AS check_name, count(*) AS value, true AS passed FROM golden
+UNION ALL SELECT 'assignable_rows', count(*), true FROM golden WHERE assignable
+UNION ALL SELECT 'second_' || c, 0, false FROM (VALUES ('golden_rows'), ('assignable_rows'), ('impossible_rows')) t(c)
+UNION ALL SELECT 'region_' || region, count(*), true FROM golden GROUP BY region"""
     ),
     "h1_regional_context": _g(" SELECT category_title, region, avg(avg_views) AS hist_avg_views, avg(avg_comments) AS hist_avg_comments, avg(moving_avg_views_3d) AS hist_trend FROM b1 GROUP BY ALL", _DAILY),
     "h1_category_history": _g(" SELECT category_title, CAST(sum(video_count) AS BIGINT) AS hist_videos, avg(avg_views) AS hist_avg_views, count(DISTINCT region) AS hist_regions FROM b1 GROUP BY ALL", _DAILY),

@@ -42,8 +42,47 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructT
     return (r.schema(schema) if schema is not None else r).load(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None, partition: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """A JDBC table, in parallel ranges of (column, lowest, highest, number) if given."""
+def jdbc_parts(spark: SparkSession, url: str, table: str, column: str, parts: int, properties: dict | None = None, bins: int = 64, rounds: int = 8) -> list[str]:
+    """Predicates that cut a table into parts of near equal size by a numeric column, in order; rows without a value go with the last.
+
+    The database counts: rows by equal ranges at first, then again within those
+    ranges that hold more than a part's share, however skewed. A value that alone
+    has more than that is a part of its own. ``column`` is SQL, quoted as the
+    database has it. Each question returns ``bins`` rows at most.
+    """
+
+    def ask(low, high) -> list[tuple]:
+        width = (float(high) - float(low)) / bins or 1.0
+        # monotonous in the column, so that ranges can't overlap however the database rounds
+        inner = f"SELECT {column} AS v, FLOOR(({column} - {float(low)!r}) / {width!r}) AS r FROM {table} WHERE {column} >= {low} AND {column} <= {high}"
+        got = spark.read.jdbc(url, f"(SELECT MIN(x.v) AS lo, MAX(x.v) AS hi, COUNT(*) AS n FROM ({inner}) x GROUP BY x.r) t", properties=properties or {})
+        return sorted(tuple(r) for r in got.collect())
+
+    first = spark.read.jdbc(url, f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT({column}) AS n FROM {table}) t", properties=properties or {}).first()
+    if not first[2]:
+        return ["1 = 1"]
+    done, todo, share = [], [tuple(first)], first[2] / parts
+    for _ in range(rounds):
+        split = [r for low, high, _ in todo for r in ask(low, high)]
+        # a tenth of a share is fine enough to deal out evenly
+        todo = [r for r in split if r[2] > share / 10 and r[0] < r[1]]
+        done += [r for r in split if not (r[2] > share / 10 and r[0] < r[1])]
+        if not todo:
+            break
+    out, held = [], []
+    for low, high, n in sorted(done + todo):
+        if held and sum(h[2] for h in held) + n / 2 > share:
+            out.append(held)
+            held = []
+        held.append((low, high, n))
+    cuts = [f"{column} >= {h[0][0]} AND {column} <= {h[-1][1]}" for h in [*out, held]]
+    return [*cuts[:-1], f"({cuts[-1]}) OR {column} IS NULL"]
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None, partition: tuple[str, int, int, int] | None = None, even: tuple[str, int] | None = None) -> DataFrame:
+    """A JDBC table, in parallel ranges of (column, lowest, highest, number) if given, or in parts of near equal size of (column, number)."""
+    if even:
+        return spark.read.jdbc(url, table, predicates=jdbc_parts(spark, url, table, *even, properties), properties=properties or {})
     if partition:
         column, low, high, n = partition
         return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=n, properties=properties or {})

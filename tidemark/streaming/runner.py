@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.history import empty_like
-from tidemark.sources import io
+from tidemark.sources import io, versions
 
 SNAPSHOTS = "_snapshots"
+VERSIONS = "_versions"
 
 
 def run(
@@ -30,21 +31,28 @@ def run(
     every: str | None = None,
     compacted: Mapping[str, list[str]] | None = None,
     epochs: int = 20,
+    past: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
     """Write each output of each micro-batch under ``folder``; errors stop the query.
 
     ``outputs`` are functions of the micro-batch, which is kept while they are
     written. Without ``every`` all there is to read is processed, then it ends.
     ``compacted`` names outputs by their keys whose closed epochs are folded
-    into a snapshot whenever so many have gathered.
+    into a snapshot whenever so many have gathered. ``past`` names tables in
+    versions by their paths, which outputs take as arguments: each micro-batch
+    reads the newest, so that what is published takes effect without a restart,
+    and its epoch keeps the numbers, so that a replay reads the same ones.
     """
 
     def process(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
+        spark = batch.sparkSession
+        used = _pinned(spark, folder, epoch, past) if past else {}
+        tables = {name: versions.read(spark, past[name], n) for name, n in used.items()}
         with io.cached(batch) as kept:
             for name, output in outputs.items():
-                io.write_epoch(output(kept), f"{folder}/{name}", epoch)
+                io.write_epoch(output(kept, **tables), f"{folder}/{name}", epoch)
         for name, keys in (compacted or {}).items():
             if len(_parts(batch.sparkSession, f"{folder}/{name}")[1]) > epochs:
                 compact(batch.sparkSession, f"{folder}/{name}", keys)
@@ -53,6 +61,29 @@ def run(
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def _pinned(spark: SparkSession, folder: str, epoch: int, past: Mapping[str, str]) -> dict[str, int]:
+    """The version of each table that an epoch reads: those it read before, or else the newest, kept before any output is written."""
+    final = f"{folder}/{VERSIONS}/epoch={epoch}"
+    fs, p = _folder(spark, final)
+    if not fs.exists(p):
+        newest = [(name, (versions.numbers(spark, path) or [None])[-1]) for name, path in past.items()]
+        if none := [past[name] for name, n in newest if n is None]:
+            raise FileNotFoundError(f"{', '.join(none)} has no version")
+        aside = f"{folder}/{VERSIONS}/_writing={epoch}"
+        spark.createDataFrame(newest, "name string, version long").coalesce(1).write.mode("overwrite").json(aside)
+        if not fs.rename(_folder(spark, aside)[1], p):
+            raise OSError(f"{final} could not be written")
+    return {r["name"]: r["version"] for r in spark.read.schema("name string, version long").json(final).collect()}
+
+
+def used_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """epoch, name and version of each table that an epoch has read."""
+    path = f"{folder}/{VERSIONS}"
+    schema = "name string, version long, epoch long"
+    fs, p = _folder(spark, path)
+    return spark.read.schema(schema).json(path) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
 def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
