@@ -66,3 +66,38 @@ def test_masks_keep_other_text_and_columns(spark):
     assert got.columns == ["doc_id", "spans", "text", "kind"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "q", "mail é <EMAIL> now", 5)] * 2 + [(2, None, None, 0), (None, "s", "", 1)], key=str)
     assert pii.report(got.limit(0)).collect() == []
+
+
+def test_taken_spans_are_found_as_by_looking_at_all():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        taken, out = pii.Taken(), []
+        for kind in "abc":
+            at = 0
+            while at < 60:
+                a = at + rng.randrange(8)
+                b = at = a + 1 + rng.randrange(9)
+                bars = any(x < b and a < y and not (a <= x and y <= b and y - x < b - a) for x, y in out)
+                assert taken.bars(a, b) == bars
+                if not bars or kind == "a":
+                    taken.add(kind, a, b)
+                    out.append((a, b))
+
+
+def test_a_long_text_of_many_spans_takes_time_in_proportion():
+    import re
+    import time
+
+    params = pii.PiiParams()
+    rules = [(k, re.compile(rf"(?i)\b(?:{p})\b"), by) for k, p, by in params.context]
+
+    def seconds(n):
+        t = time.perf_counter()
+        found = pii.scored("ssn 219-09-9999 " * n, params, rules)
+        assert len(found) >= n
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(80_000) < 8 * seconds(20_000) + 1

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -148,10 +149,33 @@ def proposed(t: str) -> Iterator[tuple[str, int, int]]:
             yield "secret", *m.span()
 
 
+class Taken:
+    """Spans taken so far. Those of one kind come in order and apart, so that bisection finds what a new span meets."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, tuple[list[int], list[int]]] = {}
+
+    def add(self, kind: str, a: int, b: int) -> None:
+        starts, ends = self.of.setdefault(kind, ([], []))
+        starts.append(a)
+        ends.append(b)
+
+    def bars(self, a: int, b: int) -> bool:
+        """Whether a span is there that is the same, or reaches over the start or the end of this one."""
+        for starts, ends in self.of.values():
+            before, last = bisect_left(starts, a) - 1, bisect_left(starts, b) - 1
+            if before >= 0 and ends[before] > a or last >= 0 and ends[last] > b:
+                return True
+            if before + 1 < len(starts) and starts[before + 1] == a and ends[before + 1] == b:
+                return True
+        return False
+
+
 def scored(t: str, params: PiiParams, rules: list) -> list[tuple[str, int, int, float]]:
     """Spans with scores; added spans under the threshold, inside another span or across its end go."""
     prior = dict(params.prior)
     out: list[tuple[str, int, int, float]] = []
+    taken = Taken()
     for kind, a, b in proposed(t):
         score = prior[kind]
         near = t[max(0, a - params.window) : a] + " " + t[b : b + params.window]
@@ -159,8 +183,9 @@ def scored(t: str, params: PiiParams, rules: list) -> list[tuple[str, int, int,
             if k == kind and pattern.search(near):
                 score += by
         score = min(1.0, max(0.0, score))
-        if kind in ADDED and (score < params.min_score or any(x < b and a < y and not (a <= x and y <= b and y - x < b - a) for _, x, y, _ in out)):
+        if kind in ADDED and (score < params.min_score or taken.bars(a, b)):
             continue
+        taken.add(kind, a, b)
         out.append((kind, a, b, score))
     return out
 
