@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from tidemark.llm import toxicity as x
 from tidemark.llm.common import table
 
@@ -75,3 +77,9 @@ def test_nothing_to_learn_from(spark):
     g = x.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["predicted"] for r in x.scored(docs, g).collect()] == [0, 0, 0]
     assert x.scored(docs.limit(0), g).collect() == []
+
+
+def test_a_threat_keeps_the_weight_of_the_insult_before_it():
+    m = x.Matcher(x.Grammar({"idiot": 4.0}, {}))
+    aimed, threat = m.clauses("you idiot")[0], m.clauses("will kill")[0]
+    assert m.clauses("idiot will kill you") == [pytest.approx(aimed + threat)]

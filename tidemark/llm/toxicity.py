@@ -190,7 +190,8 @@ class Matcher:
                         sums[mask | 1] += last
                     else:
                         sums[mask] += k[1]
-                        last = k[1]
+                        # a threat leaves the insult before it open, with its own weight
+                        last = k[1] if k[0] == INSULT else last
         return [*out, sums] if sums else out
 
     def clauses(self, text: str) -> list[float]:
