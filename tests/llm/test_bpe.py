@@ -48,3 +48,19 @@ def test_a_first_class_larger_than_the_lexicon_gives_a_part(spark):
     docs = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
     lex = bpe.Lexicon(bpe.lexicon(docs, VOCAB, 60))
     assert sum(p >= 0 for p in lex.places(sorted(set(words))).tolist()) == 60
+
+
+def test_long_words_stay_out_of_the_lexicon_and_are_merged_all_the_same(spark):
+    texts = ["".join(random.Random(k).choices("abcdefgh", k=30_000)) for k in range(4)] * 3 + ["short words"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = bpe.lexicon(docs, VOCAB)
+    assert len(lex) < 20_000
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encoded(docs, VOCAB, lex).collect()} == dict(enumerate(library(texts)))
+
+
+def test_null_ids_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in bpe.report(docs, VOCAB).collect())
+    n = len(library(["a b"])[0][0])
+    assert rows == [(-1, n), (1, n), (1, n), (2, 0)]
+    assert bpe.report(docs.limit(0), VOCAB).collect() == []

@@ -316,15 +316,18 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, vocab: str, size: int = 50_000) -> bytes:
-    """The transducer of the most frequent words of the texts, ``size`` at most.
+def lexicon(docs: DataFrame, vocab: str, size: int = 50_000, longest: int = 64) -> bytes:
+    """The transducer of the most frequent words of the texts, ``size`` at most, of ``longest`` bytes at most.
+
+    Both bound what the driver holds and sends; longer words are merged exactly
+    where they occur, as all words outside the transducer are.
 
     Words are taken by classes of like frequency, 64 for each factor of e, down
     to the last class that still fits, so that the driver gets no more than
     ``size`` words, and from no partition more than that partition has of them.
     Of a first class that is larger, a part is taken by a hash of the word.
     """
-    counts = stored(word_counts(docs, vocab)).withColumn("level", F.floor(F.log("n") * 64))
+    counts = stored(word_counts(docs, vocab).filter(F.octet_length("word") <= longest)).withColumn("level", F.floor(F.log("n") * 64))
     levels = sorted(((r["level"], r["words"]) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True)
     total, cut = 0, None
     for level, words in levels:
