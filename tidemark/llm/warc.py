@@ -102,10 +102,12 @@ def _verified(spark: SparkSession, folder: str) -> DataFrame:
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """header, http (the head of the answer) and record: each WARC record whole, as written to a file."""
-    r = spark.read.parquet(f"{folder}/records").join(_verified(spark, folder), "digest")
+    r = spark.read.parquet(f"{folder}/records")
     revisit = F.decode("header", "utf-8").startswith(f"WARC/1.1{_CRLF}WARC-Type: revisit{_CRLF}")
-    own = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return r.select("header", "http", F.concat("header", "http", own, F.encode(F.lit(_CRLF + _CRLF), "utf-8")).alias("record"))
+    whole = lambda *own: F.concat("header", "http", *own, F.encode(F.lit(_CRLF + _CRLF), "utf-8")).alias("record")
+    # a revisit's record has no payload, so that many pages of one payload don't take its bytes along
+    responses = r.filter(~revisit).join(_verified(spark, folder), "digest").select("header", "http", whole(F.col("payload")))
+    return responses.unionByName(r.filter(revisit).select("header", "http", whole()))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
