@@ -73,3 +73,15 @@ def test_odd_pages(spark):
     got = h.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert h.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_stray_end_tags_in_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        h.main_text("<i><article>" + "<div>" * n + "Text, that is long enough to count as such." + "</i>" * n)
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(16_000) < 8 * seconds(4_000) + 1

@@ -95,7 +95,8 @@ class Page:
         self.tag, self.parent, self.path, self.keep, self.soft = [""], [-1], [0], [True], [-1]
         self.nodes: list[tuple[int, str, bool]] = []
         self._paths: dict[tuple[int, str], int] = {}
-        self._open: dict[str, int] = defaultdict(int)
+        #: For each tag, where its open elements are in the stack.
+        self._open: dict[str, list[int]] = defaultdict(list)
         self._read(page)
 
     def _read(self, page: str) -> None:
@@ -134,21 +135,16 @@ class Page:
 
     def _close(self, stack: list[int], tags: set, until: tuple) -> None:
         """End the innermost element of these tags, and all inside it, unless one of ``until`` is further in."""
-        if not any(self._open[t] for t in tags):
+        at = max((self._open[t][-1] for t in tags if self._open[t]), default=0)
+        if not at or any(self._open[t] and self._open[t][-1] > at for t in until):
             return
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in tags:
-                for e in stack[k:]:
-                    self._open[self.tag[e]] -= 1
-                del stack[k:]
-                return
-            if tag in until:
-                return
+        for e in stack[at:]:
+            self._open[self.tag[e]].pop()
+        del stack[at:]
 
     def _add(self, stack: list[int], tag: str, attrs: str) -> None:
         up, e = stack[-1], len(self.tag)
-        self._open[tag] += 1
+        self._open[tag].append(len(stack))
         own = _kept(tag, attrs, bool(self._open["article"] or self._open["main"])) if self.keep[up] else False
         self.tag.append(tag)
         self.parent.append(up)
