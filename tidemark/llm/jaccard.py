@@ -23,9 +23,10 @@ where c(n) is the threshold times n, rounded up.
    A list of two is its pair at once and needs neither.
 5. *Check.* Pairs of short lists are compared by their kept shingles, then by all.
    Lists of more than ``SHORT`` members become one where much the same sets
-   stand in them, and are cut into blocks; each pair of blocks is a task's work, which compares what isn't joined yet; a task emits one
-   row for each two components that it joins. Large components have blocks of their
-   own, of which no two are compared with each other.
+   stand in them, and are cut into blocks. Each pair of blocks is a task's work,
+   which compares what isn't joined yet and emits one row for each two components
+   that it joins. Large components have blocks of their own, of which no two are
+   compared with each other.
 
 All steps keep every link; shingles are told apart by 64 bits of hashes. Components
 come from alternating star rounds.
