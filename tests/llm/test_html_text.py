@@ -36,6 +36,60 @@ SCORED = [  # page, and its main text with L for LONG
 ]
 
 
+ARTICLE = f"<article>{PAR * 3}</article>"
+MARKED = [  # marks in class and id are evidence; what an element holds decides
+    (f"<div class='site cookie-consent-active'>{ARTICLE}</div>", "L L L"),
+    (f"<div class='site cookie-consent-active'><main>{PAR * 3}</main><div class=sidebar>{PAR * 2}</div></div><footer>{PAR}</footer>", "L L L"),
+    (f"<div class='newsletter-popup-visible'><main>{PAR * 3}</main></div>", "L L L"),
+    (f"<div class='cookie-consent-active'><div class=newsletter-popup-visible>{ARTICLE}</div><div id=comments>{PAR * 9}</div></div>", "L L L"),
+    (f"<div class='social-policy'>{PAR * 3}</div>", "L L L"),
+    (f"<nav>Home</nav><div class='html-tags-guide'>{PAR * 3}</div><div class='cookie-notice'>We use cookies, yes.</div>", "L L L"),
+    (f"<div class='theme-legal content'><h1>T</h1>{PAR * 3}</div>", "T L L L"),
+    (f"<article>{PAR * 3}<section id=discussion><h2>Discussion</h2>{PAR * 2}</section></article>", "L L L Discussion L L"),
+    (f"<article>{PAR * 3}<section id=discussion><ol><li>{PAR}</li><li>{PAR}</li></ol></section></article>", "L L L"),
+    (f"<article>{PAR * 3}<section class=discussion><div class=c><b>Ann</b>{PAR}</div><div class=c>{PAR}</div></section></article>", "L L L"),
+    (f"<div class=post><header><h1>Title</h1></header>{PAR * 3}</div>", "Title L L L"),
+    (f"<div id=wrap><header><h1>Site</h1></header><div class=post>{PAR * 3}</div></div>", "L L L"),
+    (f"<div id=content>{PAR * 3}</div><div class=comments>{f'<article class=comment-body>{PAR}</article>' * 9}</div>", "L L L"),
+    (f"{ARTICLE}<div class=related>{f'<article>{PAR}</article>' * 9}</div>", "L L L"),
+    (f"<form>{PAR * 3}</form><div class=cookie-notice>{PAR}</div>", "L L L"),
+    # content paths decide: lists of names, links and figures are longer than the text, but no content
+    (f"<div class=entry>{PAR * 3}</div><div class=b><ul>{'<li><a href=x>The name of another page of this site</a></li>' * 40}</ul></div>", "L L L"),
+    (f"<div class=cloud>{'<a href=x>a topic of many words that is linked</a> ' * 40}</div><div class=entry>{PAR * 3}</div>", "L L L"),
+    (f"<table><tr><td>{'<a href=x>Names of sections without marks</a><br>' * 40}</td><td><div>{PAR * 3}</div></td></tr></table>", "L L L"),
+    (f"<div class=entry>{PAR * 3}</div><div class=data><table>{'<tr><td>Quantity sold in a month of the year</td><td>12 000 000</td></tr>' * 30}</table></div>", "L L L"),
+    (f"<div class=share-bar>{'<span>Send this page to someone you know</span> ' * 40}</div><div class=entry>{PAR * 3}</div>", "L L L"),
+    (f"<div>{PAR * 3}</div><div class=widget>{'<span>Name of a page without marks</span><br>' * 40}</div>", "L L L"),
+]
+
+
+def test_marked_pages():
+    for page, want in MARKED:
+        assert h.main_text(page).replace(LONG, "L") == want, page
+
+
+def test_path_ratios_decide(monkeypatch):
+    """With the ratios put out of work, either way, pages come out otherwise."""
+    pages = [p for p, _ in SCORED + MARKED]
+    scored = [h.main_text(p) for p in pages]
+    for content in (lambda p, kept, params: set(kept), lambda p, kept, params: set()):
+        with monkeypatch.context() as m:
+            m.setattr(h, "_content", content)
+            assert sum(h.main_text(p) != x for p, x in zip(pages, scored)) >= 4
+
+
+def test_nested_marks_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        h.main_text("".join(f"<div class='{'social' if k % 2 else 'sidebar'}'><article>Text, {k}, and more." for k in range(n)) + "<b>x, y." * n)
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(16_000) < 8 * seconds(4_000) + 1
+
+
 def test_scored_pages():
     for page, want in SCORED:
         got = h.main_text(page).replace(LONG, "L")

@@ -2,12 +2,14 @@
 
 A page becomes text nodes with their root-to-leaf tag paths. Nodes inside
 elements that never hold article text (scripts, menus, hidden elements, ...; by
-tag, role, or a word of class or id) are set aside; what just looks like a
-layout's side, or a form, is set aside unless it holds most of the text, as a
-form around a whole page does. For each remaining path the text length and the
+tag or role) are set aside. For each remaining path the text length and the
 punctuation of all its nodes are added up; the two ratios are smoothed over the
 neighbouring nodes of the page, fused by a product, and paths over a threshold
-are content. All nodes of content paths give text, with the short blocks beside
+are content. Words of class or id, forms and headers are evidence that an
+element is no part of the article; how much of the page's content paths it
+holds decides: a wrapper of the whole page is one of its article as well,
+whatever its class tells of cookies. The ratios are then worked out again for
+what is left. All nodes of content paths give text, with the short blocks beside
 them: those in the same article or main element if such elements hold the
 content, or else those in the elements that hold content blocks, and headings
 before them.
@@ -41,7 +43,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("nav aside button select option fieldset head menu dialog input object applet canvas audio video map".split())
-HEADER = frozenset(("header", "footer"))
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Words of class and id attributes that mark what is not the article.
 MARKS = frozenset(
@@ -50,12 +51,20 @@ MARKS = frozenset(
 )
 #: Those of them that also name layouts around an article ("with-sidebar"): an article inside is one all the same.
 LAYOUT = frozenset("sidebar aside menu nav navbar navigation banner widget widgets topbar toolbar skip ads ad".split())
+#: Those of them that mark what readers wrote: it is never the article beside other text.
+READERS = frozenset("comment comments disqus reply replies respond discussion".split())
+#: Those of them that also name chapters, which hold their paragraphs directly.
+CHAPTERS = frozenset(("discussion",))
 #: Words beside a mark that make it a state ("comments-open", "no-sidebar"), which says nothing of the element itself.
 STATES = frozenset("with without no none has have is open closed enabled disabled on off allowed count".split())
 ARTICLES = frozenset(("article", "main"))
+#: Kinds of elements, by words of class or id, whose articles count no more than they do.
+FIRM = frozenset(("mark", "reader", "chapter"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are blocks of a text rather than what holds its blocks.
 TEXTUAL = INLINE | HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot table ul ol dl blockquote pre figure figcaption address caption center details summary header".split())
+#: Elements between a paragraph's words and what holds the paragraph.
+PROSE = INLINE | HEADINGS | frozenset("p blockquote pre figure figcaption".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A new block element ends an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -79,6 +88,8 @@ class HtmlParams:
     smooth: int = 2
     #: Articles, or elements that hold content blocks, give text if they hold this share of what the largest one holds.
     least: float = 0.1
+    #: An element that looks like no part of the article is one if it holds so many times the content outside of such.
+    most: float = 3.0
     #: A content node outside of those elements gives text from so many characters on, if it has punctuation.
     sentence: int = 40
 
@@ -87,12 +98,14 @@ class Page:
     """Elements as parallel lists, each after its parent, and text nodes (element, text, whether a block ends before it).
 
     Element 0 is the page itself. ``keep`` is False under what never holds
-    article text; ``soft`` is the nearest element around (or the element) that
-    looks like a side of the layout, or -1.
+    article text. ``kind`` tells what an element looks like, if not like a part
+    of the article: "side" of a layout, "header", or "mark", "reader" and
+    "chapter" by words of its class or id. ``soft`` is the nearest such element
+    around (or the element), or -1; ``firm`` that of the last three kinds.
     """
 
     def __init__(self, page: str) -> None:
-        self.tag, self.parent, self.path, self.keep, self.soft = [""], [-1], [0], [True], [-1]
+        self.tag, self.parent, self.path, self.keep, self.kind, self.soft, self.firm = [""], [-1], [0], [True], [""], [-1], [-1]
         self.nodes: list[tuple[int, str, bool]] = []
         self._paths: dict[tuple[int, str], int] = {}
         #: For each tag, where its open elements are in the stack.
@@ -145,13 +158,16 @@ class Page:
     def _add(self, stack: list[int], tag: str, attrs: str) -> None:
         up, e = stack[-1], len(self.tag)
         self._open[tag].append(len(stack))
-        own = _kept(tag, attrs, bool(self._open["article"] or self._open["main"])) if self.keep[up] else False
+        own = _kept(tag, attrs, bool(self._open["article"] or self._open["main"])) if self.keep[up] else None
         self.tag.append(tag)
         self.parent.append(up)
         # inline steps don't make a path of their own
         self.path.append(self.path[up] if tag in INLINE else self._paths.setdefault((self.path[up], tag), len(self._paths) + 1))
-        self.keep.append(own is not False)
-        self.soft.append(e if own is None else -1 if tag in ARTICLES else self.soft[up])
+        self.keep.append(own is not None)
+        self.kind.append(own or "")
+        self.firm.append(e if own in FIRM else self.firm[up])
+        # an article in a side of the layout is one all the same
+        self.soft.append(e if own else self.firm[up] if tag in ARTICLES else self.soft[up])
         stack.append(e)
 
     def sums(self, weight: dict[int, int]) -> list[int]:
@@ -168,41 +184,96 @@ class Page:
             out.append(e in chosen or up >= 0 and out[up])
         return out
 
-    def rescued(self) -> list[bool]:
-        """Whether each element's text may be the article's.
+    def holders(self, tags: frozenset) -> list[int]:
+        """For each element the innermost one around it, or itself, that has none of these tags."""
+        out = [0]
+        for e in range(1, len(self.tag)):
+            out.append(out[self.parent[e]] if self.tag[e] in tags else e)
+        return out
+
+    def admitted(self, content: set[int], params: HtmlParams) -> list[bool]:
+        """Whether each element's text may be the article's, by the content that elements of a kind hold."""
+        if not any(self.kind):
+            return self.keep
+        own: dict[int, int] = defaultdict(int)
+        for k, (e, text, _) in enumerate(self.nodes):
+            if self.keep[e] and (k in content or not content):
+                own[e] += len(text.strip())
+        held, inside = self.sums(own), self.under({e for e, t in enumerate(self.tag) if t in ARTICLES})
+        by_firm: dict[int, int] = defaultdict(int)
+        found: set[int] = set()
+        for e, n in own.items():
+            by_firm[self.firm[e]] += n
+            if inside[e] and n:
+                found.add(self.firm[e])
+        passed = self._passed(own, held, inside, params)
+        plain = sum(by_firm[e] for e in passed)
+        articles = self.sums({e: 1 for e, t in enumerate(self.tag) if t in ARTICLES})
+        firm = sorted((e for e, s in enumerate(self.firm) if s == e and self.kind[e] != "chapter" and e not in passed), key=lambda e: (self.kind[e] == "reader", -held[e], e))
+        for e in firm:  # outer ones before those inside, which hold no more
+            # beside an article, what holds others lists them
+            other = bool(articles[e] and found & passed)
+            if held[e] > plain * (1 if articles[e] else params.most) and not other and (self.kind[e] != "reader" or not plain):
+                passed.add(e)
+                plain += by_firm[e]
+        marked = any(inside[e] and self.keep[e] and self.soft[e] in passed and not text.isspace() for e, text, _ in self.nodes)
+        return self._open_to(passed, own, held, marked)
+
+    def _passed(self, own: dict[int, int], held: list[int], inside: list[bool], params: HtmlParams) -> set[int]:
+        """-1 and the chapters of articles: content paths lead from them to paragraphs, without an element for each comment."""
+        out, direct, holder = {-1}, [0] * len(self.tag), self.holders(PROSE)
+        for e, n in own.items():
+            direct[holder[e]] += n
+        for e, kind in enumerate(self.kind):
+            if kind != "chapter":
+                continue
+            if inside[e] and direct[e] and direct[e] >= (1 - params.least) * held[e]:
+                out.add(e)
+            else:
+                self.kind[e] = "reader"
+        return out
+
+    def _open_to(self, passed: set[int], own: dict[int, int], held: list[int], marked: bool) -> list[bool]:
+        """``keep``, without what lies in an element of a kind that doesn't pass.
 
-        Without an article or main element, sides of the layout that hold most
-        of the text are let in.
+        Without an article or main element, sides of the layout that hold most of
+        the content pass; headers do if they and the content have one parent.
         """
+        direct, holder = [0] * len(self.tag), self.holders(TEXTUAL - {"header"})
         size: dict[int, int] = defaultdict(int)
-        for e, text, _ in self.nodes:
-            if self.keep[e]:
-                size[self.soft[e]] += len(text.strip())
-        let_in, plain = {-1}, size[-1]
-        inside = self.under({e for e, t in enumerate(self.tag) if t in ARTICLES})
-        marked = any(inside[e] and self.keep[e] and not text.isspace() for e, text, _ in self.nodes)
-        for e in [e for e, s in enumerate(self.soft) if s == e and not marked]:  # outer ones first
-            if self.soft[self.parent[e]] in let_in and size[e] > plain:
-                let_in.add(e)
-                plain += size[e]
-        return [k and s in let_in for k, s in zip(self.keep, self.soft)]
-
-
-def _kept(tag: str, attrs: str, in_article: bool) -> bool | None:
-    """Whether an element's text may be the article's; None for what only looks like a layout's side."""
-    if tag in NEVER:
-        return False
-    if tag in HEADER:
-        return tag == "header" and in_article
-    keep: bool | None = None if tag == "form" else True
+        for e, n in own.items():
+            direct[holder[e]] += n
+            size[self.soft[e]] += n
+        open_, plain = {-1}, sum(size[e] for e in passed)
+        for e, kind in enumerate(self.kind):
+            if not kind or self.soft[self.parent[e]] not in open_:
+                continue
+            up = self.parent[e]
+            if kind == "side":
+                ok = not marked and held[e] > plain
+                plain += size[e] if ok else 0
+            elif kind == "header":
+                ok = self.tag[up] not in ("", "html", "body") and 2 * direct[up] > held[up] - held[e]
+            else:
+                ok = e in passed
+            if ok:
+                open_.add(e)
+        return [k and s in open_ for k, s in zip(self.keep, self.soft)]
+
+
+def _kept(tag: str, attrs: str, in_article: bool) -> str | None:
+    """What an element looks like by its tag and attributes (as Page.kind); None if its text is never the article's."""
+    if tag in NEVER or tag == "footer":
+        return None
+    kind = "header" if tag == "header" and not in_article else "side" if tag == "form" else ""
     if not attrs or tag in ("html", "body"):
-        return keep
+        return kind
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return False
+            return None
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return False
+            return None
         if name in ("class", "id"):
             for token in value.split():
                 words = {x.lower() for x in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", token) if x}
@@ -211,19 +282,23 @@ def _kept(tag: str, attrs: str, in_article: bool) -> bool | None:
                 if not marks or words & STATES or tag in ARTICLES and words - MARKS:
                     continue
                 if marks - LAYOUT:
-                    return False
-                if tag not in ARTICLES:
-                    keep = None
-    return keep
+                    found = "chapter" if tag == "section" and marks <= CHAPTERS else "reader" if marks & READERS else "mark"
+                    kind = found if kind not in FIRM or found == "reader" else kind
+                elif tag not in ARTICLES and kind not in FIRM:
+                    kind = "side"
+    return kind
 
 
 def main_text(page: str | None, params: HtmlParams = HtmlParams()) -> str:
     if not page:
         return ""
     p = Page(page)
-    may = p.rescued()
-    kept = [k for k, (e, t, _) in enumerate(p.nodes) if may[e] and not t.isspace()]
+    kept = [k for k, (e, t, _) in enumerate(p.nodes) if p.keep[e] and not t.isspace()]
     content = _content(p, kept, params)
+    may = p.admitted(content, params)
+    if may is not p.keep:
+        kept = [k for k in kept if may[p.nodes[k][0]]]
+        content = _content(p, kept, params)
     wanted = _wanted(p, content, params) if content else [True] * len(p.tag)
     out: list[str] = []
     block: list[str] = []
@@ -276,10 +351,9 @@ def _wanted(p: Page, content: set[int], params: HtmlParams) -> list[bool]:
         return p.under(set(outer))
     # the element around each content block
     direct: dict[int, int] = defaultdict(int)
+    holder = p.holders(TEXTUAL)
     for e, n in weight.items():
-        while e and p.tag[e] in TEXTUAL:
-            e = p.parent[e]
-        direct[e] += n
+        direct[holder[e]] += n
     most = max(direct.values())
     chosen = {e for e, n in direct.items() if n >= params.least * most}
     # smoothing lets scraps beside long texts pass; alone, only sentences count
