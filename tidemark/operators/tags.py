@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as x
-from tidemark.functions.grouping import distinct_apart
+from tidemark.functions.grouping import count_apart, mean_of, quantile_apart
 
 SENTINELS = ("uncategorized", "no-tags", "unknown")
 
@@ -68,8 +68,17 @@ def tag_power(metrics: DataFrame, top: int = 30) -> DataFrame:
 
 def tag_history(golden: DataFrame, sentinels: tuple[str, ...] = SENTINELS, min_count: int = 10) -> DataFrame:
     """Figures of each tag and category."""
-    rows = golden.select("category_title", "channel_title", "trending_full_date", "views", "likes", "comment_count", F.explode("tags_list").alias("tag")).filter(~F.col("tag").isin(*sentinels))
-    return _figures(rows, ["tag", "category_title"]).filter(F.col("usage_count") >= min_count)
+    return _figures(_tagged(golden, sentinels), ["tag", "category_title"]).filter(F.col("usage_count") >= min_count)
+
+
+def tag_averages(golden: DataFrame, sentinels: tuple[str, ...] = SENTINELS, min_count: int = 10) -> DataFrame:
+    """The averages of ``tag_history`` alone, which take one aggregation."""
+    by = _tagged(golden, sentinels).groupBy("tag", "category_title").agg(F.count("*").alias("usage_count"), *[F.avg(c).alias(name) for name, c in _averages().items()])
+    return by.filter(F.col("usage_count") >= min_count)
+
+
+def _tagged(golden: DataFrame, sentinels: tuple[str, ...]) -> DataFrame:
+    return golden.select("category_title", "channel_title", "trending_full_date", "views", "likes", "comment_count", F.explode("tags_list").alias("tag")).filter(~F.col("tag").isin(*sentinels))
 
 
 def tag_pair_history(golden: DataFrame, sentinels: tuple[str, ...] = SENTINELS, min_count: int = 5) -> DataFrame:
@@ -79,13 +88,11 @@ def tag_pair_history(golden: DataFrame, sentinels: tuple[str, ...] = SENTINELS,
     return _figures(rows, ["tag1", "tag2", "category_title"]).filter(F.col("usage_count") >= min_count)
 
 
+def _averages() -> dict[str, Column]:
+    return {"avg_views": F.col("views"), "avg_likes": F.col("likes"), "avg_like_rate": x.ratio("likes", "views"), "avg_comment_rate": x.ratio("comment_count", "views")}
+
+
 def _figures(rows: DataFrame, keys: list[str]) -> DataFrame:
-    aggs = (
-        F.count("*").alias("usage_count"),
-        F.avg("views").alias("avg_views"),
-        F.avg("likes").alias("avg_likes"),
-        F.avg(x.ratio("likes", "views")).alias("avg_like_rate"),
-        F.avg(x.ratio("comment_count", "views")).alias("avg_comment_rate"),
-        F.percentile_approx("views", 0.9).alias("p90_views"),
-    )
-    return distinct_apart(rows, keys, aggs, {"unique_channels": "channel_title", "trending_days": "trending_full_date"})
+    q = quantile_apart(rows, keys, "views", 0.9, "p90_views", _averages())
+    out = q.select(*keys, F.col("_n").alias("usage_count"), *[mean_of(name).alias(name) for name in _averages()], "p90_views")
+    return count_apart(out, rows, keys, {"unique_channels": "channel_title", "trending_days": "trending_full_date"})

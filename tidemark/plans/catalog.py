@@ -21,6 +21,16 @@ def _golden(f: Callable[[DataFrame], DataFrame], description: bool = False) -> C
     return lambda spark, sf_dir: f(adapters.golden(spark, sf_dir, description))
 
 
+def _kept(f: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The same for reports that read the golden relation several times: the columns they need are worked out and stored once."""
+    return lambda spark, sf_dir: f(_store(spark, adapters.golden(spark, sf_dir).select(*columns), scratch(spark)))
+
+
+def _store(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    io.write(df, f"{folder}/golden")
+    return io.read(spark, f"{folder}/golden")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
@@ -218,6 +228,8 @@ def _s3(finish):
     return _streamed(lambda f: trends.channel_agg(f, DAY, DELAY), lambda s, h: finish(trends.channel_anomaly(s, h)), ["window", "channel_title"], {"h": history.channel_history})
 
 
+_TAGGED_COLUMNS = ("category_title", "channel_title", "trending_full_date", "views", "likes", "comment_count", "tags_list")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b1_daily_views": _golden(reports.daily_views),
     "b2_channel_engagement": _golden(reports.channel_engagement),
@@ -239,10 +251,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "h1_category_history": _golden(lambda g: history.category_history(reports.daily_views(g), exact=True)),
     "h1_engagement_history": _golden(lambda g: history.engagement_history(reports.channel_engagement(g), exact=True)),
     "h2_channel_history": _golden(lambda g: history.channel_history(g, "full")),
-    "h2_category_benchmarks": _golden(history.category_benchmarks),
+    "h2_category_benchmarks": _kept(history.category_benchmarks, "category_title", "region", "views", "likes"),
     "h3_channel_intelligence": _golden(history.channel_intelligence),
-    "h4_tag_history": _golden(tags.tag_history),
-    "h4_tag_pairs": _golden(tags.tag_pair_history),
+    "h4_tag_history": _kept(tags.tag_history, *_TAGGED_COLUMNS),
+    "h4_tag_pairs": _kept(tags.tag_pair_history, *_TAGGED_COLUMNS),
     "h1_category_history_merged": _kept_up(lambda g: daily.daily_partials(g, "month"), lambda d, g: _with_count_error(daily.category_history(d), g.filter("assignable"), ["category_title"], "hist_channels", "channel_title")),
     "h2_channel_history_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: daily.channel_history(d)),
     "h2_category_benchmarks_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: _with_rank_error(daily.category_benchmarks(d), g, ["category_title", "region"], "top_10_percent_threshold", 0.9)),
