@@ -42,3 +42,11 @@ def test_approximate_counts(spark):
     g = adapters.golden(spark, SF)
     exact, near = ({r["category_title"]: r["hist_channels"] for r in history.engagement_history(reports.channel_engagement(g), exact=e).collect()} for e in (True, False))
     assert set(exact) == set(near) and all(abs(near[k] - n) <= 0.15 * n for k, n in exact.items())
+
+
+def test_message_files_hold_their_texts_packed(spark, tmp_path):
+    stream = catalog._messages(spark, str(tmp_path), SF, adapters.events, "timestamp long, source string, data struct<description string>")
+    assert stream.isStreaming
+    back = spark.read.parquet(f"{tmp_path}/in")
+    size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    assert back.count() == adapters.events(spark, SF).count() and size < back.selectExpr("sum(octet_length(value))").first()[0] / 2

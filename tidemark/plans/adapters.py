@@ -27,13 +27,9 @@ def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataF
     """
     t = lambda name: table(spark, sf_dir, name)
     big = lambda e: F.floor(e).cast("bigint")
-    df = (
-        t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
+    # orders meet their customers before their line items, which so move twice and narrow the first time
+    owners = t("orders").join(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    df = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     published = F.col("o_orderdate").cast("date")
     cols = {
         "video_id": F.concat(F.lit("v"), F.col("l_orderkey").cast("string")),
@@ -80,15 +76,18 @@ golden AS (
 )"""
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Event rows as the data of trending messages, with ``timestamp`` in epoch seconds.
 
     Four neighbouring events are of one video, and each has a document's whole
     text as its description. One in forty has many views, as beside history.
+    ``parts`` deals the events out before they get their texts, which are many
+    times their size, and puts those of one text side by side, so that they pack well.
     """
     t = lambda name: table(spark, sf_dir, name)
     texts = t("documents").select(F.col("doc_id").alias("_d"), "text", "lang")
-    df = t("events").join(t("customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("user_id") == F.col("c_custkey")).join(texts, F.col("event_id") % _number(texts) == F.col("_d"))
+    df = t("events").join(t("customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("user_id") == F.col("c_custkey")).withColumn("_key", F.col("event_id") % _number(texts))
+    df = (df.repartition(parts, "_key").sortWithinPartitions("_key") if parts else df).join(texts, F.col("_key") == F.col("_d"))
     k = F.get_json_object("props", "$.k").cast("int")
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
     e = F.col("event_id")
@@ -124,9 +123,9 @@ messages AS (
 )"""
 
 
-def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+def details(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Event rows as the data of details messages: plain digits as text, flags and countries."""
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, parts)
     return e.select(
         "timestamp", F.col("videoId").alias("id"), "title", x.duration_seconds("lengthText").cast("string").alias("lengthSeconds"), F.col("channelTitle").alias("channelId"), "channelTitle", "description",
         (F.col("type") == "view").alias("isLiveContent"), F.lit(True).alias("allowRatings"), F.regexp_replace("viewCount", "[^0-9]", "").alias("viewCount"), "likeCount", F.array(F.lit("US"), F.lit("CA")).alias("availableCountries"), "category",

@@ -45,37 +45,48 @@ def scratch(spark: SparkSession) -> str:
 DELAY = "100 days"
 #: Files of one micro-batch.
 FILES = 16
+#: Messages of one file, about, and how files are packed.
+FILE_ROWS = 200_000
+PACKED = {"compression": "zstd"}
 #: Epochs of a state that are folded into a snapshot.
 EPOCHS = 3
 
 
-def _messages(spark: SparkSession, folder: str, data: DataFrame, schema) -> DataFrame:
-    """Data written as message files, and the stream that reads them."""
-    io.to_envelope(data, "test", "timestamp").write.text(f"{folder}/in")
-    return io.read_stream(spark, "text", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
+def _messages(spark: SparkSession, folder: str, sf_dir: str, make, schema) -> DataFrame:
+    """The messages that ``make`` (an adapter) gives written as files, and the stream that reads them.
+
+    They repeat whole texts, so they are packed, with those of one text side by
+    side; their files are as many as their number asks for.
+    """
+    parts = max(FILES, -(-adapters.table(spark, sf_dir, "events").count() // FILE_ROWS))
+    io.to_envelope(make(spark, sf_dir, parts), "test", "timestamp").write.options(**PACKED).parquet(f"{folder}/in")
+    return io.read_stream(spark, "parquet", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
 
 
-def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None, columns: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
     """A query that runs a stream to its end and makes its report from the last state of each key.
 
     ``prepare`` makes the streaming aggregate of the features; ``past``, from
     the golden relation, is worked out and stored once, before the stream
     starts; ``outputs`` (micro-batch, past) are written for each micro-batch,
     of which the first is the state; ``finish`` (state, past) is the report, of
-    the state or of what still holds of another ``output``.
+    the state or of what still holds of another ``output``. ``columns`` of the
+    golden relation are stored, where several passes of ``past`` read them.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch(spark)
-        golden = adapters.golden(spark, sf_dir)
+        golden = adapters.golden(spark, sf_dir) if past else None
+        if columns:
+            golden = _store(spark, golden.select(*columns), folder)
         kept = {}
         for name, make in (past or {}).items():
             io.write(make(golden), f"{folder}/{name}")
             kept[name] = io.read(spark, f"{folder}/{name}")
         if details:
-            features = trends.details_features(_messages(spark, folder, adapters.details(spark, sf_dir), trends.DETAILS))
+            features = trends.details_features(_messages(spark, folder, sf_dir, adapters.details, trends.DETAILS))
         else:
-            features = trends.trending_features(_messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE))
+            features = trends.trending_features(_messages(spark, folder, sf_dir, adapters.events, trends.MESSAGE))
         stream = prepare(features)
         written = {name: (lambda b, f=f: f(b, **kept)) for name, f in (outputs or {"state": lambda b, **_: b}).items()}
         first, f = next(iter(written.items()))
@@ -146,7 +157,7 @@ def dq_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each message that the stream passes on, which is one for each video."""
     folder = scratch(spark)
-    rows = _messages(spark, folder, adapters.events(spark, sf_dir), trends.MESSAGE).select(F.col("data.videoId").alias("video_id"), "ts")
+    rows = _messages(spark, folder, sf_dir, adapters.events, trends.MESSAGE).select(F.col("data.videoId").alias("video_id"), "ts")
     with io.settings(spark, seen.ROCKSDB):
         stream = seen.unseen(rows, "video_id", DELAY, limit=1_000_000)
         query = runner.run(stream, {"out": lambda b: b}, folder, f"{folder}/checkpoint", mode="append")
@@ -175,16 +186,18 @@ _S2_HISTORY = {
 RANK_ERROR, COUNT_ERROR = 0.03, 0.05
 
 
-def _kept_up(make, finish, of=lambda g: g):
+def _kept_up(make, finish, of=lambda g: g, columns=("channel_title", "category_title", "region", "trending_full_date", "views", "likes", "comment_count")):
     """A history from a stored table: all months before that of the last order at first, then the others alone, as new days come in.
 
     ``make`` gives the figures of some of the rows, ``finish`` (store, rows) the
-    report; ``of`` makes the rows from the golden relation.
+    report; ``of`` makes the rows from the golden relation, whose ``columns``
+    are worked out and stored once, since each part and the check of errors reads them.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{scratch(spark)}/history"
-        rows = of(adapters.golden(spark, sf_dir))
+        folder = scratch(spark)
+        path = f"{folder}/history"
+        rows = of(_store(spark, adapters.golden(spark, sf_dir).select(*columns), folder))
         last = adapters.table(spark, sf_dir, "orders").agg(F.trunc(F.max("o_orderdate").cast("date"), "MM")).first()[0]
         for new in (F.col("trending_full_date") < F.lit(last), F.col("trending_full_date") >= F.lit(last)):
             daily.add(make(rows.filter(new)), path)
@@ -220,7 +233,7 @@ def _s1(finish, output: str | None = None):
 def _s2(finish, output: str | None = None):
     return _streamed(
         lambda f: trends.category_agg(f, DAY, "12 hours", DELAY), lambda s, cats, eng: finish(s), ["window", "category"], _S2_HISTORY,
-        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng), keys=["window"])}, details=True, output=output,
+        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng), keys=["window"])}, details=True, output=output, columns=("category_title", "region", "channel_title", "trending_full_date", "comments_disabled", "assignable", "views", "likes", "dislikes", "comment_count"),
     )
 
 
@@ -255,13 +268,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "h3_channel_intelligence": _golden(history.channel_intelligence),
     "h4_tag_history": _kept(tags.tag_history, *_TAGGED_COLUMNS),
     "h4_tag_pairs": _kept(tags.tag_pair_history, *_TAGGED_COLUMNS),
-    "h1_category_history_merged": _kept_up(lambda g: daily.daily_partials(g, "month"), lambda d, g: _with_count_error(daily.category_history(d), g.filter("assignable"), ["category_title"], "hist_channels", "channel_title")),
+    "h1_category_history_merged": _kept_up(lambda g: daily.daily_partials(g, "month"), lambda d, g: _with_count_error(daily.category_history(d), g.filter("assignable"), ["category_title"], "hist_channels", "channel_title"), columns=("channel_title", "category_title", "region", "trending_full_date", "comments_disabled", "assignable", "views", "comment_count")),
     "h2_channel_history_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: daily.channel_history(d)),
     "h2_category_benchmarks_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: _with_rank_error(daily.category_benchmarks(d), g, ["category_title", "region"], "top_10_percent_threshold", 0.9)),
     "h3_channel_intelligence_merged": _kept_up(lambda g: daily.partials(g, daily.CHANNELS, "month"), lambda d, g: _with_rank_error(daily.channel_intelligence(d), g, list(daily.CHANNELS.keys), "batch_p75_views", 0.75)),
     "h4_tag_history_merged": _kept_up(
         lambda t: daily.partials(t, daily.TAGS, "month"),
-        lambda d, t: _with_count_error(_with_rank_error(daily.tag_history(d), t, list(daily.TAGS.keys), "p90_views", 0.9), t, list(daily.TAGS.keys), "unique_channels", "channel_title"), daily.tag_rows,
+        lambda d, t: _with_count_error(_with_rank_error(daily.tag_history(d), t, list(daily.TAGS.keys), "p90_views", 0.9), t, list(daily.TAGS.keys), "unique_channels", "channel_title"), daily.tag_rows, _TAGGED_COLUMNS,
     ),
     "s1_dominance": _s1(lambda s: _s1_rows(s)),
     "s1_anomalies": _s1(lambda s: s.drop("window", "description_category", "content_type"), "anomalies"),
@@ -272,7 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s3_category_comparison": _streamed(
         lambda f: trends.channel_views(f, DAY, None, DELAY),
         lambda s, c, m: trends.windows_by_category(s, c, m).select("category_title", "region", "streaming_channels", F.round("category_stream_avg", 2).alias("category_stream_avg"), "category_avg_views", "category_performance_vs_batch"),
-        ["window", "channel_title"], {"c": lambda g: history.channel_history(g, "full"), "m": history.category_benchmarks},
+        ["window", "channel_title"], {"c": lambda g: history.channel_history(g, "full"), "m": history.category_benchmarks}, columns=("channel_title", "category_title", "region", "trending_full_date", "views", "likes", "comment_count"),
     ),
     "s4_title_strategy": _streamed(
         lambda f: trends.title_agg(trends.title_features(f), DAY, DELAY),
@@ -282,7 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s5_tag_momentum": _streamed(
         lambda f: trends.tag_channels(trends.tag_features(f), DAY, DELAY),
         lambda s, h: _start(trends.momentum_vs_history(trends.momentum_of(s), h)).select("start", "current_tag", "current_usage", "current_avg_views", "current_total_views", "channels_using_tag", F.round("tag_momentum_score", 4).alias("tag_momentum_score"), "change_pct", "trend_status"),
-        ["window", "current_tag", "channel_title"], {"h": tags.tag_history},
+        ["window", "current_tag", "channel_title"], {"h": tags.tag_averages},
     ),
     "s5_tag_combinations": _streamed(lambda f: trends.tag_combinations(trends.tag_features(f), size=DAY, watermark=DELAY), _start, ["window", "tag_combo"]),
     "s5_channel_tagging": _streamed(lambda f: trends.channel_tagging(trends.tag_features(f), DAY, DELAY), _start, ["window", "channel_title"]),
