@@ -84,3 +84,18 @@ def test_small_shards_and_parts(spark):
     assert set(got) == set(want)
     hit = sum(len({i for _, i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
     assert hit >= 0.97 * 20 * len(want) and all(abs(s - x[q].astype(float) @ x[i]) < 1e-9 for q in got for _, i, s in got[q])
+
+
+def test_vectors_whose_squares_overflow_and_long_ones_among_short(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(1200, 16)) * (rng.pareto(1.2, size=(1200, 1)) + 0.01) * 1e22).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 1200, 20):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.95 * 60 * 20

@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
-``fit`` learns coarse centroids and residual codebooks from a bounded sample,
-and picks the number of probed lists at which the sample's own neighbours are
-found. Every vector is then indexed under its centroid with the codes of its
+``fit`` learns coarse centroids and residual codebooks from a bounded sample
+with the longest vectors among it. ``calibrated`` then searches some of the
+queries by brute force over all vectors and takes as many probed lists and
+reranked candidates as their true neighbours need, whatever the distribution. Every vector is then indexed under its centroid with the codes of its
 residual. Lists are packed into shards of bounded size, and a query goes once
 to each shard that holds a list it probes. There its lists are scanned by
 asymmetric distance tables, the best candidates are reranked by exact products
@@ -28,7 +29,7 @@ smaller id; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,9 @@ class AnnParams:
     rerank: int = 12
     #: Recall on the sample from which the number of probed lists is taken.
     recall: float = 0.985
+    #: The longest vectors that the sample holds besides, and the queries that are searched by brute force.
+    longest: int = 1000
+    tried: int = 64
     #: Entries of a shard, and queries of a part of a shard, at most, about.
     shard: int = 16_384
     part: int = 20_000
@@ -64,6 +68,11 @@ class Index:
     fine: np.ndarray  # of what the coarse centroid leaves; one row of zeros without a second level
     books: np.ndarray  # subvector, code, dimension
     probes: int
+    scale: float = 1.0  # by which vectors are divided, so that squares stay finite
+    reranked: int = 0  # candidates of each query and shard, at least
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.float64) / self.scale).astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.coarse) * len(self.fine)
@@ -134,6 +143,53 @@ def fit(x: np.ndarray, n: int, params: AnnParams) -> Index:
     return Index(coarse, fine, books, probes)
 
 
+def _unit(q: np.ndarray) -> np.ndarray:
+    """Queries of greatest component 1, which have the same neighbours."""
+    q = q.astype(np.float64)
+    return (q / np.abs(q).max(axis=1, keepdims=True)).astype(np.float32)
+
+
+def _estimates(index: Index, batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+    """The products of a batch of entries, as their lists and codes have them, with each query."""
+    code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    near = index.centroid(batch.column(0).to_numpy()) + index.books[np.arange(len(index.books)), code].reshape(batch.num_rows, -1)
+    return near @ _unit(q).T
+
+
+def calibrated(index: Index, entries: DataFrame, q: np.ndarray, params: AnnParams) -> Index:
+    """The index with the probes and candidates that the true neighbours of the queries q need, found by brute force over all entries."""
+    k = params.k + 1
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = _matrix(b.column(3)).astype(np.float64) @ q.astype(np.float64).T
+                top = np.argpartition(-s, min(k, len(s)) - 1, axis=0)[:k]
+                one = np.tile(np.arange(len(q)), (len(top), 1))
+                near = _estimates(index, b, q)
+                yield pa.RecordBatch.from_arrays([pa.array(one.ravel(), pa.int32()), pa.array(-s[top, one].ravel()), pa.array(near[top, one].ravel().astype(np.float64)), b.column(0).take(pa.array(top.ravel()))], names=["one", "away", "near", "list"])
+
+    found = entries.mapInArrow(best, "one int, away double, near double, list int")
+    # k rows of each of the tried queries
+    found = found.groupBy("one").agg(F.slice(F.array_sort(F.collect_list(F.struct("away", "near", "list"))), 1, k).alias("b")).select("one", F.inline("b")).toArrow()
+    one, near, lists = (found.column(c).to_numpy() for c in ("one", "near", "list"))
+    s = index.products(_unit(q))
+    depth = np.array([(s[o] > s[o, at]).sum() for o, at in zip(one, lists)])
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(one), np.int64)
+        for b in batches:
+            if b.num_rows:
+                e = np.sort(_estimates(index, b, q), axis=0)
+                for o in range(len(q)):
+                    n[one == o] += len(e) - np.searchsorted(e[:, o], near[one == o], "right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(one)), pa.int32()), pa.array(n)], names=["at", "n"])
+
+    ahead = entries.mapInArrow(beyond, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().column("n").to_numpy()
+    deep = lambda n: int(np.quantile(n, params.recall, method="higher")) + 1
+    return replace(index, probes=min(len(index), max(index.probes, deep(depth))), reranked=deep(ahead))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column whose rows have one length as a matrix."""
     if not len(column):
@@ -176,15 +232,17 @@ class Shard:
 
     def search(self, q: np.ndarray, probed: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(scores, classes) of each query's k + 1 best, best first; probed has the lists that each query scans."""
-        step = max(1, min(128, (1 << 21) // len(self.cls)))  # bounds the sums held at once
+        kept = min(len(self.cls), max((self.p.k + 1) * self.p.rerank, self.ix.reranked))
+        step = max(1, min(128, (1 << 21) // len(self.cls), (1 << 22) // (kept * q.shape[1])))  # bounds the sums and products held at once
         for at in range(0, len(q), step):
             yield from self._some(q[at : at + step], probed[at : at + step])
 
     def _some(self, q: np.ndarray, probed: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        books, keep, best = self.ix.books, (self.p.k + 1) * self.p.rerank, self.p.k + 1
+        books, keep, best = self.ix.books, max((self.p.k + 1) * self.p.rerank, self.ix.reranked), self.p.k + 1
+        scaled = _unit(q)
         near = np.full((len(q), len(self.cls)), -np.inf, np.float32)
-        tables = np.einsum("qjd,jcd->qjc", q.reshape(len(q), len(books), -1), books).transpose(1, 0, 2)
-        first = q @ self.centroids.T
+        tables = np.einsum("qjd,jcd->qjc", scaled.reshape(len(q), len(books), -1), books).transpose(1, 0, 2)
+        first = scaled @ self.centroids.T
         for k, one in enumerate(self.lists):
             rows = np.flatnonzero([one in p for p in probed])
             if not len(rows):
@@ -226,14 +284,19 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> Dat
     sample = classes.filter(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1_000_000)) < max(1, round(part * 1_000_000))).select("cls", "embedding").toArrow()  # bounded by max_sample
     if not sample.num_rows:
         sample = classes.select("cls", "embedding").limit(1000).toArrow()
-    sample = sample.sort_by("cls")
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    longest = classes.orderBy(F.desc(length), "cls").limit(params.longest).select("cls", "embedding").toArrow()
+    sample = pa.concat_tables([sample, longest])
+    sample = sample.take(np.unique(sample.column("cls").to_numpy(), return_index=True)[1])
+    x = _matrix(sample.column("embedding").combine_chunks())
+    scale = float(np.abs(x.astype(np.float64)).max())
     # of fixed size: the centroids of both levels and the codebooks
-    sent = spark.sparkContext.broadcast(fit(_matrix(sample.column("embedding").combine_chunks()).astype(np.float32), n, params))
+    sent = spark.sparkContext.broadcast(replace(fit((x.astype(np.float64) / scale).astype(np.float32), n, params), scale=scale))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(1)).astype(np.float32)
+                x = sent.value.scaled(_matrix(b.column(1)))
                 at = sent.value.lists(x)
                 code = sent.value.encode(x, at)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), b.column(1)], names=["list", "id", "code", "x"])
@@ -241,11 +304,15 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> Dat
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = sent.value.probed(_matrix(b.column(1)).astype(np.float32))
+                at = tuned.value.probed(_unit(_matrix(b.column(1))))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "x", "lists"])
 
     index = stored(classes.select("cls", "embedding").mapInArrow(entries, "list int, id long, code binary, x array<float>"))
+    tried = asked.orderBy(F.xxhash64("q", F.lit(7)), "q").limit(params.tried).toArrow()
+    if not tried.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tuned = spark.sparkContext.broadcast(calibrated(sent.value, index, _matrix(tried.column("embedding").combine_chunks()), params))
     probing = stored(asked.mapInArrow(probes, "id long, x array<float>, lists array<int>"))
     # one row for each list, of which the index has a bounded number
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -277,7 +344,7 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams()) -> Dat
                 if shard is None:
                     t = pa.Table.from_batches(held).combine_chunks()
                     code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-                    shard, held = Shard(sent.value, t.column("list").to_numpy(), t.column("id").to_numpy(), code, _matrix(t.column("x").combine_chunks()), params), []
+                    shard, held = Shard(tuned.value, t.column("list").to_numpy(), t.column("id").to_numpy(), code, _matrix(t.column("x").combine_chunks()), params), []
                 found = list(shard.search(_matrix(rows.column("x")), [np.array(p) for p in rows.column("lists").to_pylist()]))
                 ends = np.cumsum([0, *(len(s) for s, _ in found)])
                 best = pa.StructArray.from_arrays([pa.array(-np.concatenate([s for s, _ in found])), pa.array(np.concatenate([c for _, c in found]))], names=["away", "cls"])
