@@ -50,3 +50,17 @@ def test_message_files_hold_their_texts_packed(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/in")
     size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
     assert back.count() == adapters.events(spark, SF).count() and size < back.selectExpr("sum(octet_length(value))").first()[0] / 2
+
+
+def test_messages_of_one_text_lie_side_by_side(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("64m", "-1"):  # with the texts small enough to be broadcast, or not
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            catalog._messages(spark, f"{tmp_path}/{limit}", SF, adapters.events, "timestamp long")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        files = list((tmp_path / limit / "in").glob("*.parquet"))
+        rows = spark.read.parquet(f"{tmp_path}/{limit}/in").selectExpr("_metadata.file_name AS f", "get_json_object(value, '$.data.description') AS d").collect()
+        runs = sum(i == 0 or r != rows[i - 1] for i, r in enumerate(rows))
+        assert files and runs == len(set(rows))

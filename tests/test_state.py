@@ -83,3 +83,19 @@ def test_stream_folds_its_epochs_and_second_output_holds_still(spark, tmp_path):
     rows = runner.state(spark, f"{tmp_path}/all", KEYS, stream.schema, epoch=True)
     assert {r["k"]: r["v"] for r in rows.collect()} == {"a": 60, "b0": 24, "b1": 24}
     assert {r["k"]: r["v"] for r in runner.current(spark, f"{tmp_path}/some", KEYS, stream.schema, rows).collect()} == {"b0": 24, "b1": 24}
+
+
+def test_epochs_are_folded_once_they_hold_as_much_as_the_snapshot(spark, tmp_path):
+    path = str(tmp_path)
+    due = []
+    for n in range(5):
+        # the first epoch is many times as large as those after it
+        epoch(spark, path, n, [(f"k{n}-{i}-{i * 7919 % 10007}", i) for i in range(20_000 if n == 0 else 10)])
+        due.append(runner._due(spark, path, 1))
+        if n == 1:
+            runner.compact(spark, path, KEYS)
+    assert due == [False, True, False, False, False]
+    epoch(spark, path, 5, [(f"k5-{i}-{i * 7919 % 10007}", i) for i in range(40_000)])
+    assert not runner._due(spark, path, 1)  # the newest isn't folded
+    epoch(spark, path, 6, [("k", 1)])
+    assert runner._due(spark, path, 1) and runner.compact(spark, path, KEYS) == 5 and len(read(spark, path)) == 60_041

@@ -38,24 +38,27 @@ def run(
     ``outputs`` are functions of the micro-batch, which is kept while they are
     written. Without ``every`` all there is to read is processed, then it ends.
     ``compacted`` names outputs by their keys whose closed epochs are folded
-    into a snapshot whenever so many have gathered. ``past`` names tables in
+    into a snapshot whenever so many have gathered and they hold as much as the
+    snapshot before, so that folding moves but a few times what epochs write.
+    ``past`` names tables in
     versions by their paths, which outputs take as arguments: each micro-batch
     reads the newest, so that what is published takes effect without a restart,
     and its epoch keeps the numbers, so that a replay reads the same ones.
     """
 
     def process(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
         spark = batch.sparkSession
-        used = _pinned(spark, folder, epoch, past) if past else {}
-        tables = {name: versions.read(spark, past[name], n) for name, n in used.items()}
         with io.cached(batch) as kept:
+            # asked of what is kept, since a micro-batch that is worked out again does its state's work again
+            if kept.isEmpty():
+                return
+            used = _pinned(spark, folder, epoch, past) if past else {}
+            tables = {name: versions.read(spark, past[name], n) for name, n in used.items()}
             for name, output in outputs.items():
                 io.write_epoch(output(kept, **tables), f"{folder}/{name}", epoch)
         for name, keys in (compacted or {}).items():
-            if len(_parts(batch.sparkSession, f"{folder}/{name}")[1]) > epochs:
-                compact(batch.sparkSession, f"{folder}/{name}", keys)
+            if _due(spark, f"{folder}/{name}", epochs):
+                compact(spark, f"{folder}/{name}", keys)
 
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(process)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
@@ -105,6 +108,15 @@ def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
     return snapshot, [n for n in _numbered(spark, path, "epoch") if snapshot is None or n > snapshot]
 
 
+def _due(spark: SparkSession, path: str, most: int) -> bool:
+    """Whether more than so many epochs have gathered and those to be folded have the snapshot's size at least."""
+    snapshot, epochs = _parts(spark, path)
+    if len(epochs) <= most:
+        return False
+    size = lambda p: (lambda fs, q: fs.getContentSummary(q).getLength())(*_folder(spark, f"{path}/{p}"))
+    return snapshot is None or sum(size(f"epoch={n}") for n in epochs[:-1]) >= size(f"{SNAPSHOTS}/upto={snapshot}")
+
+
 def _last(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, snapshot: int | None, epochs: list[int]) -> DataFrame:
     """The last row of each key in a snapshot and some epochs, with its epoch."""
     full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
