@@ -64,3 +64,9 @@ def test_messages_of_one_text_lie_side_by_side(spark, tmp_path):
         rows = spark.read.parquet(f"{tmp_path}/{limit}/in").selectExpr("_metadata.file_name AS f", "get_json_object(value, '$.data.description') AS d").collect()
         runs = sum(i == 0 or r != rows[i - 1] for i, r in enumerate(rows))
         assert files and runs == len(set(rows))
+
+
+@pytest.mark.parametrize("name", ["h2_category_benchmarks_merged", "h3_channel_intelligence_merged", "h4_tag_history_merged"])
+def test_a_report_checked_for_its_ranks_is_worked_out_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "kll_merge" not in plan

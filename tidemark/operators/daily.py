@@ -31,14 +31,15 @@ WIDE = "decimal(38,0)"
 
 @dataclass(frozen=True)
 class Grain:
-    """What a stored table has a row for, besides the period, and which columns it counts different values of."""
+    """What a stored table has a row for, besides the period, which columns it counts different values of, and whether it keeps the squares that deviations need."""
 
     keys: tuple[str, ...]
     distinct: Mapping[str, str] = field(default_factory=dict)
+    squares: bool = True
 
 
 CHANNELS = Grain(("channel_title", "category_title", "region"))
-TAGS = Grain(("tag", "category_title"), {"channels": "channel_title"})
+TAGS = Grain(("tag", "category_title"), {"channels": "channel_title"}, squares=False)
 CATEGORIES = Grain(("category_title",), {"channels": "channel_title", "regions": "region"})
 
 
@@ -54,7 +55,7 @@ def partials(rows: DataFrame, grain: Grain, unit: str = "day", day: str = "trend
         F.count("*").alias("n"),
         *[F.sum(c).alias(f"{c}_sum") for c in ("views", "likes", "comment_count")],
         *[F.count(c).alias(f"{c}_n") for c in ("views", "likes", "comment_count")],
-        F.sum(F.col("views").cast(WIDE) * F.col("views")).cast(WIDE).alias("views_squares"),
+        *([F.sum(F.col("views").cast(WIDE) * F.col("views")).cast(WIDE).alias("views_squares")] if grain.squares else []),
         F.max("views").alias("views_max"),
         F.sum(like).alias("like_rate_sum"), F.count(like).alias("like_rate_n"),
         F.sum(comment).alias("comment_rate_sum"), F.count(comment).alias("comment_rate_n"),

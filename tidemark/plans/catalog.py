@@ -207,7 +207,8 @@ def _kept_up(make, finish, of=lambda g: g, columns=("channel_title", "category_t
 
 
 def _with_rank_error(df: DataFrame, rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """df with a column that tells whether the quantile's rank is near enough, instead of the quantile."""
+    """df with a column that tells whether the quantile's rank is near enough, instead of the quantile; df is read twice and so stored."""
+    df = _store(df.sparkSession, df, scratch(df.sparkSession))
     e = daily.rank_error(rows, keys, df, value, share).select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("rank_error") <= RANK_ERROR).alias(f"{value}_within"))
     return df.join(e, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(value, *[f"_{k}" for k in keys])
 
