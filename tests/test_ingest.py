@@ -52,6 +52,18 @@ def test_reruns_skip_or_replace(spark, tmp_path, monkeypatch):
     assert views(spark, out) == {"CA": "11", "US": "20"}
 
 
+def test_listings_are_written_without_a_shuffle(spark, tmp_path):
+    listings = []
+    for n in range(3):
+        (tmp_path / str(n)).mkdir()
+        listings += [files(tmp_path / str(n), r, n)[0] for r in ("CA", "US")]
+    with io.settings(spark, {"spark.sql.files.maxPartitionBytes": "1", "spark.sql.files.openCostInBytes": "1"}):  # a task for each
+        ingest.ingest_raw(spark, listings, [], str(tmp_path / "raw"), "parquet")
+    written = [p.parent.name for p in (tmp_path / "raw").rglob("*.parquet")]
+    assert sorted(written) == ["region=CA"] * 3 + ["region=US"] * 3
+    assert sorted((r["region"], r["views"]) for r in ingest.read_raw(spark, str(tmp_path / "raw"), "videos", "parquet").collect()) == [(r, str(n)) for r in ("CA", "US") for n in range(3)]
+
+
 @pytest.mark.parametrize("name", ["t0_clean", "t1_ingest_raw"])
 def test_query_equals_its_sql(spark, name):
     assert not differences(catalog.QUERIES[name](spark, SF), catalog.SQL[name], SF)

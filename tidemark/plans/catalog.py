@@ -120,7 +120,7 @@ def t1_ingest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings and category documents as files by region, ingested, read from the raw zone and cleaned."""
     folder = scratch(spark)
     videos = adapters.raw_videos(spark, sf_dir).withColumn("file_region", F.col("region")).drop("region")
-    videos.write.partitionBy("file_region").option("header", True).option("escape", '"').csv(f"{folder}/listings")
+    io.write_parts(videos, f"{folder}/listings", "csv", ("file_region",), {"header": True, "escape": '"'})
     item = F.struct(F.col("category_id").alias("id"), F.struct("title", "assignable").alias("snippet"))
     docs = adapters.raw_categories(spark, sf_dir).groupBy(F.col("region").alias("file_region")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("value"))
     docs.write.partitionBy("file_region").text(f"{folder}/documents")

@@ -64,7 +64,8 @@ def ingest_raw(spark: SparkSession, video_paths: Sequence[str], category_paths:
     if new:
         load = f"l{uuid.uuid4().hex}"
         if videos:
-            io.write(io.read_videos(spark, list(videos), region, of=of), f"{out}/videos/load={load}", fmt, ("region",))
+            # a listing is of one region and read by one task, which writes it without a shuffle
+            io.write_parts(io.read_videos(spark, list(videos), region, of=of), f"{out}/videos/load={load}", fmt, ("region",))
         if categories:
             io.write(io.read_categories(spark, list(categories), region, of=of), f"{out}/categories/load={load}", fmt, ("region",))
         _commit(spark, out, {**old, **dict.fromkeys(new, load)})

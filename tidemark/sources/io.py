@@ -122,6 +122,16 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[st
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
+#: Folders that a task of ``write_parts`` has open at once; with more it sorts its rows.
+OPEN_FOLDERS = "16"
+
+
+def write_parts(df: DataFrame, path: str, fmt: str, partition_by: tuple[str, ...], options: dict | None = None) -> None:
+    """Write a new folder for each of few values as the rows come, without a shuffle or sort; files are as many as the tasks' values."""
+    with settings(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": OPEN_FOLDERS}):
+        df.write.format(fmt).options(**(options or {})).partitionBy(*partition_by).save(path)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None, truncate: bool = False, batch: int = 10_000) -> None:
     df.write.option("truncate", truncate).option("batchsize", batch).jdbc(url, table, mode="overwrite", properties=properties or {})
 
