@@ -70,3 +70,11 @@ def test_messages_of_one_text_lie_side_by_side(spark, tmp_path):
 def test_a_report_checked_for_its_ranks_is_worked_out_once(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "kll_merge" not in plan
+
+
+def test_line_items_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "TASK_ROWS", 500)
+    g = adapters.golden(spark, SF)
+    wide = -(-adapters.table(spark, SF, "lineitem").count() // 500)
+    assert wide > 4 and f"hashpartitioning(l_orderkey" in g._jdf.queryExecution().toString() and f", {wide})" in g._jdf.queryExecution().toString()
+    assert not differences(history.channel_history(g, "full"), catalog.SQL["h2_channel_history"], SF)

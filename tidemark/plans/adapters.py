@@ -19,6 +19,16 @@ def _number(docs: DataFrame) -> int:
     return max(1, docs.count())
 
 
+#: Line items that a task joins and groups, about, where there are more than the session's partitions take.
+TASK_ROWS = 500_000
+
+
+def _dealt(counted: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """df by a key that it is joined by, in more partitions than the session's if its rows ask for them, so that no task's memory grows with the input."""
+    parts = -(-counted.count() // TASK_ROWS)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataFrame:
     """One row for each line item; ``description`` adds the length of a document's text by a join.
 
@@ -29,7 +39,7 @@ def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataF
     big = lambda e: F.floor(e).cast("bigint")
     # orders meet their customers before their line items, which so move twice and narrow the first time
     owners = t("orders").join(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
-    df = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = _dealt(t("lineitem"), t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "l_orderkey").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     published = F.col("o_orderdate").cast("date")
     cols = {
         "video_id": F.concat(F.lit("v"), F.col("l_orderkey").cast("string")),
