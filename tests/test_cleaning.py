@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as x
 from tidemark.operators import cleaning
+from tidemark.plans import adapters
 from tidemark.sources import io
 
 
@@ -75,3 +76,9 @@ def test_sinks(spark, tmp_path):
     assert io.read_jdbc(spark, url, "report", driver, ("N", 0, 10, 2)).count() == 2
     io.register(df, "listing")
     assert spark.sql("select sum(n) from listing").first()[0] == 3
+
+
+def test_titles_are_cleaned_once(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = cleaning.clean_content(adapters.raw_videos(spark, sf), adapters.raw_categories(spark, sf)).select("video_title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\x20-\\x7E]") <= 3  # once for each branch of the cut and its condition

@@ -35,7 +35,8 @@ def clean_content(videos: DataFrame, categories: DataFrame, params: CleanParams
     cats = categories.select(*[F.trim(k).alias(f"_{k}") if k == "category_id" else F.col(k).alias(f"_{k}") for k in keys], F.col("title").alias("category_title"), F.col("assignable").cast("boolean"))
     on = [F.trim(F.col(k)) == F.col(f"_{k}") if k == "category_id" else F.col(k) == F.col(f"_{k}") for k in keys]
     # categories are a few dozen rows a region; the planner broadcasts what its size limit allows
-    df = videos.join(cats, on, "left")
+    # a cleaned title is null where the raw one is; asked here, titles are cleaned once
+    df = videos.filter(F.col("title").isNotNull()).join(cats, on, "left")
     long = lambda c: F.trim(c).try_cast("bigint")
     flag = lambda c: F.trim(c).try_cast("boolean")
     part = lambda i: F.get(F.split("trending_date", r"\."), F.lit(i))
@@ -58,7 +59,7 @@ def clean_content(videos: DataFrame, categories: DataFrame, params: CleanParams
             "publish_month": F.month("publish_date"),
             "publish_year": F.year("publish_date"),
         }
-    ).filter(F.col("video_title").isNotNull() & (F.col("views") > 0))
+    ).filter(F.col("views") > 0)
     return df.dropDuplicates(list(params.dedup_keys)) if params.dedup_keys else df
 
 
