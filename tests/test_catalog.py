@@ -1,4 +1,5 @@
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -79,3 +80,21 @@ def test_line_items_are_dealt_out_by_their_number(spark, monkeypatch):
     wide = -(-adapters.table(spark, SF, "lineitem").count() // 500)
     assert wide > 4 and f"hashpartitioning(l_orderkey" in g._jdf.queryExecution().toString() and f", {wide})" in g._jdf.queryExecution().toString()
     assert not differences(history.channel_history(g, "full"), catalog.SQL["h2_channel_history"], SF)
+
+
+@pytest.mark.parametrize("name", ["s3_channel_anomaly", "s3_channel_viral", "s3_category_comparison"])
+def test_channel_histories_of_streams_are_grouped_in_partitions_by_their_rows(spark, monkeypatch, name):
+    plans, write = [], catalog.io.write
+    monkeypatch.setattr(adapters, "TASK_ROWS", 500)
+    monkeypatch.setattr(catalog.io, "write", lambda df, path, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, path, **k))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not differences(catalog.QUERIES[name](spark, SF), catalog.SQL[name], SF)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    wide = -(-adapters.table(spark, SF, "lineitem").count() // 500)
+    dealt = [(set(re.findall(r"([a-z_]+)#", keys)), int(n)) for p in plans for keys, n in re.findall(r"hashpartitioning\((.*), (\d+)\)", p)]
+    many = ({"l_partkey"}, {"p_partkey"}, {"l_orderkey"}, {"o_orderkey"}, {"o_custkey"}, {"c_custkey"}, {"channel_title", "trending_full_date"})
+    assert all((keys, wide) in dealt for keys in many)
+    assert all(n == wide for keys, n in dealt if keys in many or "trending_full_date" in keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,23 +25,32 @@ def _number(docs: DataFrame) -> int:
 TASK_ROWS = 500_000
 
 
-def _dealt(counted: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """df by a key that it is joined by, in more partitions than the session's if its rows ask for them, so that no task's memory grows with the input."""
+def _dealing(counted: DataFrame) -> Callable[..., DataFrame]:
+    """Deals a relation out by keys that it is joined or grouped by, in more partitions than the session's if the counted rows ask for them, so that no task's memory grows with the input."""
     parts = -(-counted.count() // TASK_ROWS)
-    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    more = parts > int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lambda df, *keys: df.repartition(parts, *keys) if more and keys else df
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Stored rows, which are counted without reading them, dealt out by the columns that they are grouped by."""
+    return _dealing(rows)(rows, *keys)
 
 
-def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataFrame:
+def golden(spark: SparkSession, sf_dir: str, description: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each line item; ``description`` adds the length of a document's text by a join.
 
-    Document ids run from 0 without gaps, so that a key modulo their number
+    ``by`` deals the rows out by columns that a report groups them by, where
+    there are too many for the session's partitions. Document ids run from 0 without gaps, so that a key modulo their number
     falls on one of them; only lengths are joined, never texts.
     """
     t = lambda name: table(spark, sf_dir, name)
     big = lambda e: F.floor(e).cast("bigint")
-    # orders meet their customers before their line items, which so move twice and narrow the first time
-    owners = t("orders").join(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
-    df = _dealt(t("lineitem"), t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "l_orderkey").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    deal = _dealing(t("lineitem"))
+    # orders meet their customers before their line items, which so move twice and narrow the first time; the
+    # small side of a join is dealt out, so that the large one follows in a merge join and stays in a broadcast one
+    owners = t("orders").join(deal(t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")), "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    df = deal(t("lineitem").join(deal(t("part"), "p_partkey"), F.col("l_partkey") == F.col("p_partkey")), "l_orderkey").join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
     published = F.col("o_orderdate").cast("date")
     cols = {
         "video_id": F.concat(F.lit("v"), F.col("l_orderkey").cast("string")),
@@ -65,7 +76,7 @@ def golden(spark: SparkSession, sf_dir: str, description: bool = False) -> DataF
         df = df.join(docs, F.col("l_orderkey") % _number(docs) == F.col("_d"))
         cols["description_length"] = F.col("_length")
     df = df.select(*[c.alias(k) for k, c in cols.items()])
-    return df.withColumns({"publish_year": F.year("publish_date"), "trending_month": F.month("trending_full_date"), "trending_year": F.year("trending_full_date")})
+    return deal(df, *by).withColumns({"publish_year": F.year("publish_date"), "trending_month": F.month("trending_full_date"), "trending_year": F.year("trending_full_date")})
 
 
 GOLDEN_SQL = """

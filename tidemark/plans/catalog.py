@@ -17,8 +17,8 @@ from tidemark.streaming import runner, seen, trends
 DAY = "1 day"
 
 
-def _golden(f: Callable[[DataFrame], DataFrame], description: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(adapters.golden(spark, sf_dir, description))
+def _golden(f: Callable[[DataFrame], DataFrame], description: bool = False, by: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(adapters.golden(spark, sf_dir, description, by))
 
 
 def _kept(f: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -63,7 +63,7 @@ def _messages(spark: SparkSession, folder: str, sf_dir: str, make, schema) -> Da
     return io.read_stream(spark, "parquet", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
 
 
-def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None, columns: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None, columns: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
     """A query that runs a stream to its end and makes its report from the last state of each key.
 
     ``prepare`` makes the streaming aggregate of the features; ``past``, from
@@ -71,12 +71,13 @@ def _streamed(prepare, finish, keys: list[str], past: dict | None = None, output
     starts; ``outputs`` (micro-batch, past) are written for each micro-batch,
     of which the first is the state; ``finish`` (state, past) is the report, of
     the state or of what still holds of another ``output``. ``columns`` of the
-    golden relation are stored, where several passes of ``past`` read them.
+    golden relation are stored, where several passes of ``past`` read them;
+    ``by`` are those that it is dealt out by.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch(spark)
-        golden = adapters.golden(spark, sf_dir) if past else None
+        golden = adapters.golden(spark, sf_dir, by=by) if past else None
         if columns:
             golden = _store(spark, golden.select(*columns), folder)
         kept = {}
@@ -238,8 +239,12 @@ def _s2(finish, output: str | None = None):
     )
 
 
+#: Channel histories count days apart, so that their groups are nearly as many as their rows; without the day one channel would fill a task.
+_DAYS = ("channel_title", "trending_full_date")
+
+
 def _s3(finish):
-    return _streamed(lambda f: trends.channel_agg(f, DAY, DELAY), lambda s, h: finish(trends.channel_anomaly(s, h)), ["window", "channel_title"], {"h": history.channel_history})
+    return _streamed(lambda f: trends.channel_agg(f, DAY, DELAY), lambda s, h: finish(trends.channel_anomaly(s, h)), ["window", "channel_title"], {"h": history.channel_history}, by=_DAYS)
 
 
 _TAGGED_COLUMNS = ("category_title", "channel_title", "trending_full_date", "views", "likes", "comment_count", "tags_list")
@@ -264,7 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "h1_regional_context": _golden(lambda g: history.regional_context(reports.daily_views(g))),
     "h1_category_history": _golden(lambda g: history.category_history(reports.daily_views(g), exact=True)),
     "h1_engagement_history": _golden(lambda g: history.engagement_history(reports.channel_engagement(g), exact=True)),
-    "h2_channel_history": _golden(lambda g: history.channel_history(g, "full")),
+    "h2_channel_history": _golden(lambda g: history.channel_history(g, "full"), by=_DAYS),
     "h2_category_benchmarks": _kept(history.category_benchmarks, "category_title", "region", "views", "likes"),
     "h3_channel_intelligence": _golden(history.channel_intelligence),
     "h4_tag_history": _kept(tags.tag_history, *_TAGGED_COLUMNS),
@@ -286,7 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s3_category_comparison": _streamed(
         lambda f: trends.channel_views(f, DAY, None, DELAY),
         lambda s, c, m: trends.windows_by_category(s, c, m).select("category_title", "region", "streaming_channels", F.round("category_stream_avg", 2).alias("category_stream_avg"), "category_avg_views", "category_performance_vs_batch"),
-        ["window", "channel_title"], {"c": lambda g: history.channel_history(g, "full"), "m": history.category_benchmarks}, columns=("channel_title", "category_title", "region", "trending_full_date", "views", "likes", "comment_count"),
+        ["window", "channel_title"], {"c": lambda g: history.channel_history(adapters.dealt(g, *_DAYS), "full"), "m": history.category_benchmarks}, columns=("channel_title", "category_title", "region", "trending_full_date", "views", "likes", "comment_count"),
     ),
     "s4_title_strategy": _streamed(
         lambda f: trends.title_agg(trends.title_features(f), DAY, DELAY),
