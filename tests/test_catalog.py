@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from tests.compare import differences
+from tests.compare import differences, rows, same
 from tidemark.operators import history, reports
 from tidemark.plans import adapters, catalog
 
@@ -98,3 +98,21 @@ def test_channel_histories_of_streams_are_grouped_in_partitions_by_their_rows(sp
     many = ({"l_partkey"}, {"p_partkey"}, {"l_orderkey"}, {"o_orderkey"}, {"o_custkey"}, {"c_custkey"}, {"channel_title", "trending_full_date"})
     assert all((keys, wide) in dealt for keys in many)
     assert all(n == wide for keys, n in dealt if keys in many or "trending_full_date" in keys)
+
+
+def test_a_history_does_the_work_of_the_figures_asked_for_alone(spark):
+    golden = adapters.golden(spark, SF).select("channel_title", "trending_full_date", "views", "likes", "comment_count")
+    full = history.channel_intelligence(golden, "channel")
+    for figures in (["batch_videos", "batch_avg_views", "batch_like_rate"], ["batch_trending_days"]):
+        some = history.channel_intelligence(golden, "channel", figures)
+        # means may differ in their last digits
+        _, got = rows(some.columns, [tuple(r) for r in some.collect()])
+        names, want = rows(some.columns, [tuple(r) for r in full.select(*some.columns).collect()])
+        assert names == sorted(["channel_title", *figures]) and len(got) == len(want) and all(all(map(same, a, b)) for a, b in zip(got, want))
+
+
+def test_title_strategy_makes_no_figures_that_it_does_not_read(spark, monkeypatch):
+    plans, write = [], catalog.io.write
+    monkeypatch.setattr(catalog.io, "write", lambda df, path, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, path, **k))
+    assert not differences(catalog.QUERIES["s4_title_strategy"](spark, SF), catalog.SQL["s4_title_strategy"], SF)
+    assert len(plans) == 1 and "percentile_approx" not in plans[0] and plans[0].count("Aggregate ") == 1

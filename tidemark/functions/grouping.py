@@ -17,7 +17,8 @@ def distinct_apart(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
     count is an aggregation of its own over two or three columns, and the
     results, one row for each group, are joined.
     """
-    return count_apart(rows.groupBy(*keys).agg(*aggs), rows, keys, distinct)
+    groups = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
+    return count_apart(groups, rows, keys, distinct)
 
 
 def quantile_apart(rows: DataFrame, keys: Sequence[str], value: str, share: float, name: str, sums: Mapping[str, Column]) -> DataFrame:

@@ -296,7 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s4_title_strategy": _streamed(
         lambda f: trends.title_agg(trends.title_features(f), DAY, DELAY),
         lambda s, h: _start(trends.title_vs_history(s, h)).select("start", "channel_title", "video_count", "avg_views", "avg_title_length", "avg_word_count", "avg_emotional_score", "avg_optimization_score", "numbers_avg_views", "viral_keywords_avg_views", "question_avg_views", "title_strategy_grade", F.round("viral_potential_score", 4).alias("viral_potential_score"), "batch_avg_views", "batch_videos", "performance_trend", "strategy_effectiveness", "improvement_vs_batch"),
-        ["window", "channel_title"], {"h": lambda g: history.channel_intelligence(g, "channel")},
+        ["window", "channel_title"], {"h": lambda g: history.channel_intelligence(g, "channel", ("batch_videos", "batch_avg_views", "batch_like_rate"))},
     ),
     "s5_tag_momentum": _streamed(
         lambda f: trends.tag_channels(trends.tag_features(f), DAY, DELAY),
