@@ -116,3 +116,29 @@ def test_title_strategy_makes_no_figures_that_it_does_not_read(spark, monkeypatc
     monkeypatch.setattr(catalog.io, "write", lambda df, path, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, path, **k))
     assert not differences(catalog.QUERIES["s4_title_strategy"](spark, SF), catalog.SQL["s4_title_strategy"], SF)
     assert len(plans) == 1 and "percentile_approx" not in plans[0] and plans[0].count("Aggregate ") == 1
+
+
+@pytest.mark.parametrize("name", ["s2_category_performance", "s2_category_changes"])
+def test_category_histories_store_the_rows_they_read_and_rank_nothing(spark, monkeypatch, name):
+    written, write = {}, catalog.io.write
+
+    def kept(df, path, **k):
+        write(df, path, **k)
+        written[Path(path).name] = (df._jdf.queryExecution().optimizedPlan().toString(), path)
+
+    monkeypatch.setattr(catalog.io, "write", kept)
+    assert not differences(catalog.QUERIES[name](spark, SF), catalog.SQL[name], SF)
+    golden, path = written["golden"]
+    rows, every = spark.read.parquet(path), adapters.golden(spark, SF)
+    assert 0 < rows.count() == every.filter("assignable").count() < every.count() and rows.filter("assignable").count() == rows.count()
+    # customers are filtered where they are read, so that orders of others don't move, and their segments don't either
+    assert re.search(r"Filter .*c_mktsegment#\d+ = MACHINERY", golden) and not re.search(r"Project \[[^\n]*o_orderkey#\d+L[^\n]*c_mktsegment", golden)
+    assert list(Path(path).glob("*.zstd.parquet")) and not any("Window" in written[h][0] for h in ("cats", "eng"))
+
+
+def test_engagement_without_top_is_that_of_all_channels(spark):
+    g = adapters.golden(spark, SF)
+    ranked, plain = reports.channel_engagement(g, top=1_000_000_000).drop("rank_in_category"), reports.channel_engagement(g, top=None)
+    _, got = rows(plain.columns, [tuple(r) for r in plain.collect()])
+    _, want = rows(ranked.columns, [tuple(r) for r in ranked.collect()])
+    assert plain.columns == ranked.columns and got == want

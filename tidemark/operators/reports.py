@@ -34,8 +34,8 @@ def daily_views(golden: DataFrame, trailing: int = 3, by: str = "rows") -> DataF
     return daily.withColumns({"views_rank": F.rank().over(ranked), "moving_avg_views_3d": F.round(F.avg("avg_views").over(series), 2)})
 
 
-def channel_engagement(golden: DataFrame, top: int = 5) -> DataFrame:
-    """The channels of most engagement in each category."""
+def channel_engagement(golden: DataFrame, top: int | None = 5) -> DataFrame:
+    """The channels of most engagement in each category; without ``top`` all channels, not ranked."""
     engagement = F.col("likes") + F.col("comment_count")
     stats = _assignable(golden).groupBy("category_title", "channel_title").agg(
         F.count("*").alias("total_videos"),
@@ -46,6 +46,8 @@ def channel_engagement(golden: DataFrame, top: int = 5) -> DataFrame:
         F.round(F.sum(engagement) / F.count("*"), 2).alias("avg_engagement_per_video"),
         F.round(x.ratio(F.sum("likes"), F.sum("dislikes")), 2).alias("like_dislike_ratio"),
     )
+    if top is None:
+        return stats
     w = Window.partitionBy("category_title").orderBy(F.desc("engagement_score"))
     return stats.withColumn("rank_in_category", F.rank().over(w)).filter(F.col("rank_in_category") <= top)
 

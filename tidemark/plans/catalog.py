@@ -15,6 +15,8 @@ from tidemark.sources import ingest, io, versions
 from tidemark.streaming import runner, seen, trends
 
 DAY = "1 day"
+#: How files of messages and of what is stored for several passes are packed.
+PACKED = {"compression": "zstd"}
 
 
 def _golden(f: Callable[[DataFrame], DataFrame], description: bool = False, by: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,7 +29,7 @@ def _kept(f: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[Spark
 
 
 def _store(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
-    io.write(df, f"{folder}/golden")
+    io.write(df, f"{folder}/golden", options=PACKED)
     return io.read(spark, f"{folder}/golden")
 
 
@@ -45,9 +47,8 @@ def scratch(spark: SparkSession) -> str:
 DELAY = "100 days"
 #: Files of one micro-batch.
 FILES = 16
-#: Messages of one file, about, and how files are packed.
+#: Messages of one file, about.
 FILE_ROWS = 200_000
-PACKED = {"compression": "zstd"}
 #: Epochs of a state that are folded into a snapshot.
 EPOCHS = 3
 
@@ -63,7 +64,7 @@ def _messages(spark: SparkSession, folder: str, sf_dir: str, make, schema) -> Da
     return io.read_stream(spark, "parquet", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
 
 
-def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None, columns: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+def _streamed(prepare, finish, keys: list[str], past: dict | None = None, outputs: dict | None = None, details: bool = False, output: str | None = None, columns: tuple[str, ...] = (), by: tuple[str, ...] = (), where: str = "true") -> Callable[[SparkSession, str], DataFrame]:
     """A query that runs a stream to its end and makes its report from the last state of each key.
 
     ``prepare`` makes the streaming aggregate of the features; ``past``, from
@@ -71,15 +72,16 @@ def _streamed(prepare, finish, keys: list[str], past: dict | None = None, output
     starts; ``outputs`` (micro-batch, past) are written for each micro-batch,
     of which the first is the state; ``finish`` (state, past) is the report, of
     the state or of what still holds of another ``output``. ``columns`` of the
-    golden relation are stored, where several passes of ``past`` read them;
-    ``by`` are those that it is dealt out by.
+    golden relation are stored, where several passes of ``past`` read them, and
+    of its rows those that all of these read (``where``); ``by`` are those that
+    it is dealt out by.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch(spark)
         golden = adapters.golden(spark, sf_dir, by=by) if past else None
         if columns:
-            golden = _store(spark, golden.select(*columns), folder)
+            golden = _store(spark, golden.filter(where).select(*columns), folder)
         kept = {}
         for name, make in (past or {}).items():
             io.write(make(golden), f"{folder}/{name}")
@@ -179,7 +181,7 @@ def _tops(golden: DataFrame) -> DataFrame:
 #: The events' categories as the history's, without their numbers' case and padding.
 _S2_HISTORY = {
     "cats": lambda g: history.category_history(reports.daily_views(g), exact=True),
-    "eng": lambda g: history.engagement_history(reports.channel_engagement(g, top=1_000_000_000), exact=True),
+    "eng": lambda g: history.engagement_history(reports.channel_engagement(g, top=None), exact=True),
 }
 
 
@@ -235,7 +237,7 @@ def _s1(finish, output: str | None = None):
 def _s2(finish, output: str | None = None):
     return _streamed(
         lambda f: trends.category_agg(f, DAY, "12 hours", DELAY), lambda s, cats, eng: finish(s), ["window", "category"], _S2_HISTORY,
-        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng), keys=["window"])}, details=True, output=output, columns=("category_title", "region", "channel_title", "trending_full_date", "comments_disabled", "assignable", "views", "likes", "dislikes", "comment_count"),
+        {"compared": lambda b, cats, eng: trends.category_vs_history(b, cats, eng), "changes": lambda b, cats, eng: trends.category_compared(trends.category_vs_history(b, cats, eng), keys=["window"])}, details=True, output=output, columns=("category_title", "region", "channel_title", "trending_full_date", "comments_disabled", "assignable", "views", "likes", "dislikes", "comment_count"), where="assignable",
     )
 
 

@@ -109,14 +109,14 @@ def register(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), partitions: int | None = None, dynamic: bool = False) -> None:
+def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), partitions: int | None = None, dynamic: bool = False, options: dict | None = None) -> None:
     """One overwriting write of a whole relation; ``dynamic`` replaces just the partitions that df has."""
     if partitions:
         df = df.repartition(partitions)
     elif partition_by:
         # AQE splits and joins the parts to its target size
         df = df.hint("rebalance", *partition_by)
-    w = df.write.format(fmt).mode("overwrite")
+    w = df.write.format(fmt).options(**(options or {})).mode("overwrite")
     if dynamic:
         w = w.option("partitionOverwriteMode", "dynamic")
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
