@@ -53,14 +53,23 @@ FILE_ROWS = 200_000
 EPOCHS = 3
 
 
-def _messages(spark: SparkSession, folder: str, sf_dir: str, make, schema) -> DataFrame:
-    """The messages that ``make`` (an adapter) gives written as files, and the stream that reads them.
+def _files(spark: SparkSession, sf_dir: str) -> int:
+    """Files of the messages: as many as their number asks for."""
+    return max(FILES, -(-adapters.table(spark, sf_dir, "events").count() // FILE_ROWS))
 
-    They repeat whole texts, so they are packed, with those of one text side by
-    side; their files are as many as their number asks for.
+
+def _messages(spark: SparkSession, folder: str, *of) -> DataFrame:
+    """Messages written as files, and the stream that reads them.
+
+    ``of`` is their data, dealt out to as many files, and its schema; or, in
+    place of the data, the tables' folder and the adapter that makes it. Messages
+    repeat whole texts, so they are packed, with those of one text side by side.
     """
-    parts = max(FILES, -(-adapters.table(spark, sf_dir, "events").count() // FILE_ROWS))
-    io.to_envelope(make(spark, sf_dir, parts), "test", "timestamp").write.options(**PACKED).parquet(f"{folder}/in")
+    *made, schema = of
+    if len(made) == 2:
+        sf_dir, make = made
+        made = [make(spark, sf_dir, _files(spark, sf_dir))]
+    io.to_envelope(*made, "test", "timestamp").write.options(**PACKED).parquet(f"{folder}/in")
     return io.read_stream(spark, "parquet", {"path": f"{folder}/in", "maxFilesPerTrigger": FILES}, schema)
 
 
@@ -87,9 +96,9 @@ def _streamed(prepare, finish, keys: list[str], past: dict | None = None, output
             io.write(make(golden), f"{folder}/{name}")
             kept[name] = io.read(spark, f"{folder}/{name}")
         if details:
-            features = trends.details_features(_messages(spark, folder, sf_dir, adapters.details, trends.DETAILS))
+            features = trends.details_features(_messages(spark, folder, adapters.details(spark, sf_dir, _files(spark, sf_dir)), trends.DETAILS))
         else:
-            features = trends.trending_features(_messages(spark, folder, sf_dir, adapters.events, trends.MESSAGE))
+            features = trends.trending_features(_messages(spark, folder, adapters.events(spark, sf_dir, _files(spark, sf_dir)), trends.MESSAGE))
         stream = prepare(features)
         written = {name: (lambda b, f=f: f(b, **kept)) for name, f in (outputs or {"state": lambda b, **_: b}).items()}
         first, f = next(iter(written.items()))
@@ -160,7 +169,7 @@ def dq_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each message that the stream passes on, which is one for each video."""
     folder = scratch(spark)
-    rows = _messages(spark, folder, sf_dir, adapters.events, trends.MESSAGE).select(F.col("data.videoId").alias("video_id"), "ts")
+    rows = _messages(spark, folder, adapters.events(spark, sf_dir, _files(spark, sf_dir)), trends.MESSAGE).select(F.col("data.videoId").alias("video_id"), "ts")
     with io.settings(spark, seen.ROCKSDB):
         stream = seen.unseen(rows, "video_id", DELAY, limit=1_000_000)
         query = runner.run(stream, {"out": lambda b: b}, folder, f"{folder}/checkpoint", mode="append")
