@@ -38,6 +38,22 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert starts and min(starts) > 1_650_000_000
 
 
+def test_messages_are_parsed_once(spark, tmp_path):
+    data = adapters.events(spark, SF)
+    io.to_envelope(data, "t", "timestamp").union(spark.createDataFrame([("",), ("no message",), ("null",), ("{}",)], "value string")).write.text(f"{tmp_path}/in")
+    of = {
+        trends.MESSAGE: lambda m: trends.dominance_agg(trends.trending_features(m), "1 day", "100 days"),
+        trends.DETAILS: lambda m: trends.category_agg(trends.details_features(m), "1 day", "12 hours", "100 days"),
+    }
+    for schema, report in of.items():
+        stream = io.read_stream(spark, "text", {"path": f"{tmp_path}/in"}, schema)
+        plan = spark._jvm.PythonSQLUtils.explainString(report(stream)._jdf.queryExecution(), "extended")
+        assert plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("from_json(") == 1
+    every = trends.trending_features(io.read_stream(spark, "text", {"path": f"{tmp_path}/in"}, trends.MESSAGE))
+    runner.run(every, {"out": lambda b: b}, str(tmp_path), f"{tmp_path}/c", "append").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == data.filter(F.regexp_replace("viewCount", "[^0-9]", "").try_cast("bigint") > 0).count() > 0
+
+
 def test_without_history(spark):
     m = adapters.events(spark, SF).select(F.col("timestamp"), F.struct("*").alias("data")).withColumn("ts", F.timestamp_seconds("timestamp"))
     f = trends.trending_features(m)

@@ -104,10 +104,12 @@ def _streamed(prepare, finish, keys: list[str], past: dict | None = None, output
         first, f = next(iter(written.items()))
         runner.run(stream, written, f"{folder}/out", f"{folder}/checkpoint", compacted={first: keys}, epochs=EPOCHS).awaitTermination()
         none = history.empty_like(spark, stream.schema)
-        rows = runner.state(spark, f"{folder}/out/{first}", keys, f(none).schema, epoch=True)
         if output:
-            rows = runner.current(spark, f"{folder}/out/{output}", keys, written[output](none).schema, rows)
-        return finish(rows.drop("epoch"), **kept)
+            epochs = runner.last_epochs(spark, f"{folder}/out/{first}", keys, f(none).schema)
+            rows = runner.current(spark, f"{folder}/out/{output}", keys, written[output](none).schema, epochs)
+        else:
+            rows = runner.state(spark, f"{folder}/out/{first}", keys, f(none).schema)
+        return finish(rows, **kept)
 
     return query
 

@@ -99,7 +99,8 @@ def read_stream(spark: SparkSession, fmt: str, options: dict, schema: T.StructTy
     s = spark.readStream.format(fmt).options(**options)
     if fmt not in ("kafka", "text"):
         s = s.schema("value string")
-    rows = s.load().select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
+    # a filter on what is parsed would be moved below it with a second parsing; it stops at a generator
+    rows = s.load().select(F.explode(F.array(F.from_json(F.col("value").cast("string"), schema))).alias("m")).select("m.*")
     ts = F.timestamp_seconds("timestamp") if event_time == "envelope" else F.current_timestamp()
     return rows.withColumn("ts", ts)
 

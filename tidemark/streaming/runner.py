@@ -20,6 +20,13 @@ from tidemark.sources import io, versions
 
 SNAPSHOTS = "_snapshots"
 VERSIONS = "_versions"
+#: State lies in files on each executor's disk, with bounded memory beside the heap, so that neither heap nor its collection grows with the keys; a micro-batch keeps its changes alone.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def run(
@@ -61,7 +68,9 @@ def run(
                 compact(spark, f"{folder}/{name}", keys)
 
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(process)
-    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    # a query keeps the settings that it starts with, and a checkpoint the provider that it was begun with
+    with io.settings(stream.sparkSession, ON_DISK):
+        return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
 def _pinned(spark: SparkSession, folder: str, epoch: int, past: Mapping[str, str]) -> dict[str, int]:
@@ -119,6 +128,13 @@ def _due(spark: SparkSession, path: str, most: int) -> bool:
 
 def _last(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, snapshot: int | None, epochs: list[int]) -> DataFrame:
     """The last row of each key in a snapshot and some epochs, with its epoch."""
+    df = _written(spark, path, schema, snapshot, epochs)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "epoch").alias("_r"))
+    return last.select("_r.*")
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType, snapshot: int | None, epochs: list[int]) -> DataFrame:
+    """All rows of a snapshot and some epochs, with their epoch."""
     full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
     df = None
     if epochs:
@@ -127,8 +143,7 @@ def _last(spark: SparkSession, path: str, keys: list[str], schema: T.StructType,
     if snapshot is not None:
         old = spark.read.schema(full).parquet(f"{path}/{SNAPSHOTS}/upto={snapshot}")
         df = old if df is None else df.unionByName(old)
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*full.names), "epoch").alias("_r"))
-    return last.select("_r.*")
+    return df
 
 
 def state(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, epoch: bool = False) -> DataFrame:
@@ -140,8 +155,17 @@ def state(spark: SparkSession, path: str, keys: list[str], schema: T.StructType,
     return df if epoch else df.drop("epoch")
 
 
+def last_epochs(spark: SparkSession, path: str, keys: list[str], schema: T.StructType) -> DataFrame:
+    """The last epoch of each key: what ``current`` asks of a state, without reading or sorting its other columns."""
+    full = T.StructType([*(schema[k] for k in keys), T.StructField("epoch", T.LongType())])
+    snapshot, epochs = _parts(spark, path)
+    if snapshot is None and not epochs:
+        return empty_like(spark, full)
+    return _written(spark, path, T.StructType(full.fields[:-1]), snapshot, epochs).groupBy(*keys).agg(F.max("epoch").alias("epoch"))
+
+
 def current(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, of: DataFrame) -> DataFrame:
-    """Rows of a second output that hold still: those that the last epoch of their key in ``of`` (a state with epochs) wrote."""
+    """Rows of a second output that hold still: those that the last epoch of their key in ``of`` (a state with epochs, or its ``last_epochs``) wrote."""
     rows = state(spark, path, keys, schema, epoch=True)
     return rows.join(of.select(*keys, "epoch"), [*keys, "epoch"], "left_semi").drop("epoch")
 
