@@ -1,9 +1,10 @@
 import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tests.compare import differences
+from tests.compare import TABLES, differences
 from tidemark.plans import adapters, catalog
 from tidemark.sources import io
 from tidemark.streaming import runner, trends
@@ -95,6 +96,15 @@ def test_without_events(spark, name, tmp_path):
     assert df.collect() == [] and set(df.columns) == set(catalog.QUERIES[name](spark, SF).columns)
 
 
+@pytest.mark.parametrize("name", ["s1_anomalies", "s1_dominance"])
+def test_messages_without_a_type_are_reported(spark, name, tmp_path):
+    for t in TABLES:
+        if t != "events":
+            shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert not differences(catalog.QUERIES[name](spark, str(tmp_path)), catalog.SQL[name], str(tmp_path))
+
+
 def test_processing_time_trigger(spark, tmp_path):
     """A stream on a timer goes on until it is stopped, with its outputs in order."""
     data = adapters.events(spark, SF)

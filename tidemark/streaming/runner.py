@@ -167,7 +167,9 @@ def last_epochs(spark: SparkSession, path: str, keys: list[str], schema: T.Struc
 def current(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, of: DataFrame) -> DataFrame:
     """Rows of a second output that hold still: those that the last epoch of their key in ``of`` (a state with epochs, or its ``last_epochs``) wrote."""
     rows = state(spark, path, keys, schema, epoch=True)
-    return rows.join(of.select(*keys, "epoch"), [*keys, "epoch"], "left_semi").drop("epoch")
+    last = of.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "epoch")])
+    # a key may be null, as it may in the state
+    return rows.join(last, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "epoch")], "left_semi").drop("epoch")
 
 
 def appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
